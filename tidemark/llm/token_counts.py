@@ -1,12 +1,16 @@
 """Token counts without token ids.
 
-Method: every document is reduced to its pre-token frequencies; the distinct pre-tokens of the
-corpus are counted in pieces once each; the piece counts are joined back to the frequencies and
-summed per document.  No id sequence is ever built for a document.
-
-Frequencies are kept in posting form, one row for a pre-token and a block of a few megabytes of
-text, so a very frequent pre-token costs one row a block and not one a document; the join is an
-ordinary shuffled join on the pre-token, which AQE may split where a key is hot.
+Method: every document is reduced to its pre-token frequencies; each distinct pre-token is counted
+in pieces once; the counts are joined to the frequencies and summed per document.  No id sequence
+is ever built for a document.
+
+Frequencies travel as postings.  A *block* is some megabytes of documents; for each pre-token of a
+block they hold the places of the documents and the frequencies there, packed by bucket, where a
+bucket is a hash of the pre-token.  One shuffle brings a bucket's postings together, so a pre-token
+meets all its postings in one task, is counted there once, and leaves one sum for each document of
+each block.  A second, small shuffle adds these sums by block.  A pre-token that is frequent in a
+block (``HOT`` documents) is dealt by block too, so very frequent ones spread over all tasks and
+are counted once a task.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id is kept; repeated rows
 each get their own result row; extra columns are ignored; an empty table gives an empty result.
@@ -14,35 +18,54 @@ each get their own result row; extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
 from .words import PreTokens, load_tokenizer
 
-#: Characters of text in a posting block.
-BLOCK_CHARS = 4_000_000
+#: Characters and documents of a block, buckets for each shuffle partition, documents that make a pre-token hot.
+BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 8_000_000, 60_000, 8, 64
 
-_SCHEMA = "pretoken string, base long, pos array<int>, freq array<int>, row_keys array<long>, ids array<long>, n_bytes array<long>"
-_ARROW = pa.schema(
-    [
-        ("pretoken", pa.string()), ("base", pa.int64()), ("pos", pa.list_(pa.int32())), ("freq", pa.list_(pa.int32())),
-        ("row_keys", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
-    ]
-)
+_ROWS = "block long, bucket long, data binary"
+_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
+_HEAD = struct.Struct("<III")
 _STATE: dict = {}
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
-
-
-def _block(keys: list[int], ids: list, texts: list, split: PreTokens):
-    """Postings of one block of documents, then the row that lists its documents."""
+def _pack(words: pa.StringArray, ends: np.ndarray, pos: np.ndarray, freq: np.ndarray) -> bytes:
+    """Words and their postings (ends: of each word's postings) as one compressed record."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    wide = int(freq.max(initial=0)) > 255
+    parts = [_HEAD.pack(len(words), len(pos), wide), np.diff(offsets).astype("<u4").tobytes(), np.diff(ends, prepend=0).astype("<u4").tobytes(), pos.astype("<u2").tobytes(), freq.astype("<u4" if wide else "u1").tobytes(), raw[offsets[0] : offsets[-1]]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, number of postings of each, places, frequencies."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    words, pairs, wide = _HEAD.unpack_from(raw)
+    at = _HEAD.size
+    lengths = np.frombuffer(raw, "<u4", words, at)
+    spans = np.frombuffer(raw, "<u4", words, at + 4 * words)
+    at += 8 * words
+    pos = np.frombuffer(raw, "<u2", pairs, at)
+    freq = np.frombuffer(raw, "<u4" if wide else "u1", pairs, at + 2 * pairs)
+    at += 2 * pairs + pairs * (4 if wide else 1)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    text = pa.StringArray.from_buffers(words, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at:]))
+    return text.to_pylist(), spans, pos, freq
+
+
+def _block(block: int, ids: list, texts: list, split: PreTokens, buckets: int):
+    """Packed postings of one block, by bucket, and the record that lists its documents (bucket -1 - n)."""
     words: list[str] = []
     freqs: list[int] = []
     spans = []
@@ -51,80 +74,128 @@ def _block(keys: list[int], ids: list, texts: list, split: PreTokens):
         words.extend(found.keys())
         freqs.extend(found.values())
         spans.append(len(found))
+    out_bucket, out_data = [], []
     if words:
         coded = pa.array(words, pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy()
-        pos = np.repeat(np.arange(len(texts), dtype=np.int32), spans)
-        order = np.argsort(codes, kind="stable")
-        n = len(coded.dictionary)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n))]).astype(np.int32)
-        freq = np.asarray(freqs, dtype=np.int32)[order]
-        pos = pos[order]
-        base = keys[0]
-        for at in range(0, n, 20_000):
-            to = min(n, at + 20_000)
-            lo, hi = bounds[at], bounds[to]
-            none = pa.nulls(to - at, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.slice(at, to - at), pa.array(np.full(to - at, base), pa.int64()), _lists(pos[lo:hi], bounds[at : to + 1] - lo, pa.int32()), _lists(freq[lo:hi], bounds[at : to + 1] - lo, pa.int32()), none, none, none], schema=_ARROW
-            )
-    sizes = [len(t.encode()) if t else 0 for t in texts]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([None], pa.string()), pa.array([keys[0]], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], schema=_ARROW
-    )
-
-
-def _postings(path: str):
+        documents = np.bincount(codes)
+        hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+        hashes = np.where(documents >= HOT, hashes + np.uint64(block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), hashes)
+        bucket = (hashes >> np.uint64(16)) % np.uint64(buckets)
+        by_bucket = np.argsort(bucket, kind="stable")
+        place = np.empty(len(by_bucket), np.int64)
+        place[by_bucket] = np.arange(len(by_bucket))
+        order = np.argsort(place[codes], kind="stable")
+        pos = np.repeat(np.arange(len(texts)), spans)[order]
+        freq = np.array(freqs)[order]
+        ends = np.concatenate([[0], np.cumsum(documents[by_bucket])])
+        sorted_words = coded.dictionary.take(pa.array(by_bucket))
+        used, first = np.unique(bucket[by_bucket], return_index=True)
+        for b, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(by_bucket)], strict=True):
+            out_bucket.append(b)
+            out_data.append(_pack(sorted_words.slice(lo, hi - lo), ends[lo + 1 : hi + 1] - ends[lo], pos[ends[lo] : ends[hi]], freq[ends[lo] : ends[hi]]))
+    sizes = np.array([len(t.encode()) if t else 0 for t in texts], "<i8")
+    listed = np.array([i or 0 for i in ids], "<i8").tobytes() + sizes.tobytes() + np.array([i is None for i in ids], "u1").tobytes()
+    out_bucket.append(-1 - block % buckets)
+    out_data.append(struct.pack("<I", len(ids)) + listed)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out_data), block), pa.int64()), pa.array(out_bucket, pa.int64()), pa.array(out_data, pa.binary())], schema=_ARROW)
+
+
+def _postings(path: str, buckets: int):
     def run(batches):
         if _STATE.get("path") != path:
             _STATE.update(path=path, split=PreTokens(path))
         split = _STATE["split"]
-        keys, ids, texts, size = [], [], [], 0
+        block, ids, texts, size = 0, [], [], 0
         for batch in batches:
             for key, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                # positions are offsets from the first row key: row keys of a partition are consecutive
-                keys.append(key)
+                if not ids:
+                    block = key
                 ids.append(doc)
                 texts.append(text)
                 size += len(text or "")
-                if size >= BLOCK_CHARS or len(texts) >= 50_000:
-                    yield from _block(keys, ids, texts, split)
-                    keys, ids, texts, size = [], [], [], 0
-        if texts:
-            yield from _block(keys, ids, texts, split)
+                if size >= BLOCK_CHARS or len(texts) >= BLOCK_DOCS:
+                    yield from _block(block, ids, texts, split, buckets)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from _block(block, ids, texts, split, buckets)
 
     return run
 
 
-def _count_pieces(path: str):
+def _sum_pieces(path: str):
+    """Counts each distinct pre-token of the partition once and sums by document; rows come by block."""
+
     def run(batches):
         if _STATE.get("tokenizer_path") != path:
             _STATE.update(tokenizer_path=path, tokenizer=load_tokenizer(path))
         tokenizer = _STATE["tokenizer"]
+        pieces: dict[str, int] = {}
+        block, sums = None, np.zeros(0, np.int64)
+
+        def done():
+            return pa.RecordBatch.from_pydict({"block": [block], "bucket": [0], "data": [zstandard.ZstdCompressor(level=1).compress(sums.astype("<i8").tobytes())]}, schema=_ARROW)
+
         for batch in batches:
-            pieces = [len(e) for e in tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int64())], ["pretoken", "pieces"])
+            for key, bucket, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket < 0:
+                    yield pa.RecordBatch.from_pydict({"block": [key], "bucket": [bucket], "data": [data]}, schema=_ARROW)
+                    continue
+                if key != block:
+                    if len(sums):
+                        yield done()
+                    block, sums = key, np.zeros(0, np.int64)
+                words, spans, pos, freq = _unpack(data)
+                new = [w for w in words if w not in pieces]
+                if new:
+                    pieces.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                each = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), spans)
+                part = np.bincount(pos, each * freq).astype(np.int64)
+                if len(part) > len(sums):
+                    sums = np.concatenate([sums, np.zeros(len(part) - len(sums), np.int64)])
+                sums[: len(part)] += part
+        if len(sums):
+            yield done()
 
     return run
 
 
-def pretoken_frequencies(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (pretoken, base, pos[], freq[]) of whole texts, plus one row a block that lists its documents."""
+def _documents(batches):
+    """Rows of the documents of each block: its list and all its sums, which come together."""
+    block, listed, sums = None, b"", np.zeros(BLOCK_DOCS, np.int64)
+
+    def done():
+        (n,) = struct.unpack_from("<I", listed)
+        ids, sizes = np.frombuffer(listed, "<i8", n, 4), np.frombuffer(listed, "<i8", n, 4 + 8 * n)
+        none = np.frombuffer(listed, "u1", n, 4 + 16 * n).astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none), pa.array(sizes, pa.int64()), pa.array(sums[:n].copy(), pa.int64())], ["id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for key, bucket, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if key != block:
+                if block is not None:
+                    yield done()
+                block = key
+                sums[:] = 0
+            if bucket < 0:
+                listed = data
+            else:
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+                sums[: len(part)] += part
+    if block is not None:
+        yield done()
+
+
+def pretoken_frequencies(docs: DataFrame, tokenizer_file: str, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Packed postings (block, bucket, data) of whole texts; records with a negative bucket list a block's documents."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_postings(tokenizer_file), _SCHEMA)
-
-
-def piece_counts(postings: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(pretoken, pieces): each distinct pre-token is encoded once."""
-    distinct = postings.where(F.col("pretoken").isNotNull()).select("pretoken").distinct()
-    return distinct.mapInArrow(_count_pieces(tokenizer_file), "pretoken string, pieces long")
+    return rows.mapInArrow(_postings(tokenizer_file, buckets), _ROWS)
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    postings = stored(pretoken_frequencies(docs, tokenizer_file, id_col, text_col), "postings")
-    joined = postings.where(F.col("pretoken").isNotNull()).join(piece_counts(postings, tokenizer_file), "pretoken")
-    partial = joined.select("base", "pieces", F.inline(F.arrays_zip("pos", "freq"))).select((F.col("base") + F.col("pos")).alias("row_key"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("bytes"), (F.col("pieces") * F.col("freq")).alias("tokens"))
-    listed = postings.where(F.col("pretoken").isNull()).select(F.inline(F.arrays_zip("row_keys", "ids", "n_bytes"))).select(F.col("row_keys").alias("row_key"), F.col("ids").alias("id"), F.col("n_bytes").alias("bytes"), F.lit(0).cast("long").alias("tokens"))
-    totals = partial.unionByName(listed).groupBy("row_key").agg(F.max("id").alias(id_col), F.sum("bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-    return totals.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = pretoken_frequencies(docs, tokenizer_file, SPREAD * partitions, id_col, text_col)
+    sums = postings.repartition(partitions, "bucket").sortWithinPartitions("block", "bucket").mapInArrow(_sum_pieces(tokenizer_file), _ROWS)
+    counted = sums.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(_documents, "id long, n_bytes long, n_tokens long")
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
