@@ -29,28 +29,74 @@ from pyspark.sql import functions as F
 
 from .words import load_tokenizer, segments, specials_pattern
 
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
+_MARKS = (".", ",")
+
+
+class _Known:
+    """Bounded cache of two generations: what is in use moves on, the rest goes when the newer one is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that must be derived; all others are in ``now`` afterwards."""
+        if len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
+        lacking = wanted.difference(self.now)
+        again = self.old.keys() & lacking
+        for key in again:
+            self.now[key] = self.old[key]
+        return list(lacking - again)
 
 
 class ByteIds:
     """Ids of whole texts as the library gives them, from ids of chunks that it encoded once."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 250_000):
         self.tokenizer = load_tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = specials_pattern(path)
-        self.cached = cached
-        self.heads: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes | None] = {}
+        self.heads, self.tails = _Known(cached), _Known(cached)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, chunks: set[str], lead: str) -> None:
-        new = [c for c in chunks if c not in known]
-        safe = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(safe, self._encode([lead + c for c in safe]), strict=True))
+    def _encode_words(self, words: list[str], lead: str) -> list[bytes]:
+        """Words without white space, many in one call: a line feed between two is a pre-token of its own."""
+        out: list[bytes] = []
+        size = self.kind.itemsize
+        for at in range(0, len(words), 2048):
+            (all_ids,) = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(words[at : at + 2048])], add_special_tokens=False)
+            ids = np.array(all_ids.ids, self.kind)
+            ends = [*(np.flatnonzero(ids == self.feed[0]) * size).tolist(), len(ids) * size]
+            flat, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(flat[start:end])
+                start = end + size
+        return out
+
+    def _learn(self, known: _Known, chunks: set[str], lead: str) -> None:
+        """A word and the mark at its end are never one pre-token, so both are encoded by themselves."""
+        words, marked, now = set(), [], known.now
+        for c in known.missing(chunks):
+            if c[-1:] in _MARKS and c[:-1].isalpha():
+                marked.append(c)
+                words.add(c[:-1])
+            elif not c or c[0].isspace() or c[-1].isspace():
+                known.now[c] = None  # the cut is not safe here
+            else:
+                words.add(c)
+        now = known.now
+        new = [w for w in words if w not in now]
+        plain = [w for w in new if len(w.split()) == 1] if len(self.feed) == 1 else []
+        now.update(zip(plain, self._encode_words(plain, lead), strict=True))
+        other = [w for w in new if w not in now]
+        now.update(zip(other, self._encode([lead + w for w in other]), strict=True))
+        marks = dict(zip(_MARKS, self._encode(list(_MARKS)), strict=True)) if marked else {}
+        for c in marked:
+            now[c] = now[c[:-1]] + marks[c[-1]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         plans, heads, tails = [], set(), set()
@@ -59,7 +105,7 @@ class ByteIds:
             parts = [text or ""] if self.specials is None or not text or "<" not in text else self.specials.split(text)
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append(part)
+                    plan.append((part, None))
                 elif part:
                     for piece in segments(part):
                         cut = piece.split(" ")
@@ -67,24 +113,21 @@ class ByteIds:
                         tails.update(cut[1:])
                         plan.append((piece, cut))
             plans.append(plan)
-        if len(self.tails) > self.cached:
-            self.tails = {}
-        if len(self.heads) > self.cached:
-            self.heads = {}
         self._learn(self.heads, heads, "")
         self._learn(self.tails, tails, " ")
-        tail = self.tails.__getitem__
+        head, tail = self.heads.now, self.tails.now.__getitem__
         out = []
         for plan in plans:
             ids: list[bytes] = []
-            for step in plan:
-                if isinstance(step, str):
-                    ids += self._encode([step])
-                    continue
-                piece, cut = step
-                found = [self.heads[cut[0]]] if cut[0] else []
-                found += map(tail, cut[1:])
-                ids += self._encode([piece]) if None in found else found
+            for piece, cut in plan:
+                try:
+                    if cut is None or (cut[0] and head[cut[0]] is None):
+                        ids += self._encode([piece])
+                    else:
+                        rest = b"".join(map(tail, cut[1:]))
+                        ids += [head[cut[0]], rest] if cut[0] else [rest]
+                except TypeError:  # None among the chunks
+                    ids += self._encode([piece])
             out.append(b"".join(ids))
         return out
 
@@ -162,7 +205,7 @@ def _mapped(store: fs.FileSystem, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), kind)
 
 
-def _read(path: str, manifest: list[dict], most: int = 4_000_000):
+def _read(path: str, manifest: list[dict], most: int = 1_000_000):
     def run(batches):
         store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
