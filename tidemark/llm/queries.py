@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, minhash, mixing, sharding, token_counts, token_files
+from . import bpe, embedding_dedup, minhash, mixing, quality, sharding, token_counts, token_files
 from .storage import new_path
 
 
@@ -33,6 +33,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_quality": op5_quality,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op10_minhash": op10_minhash,
