@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, minhash, mixing, quality, sharding, token_counts, token_files
+from . import bpe, embedding_dedup, minhash, mixing, quality, sharding, token_counts, token_files, toxicity, warc
 from .storage import new_path
 
 
@@ -37,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -49,6 +53,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(targets, pieces, slots)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.response_records(table(spark, sf_dir, "pages")))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -59,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": warc.oracle()}
