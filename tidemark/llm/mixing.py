@@ -138,3 +138,24 @@ def taken_words(targets: DataFrame, pieces: DataFrame, slots: DataFrame, id_col:
     with_targets = taken.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     rows = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("empty"), F.lit(1)).cast("long"))
     return with_targets.withColumn("row", F.explode(rows)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, one row for each document and round with the words taken in it.
+
+    A document whose blocks are all taken in a round keeps its text as it is; else its text is the
+    taken words, in order, with the white space behind each.  ``chars_col``, if present, is renewed.
+    """
+    _, pieces, slots = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    uses = slots.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "round")
+    used = pieces.join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
+    keys = ["id", "h", "source", "start", "size", "round"]
+    taken = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"), F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    # rows that share id and text are equal in what the mix sees; each has its own start and so its own rows
+    texts = docs.withColumns({"mix_id": F.col(id_col), "mix_h": F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))}).dropDuplicates(["mix_id", "mix_h"])
+    joined = taken.join(texts, F.col("h").eqNullSafe(F.col("mix_h")) & F.col("id").eqNullSafe(F.col("mix_id")))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    parts = F.flatten(F.transform("spans", lambda s: F.slice(words, s["a"] + 1, s["b"] - s["a"])))
+    text = F.when(F.col("words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(parts, ""))
+    columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else texts[c].alias(c) for c in docs.columns]
+    return joined.select(*columns)

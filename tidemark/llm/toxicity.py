@@ -178,9 +178,14 @@ def _score(model: OrdinalModel, cut: float):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> DataFrame:
+def scored(docs: DataFrame, model: OrdinalModel, *, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, severity (expected), grade, toxic, kept (not toxic)."""
-    model = fit_model(docs, labels, sample=sample, id_col=id_col, text_col=text_col, grade_col=grade_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_score(model, cut), "id long, severity double, grade int, toxic boolean")
-    return scored.select(F.col("id").alias(id_col), "severity", "grade", "toxic", (~F.col("toxic")).alias("kept"))
+    found = rows.mapInArrow(_score(model, cut), "id long, severity double, grade int, toxic boolean")
+    return found.select(F.col("id").alias(id_col), "severity", "grade", "toxic", (~F.col("toxic")).alias("kept"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> DataFrame:
+    """The model fitted on the labels and applied to all documents; rows as in ``scored``."""
+    model = fit_model(docs, labels, sample=sample, id_col=id_col, text_col=text_col, grade_col=grade_col)
+    return scored(docs, model, cut=cut, id_col=id_col, text_col=text_col)
