@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import PreTokens, load_tokenizer
+from .words import PreTokens, load_tokenizer, rows_of
 
 #: Characters and documents of a block, buckets for each shuffle partition, documents that make a pre-token hot.
-BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 8_000_000, 60_000, 8, 64
+BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 4_000_000, 60_000, 8, 64
 
 _ROWS = "block long, bucket long, data binary"
 _ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
@@ -107,16 +107,15 @@ def _postings(path: str, buckets: int):
             _STATE.update(path=path, split=PreTokens(path))
         split = _STATE["split"]
         block, ids, texts, size = 0, [], [], 0
-        for batch in batches:
-            for key, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if not ids:
-                    block = key
-                ids.append(doc)
-                texts.append(text)
-                size += len(text or "")
-                if size >= BLOCK_CHARS or len(texts) >= BLOCK_DOCS:
-                    yield from _block(block, ids, texts, split, buckets)
-                    ids, texts, size = [], [], 0
+        for key, doc, text in rows_of(batches):
+            if not ids:
+                block = key
+            ids.append(doc)
+            texts.append(text)
+            size += len(text or "")
+            if size >= BLOCK_CHARS or len(texts) >= BLOCK_DOCS:
+                yield from _block(block, ids, texts, split, buckets)
+                ids, texts, size = [], [], 0
         if ids:
             yield from _block(block, ids, texts, split, buckets)
 
@@ -136,24 +135,23 @@ def _sum_pieces(path: str):
         def done():
             return pa.RecordBatch.from_pydict({"block": [block], "bucket": [0], "data": [zstandard.ZstdCompressor(level=1).compress(sums.astype("<i8").tobytes())]}, schema=_ARROW)
 
-        for batch in batches:
-            for key, bucket, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if bucket < 0:
-                    yield pa.RecordBatch.from_pydict({"block": [key], "bucket": [bucket], "data": [data]}, schema=_ARROW)
-                    continue
-                if key != block:
-                    if len(sums):
-                        yield done()
-                    block, sums = key, np.zeros(0, np.int64)
-                words, spans, pos, freq = _unpack(data)
-                new = [w for w in words if w not in pieces]
-                if new:
-                    pieces.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                each = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), spans)
-                part = np.bincount(pos, each * freq).astype(np.int64)
-                if len(part) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(part) - len(sums), np.int64)])
-                sums[: len(part)] += part
+        for key, bucket, data in rows_of(batches):
+            if bucket < 0:
+                yield pa.RecordBatch.from_pydict({"block": [key], "bucket": [bucket], "data": [data]}, schema=_ARROW)
+                continue
+            if key != block:
+                if len(sums):
+                    yield done()
+                block, sums = key, np.zeros(0, np.int64)
+            words, spans, pos, freq = _unpack(data)
+            new = [w for w in words if w not in pieces]
+            if new:
+                pieces.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            each = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), spans)
+            part = np.bincount(pos, each * freq).astype(np.int64)
+            if len(part) > len(sums):
+                sums = np.concatenate([sums, np.zeros(len(part) - len(sums), np.int64)])
+            sums[: len(part)] += part
         if len(sums):
             yield done()
 
@@ -170,18 +168,17 @@ def _documents(batches):
         none = np.frombuffer(listed, "u1", n, 4 + 16 * n).astype(bool)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none), pa.array(sizes, pa.int64()), pa.array(sums[:n].copy(), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    for batch in batches:
-        for key, bucket, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if key != block:
-                if block is not None:
-                    yield done()
-                block = key
-                sums[:] = 0
-            if bucket < 0:
-                listed = data
-            else:
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
-                sums[: len(part)] += part
+    for key, bucket, data in rows_of(batches):
+        if key != block:
+            if block is not None:
+                yield done()
+            block = key
+            sums[:] = 0
+        if bucket < 0:
+            listed = data
+        else:
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+            sums[: len(part)] += part
     if block is not None:
         yield done()
 

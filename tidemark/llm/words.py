@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -23,13 +24,20 @@ SEGMENT = 1 << 20
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples; only ``step`` of them are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
+
+
 class Chunks(dict):
     """Bounded cache chunk -> ``derive(chunk)``; a chunk with white space at an end maps to None (cut unsafe).
 
     The cache is emptied when it is full: it holds no result, only saves work.
     """
 
-    def __init__(self, derive: Callable[[str], object], limit: int = 300_000):
+    def __init__(self, derive: Callable[[str], object], limit: int = 100_000):
         super().__init__()
         self.derive, self.limit = derive, limit
 
