@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import load_tokenizer, segments, specials_pattern
+from .words import load_tokenizer, rows_of, segments, specials_pattern
 
 BLOCK_CHARS = 2_000_000
 _MARKS = (".", ",")
@@ -157,17 +157,16 @@ def _write(path: str, tokenizer_file: str, end_id: int):
             docs, nulls, tokens = docs + len(ids), nulls + ids.count(None), int(ends[-1])
 
         files[1].write(np.zeros(1, "<u8").tobytes())
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc)
-                texts.append(text)
-                size += len(text or "")
-                if size >= BLOCK_CHARS:
-                    put(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
+        ids, texts, size = [], [], 0
+        for doc, text in rows_of(batches):
+            ids.append(doc)
+            texts.append(text)
+            size += len(text or "")
+            if size >= BLOCK_CHARS:
                 put(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            put(ids, texts)
         for f, n in zip(files, names, strict=True):
             f.close()
             store.move(f"{n}.{mark}", n)
