@@ -18,6 +18,7 @@ gives no documents.
 from __future__ import annotations
 
 import json
+import string
 import uuid
 
 import numpy as np
@@ -26,11 +27,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .words import load_tokenizer, rows_of, segments, specials_pattern
 
-BLOCK_CHARS = 2_000_000
-_MARKS = (".", ",")
+BLOCK_CHARS = 1_500_000
+_PUNCTUATION = string.punctuation
 
 
 class _Known:
@@ -53,50 +55,61 @@ class _Known:
 class ByteIds:
     """Ids of whole texts as the library gives them, from ids of chunks that it encoded once."""
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 150_000):
         self.tokenizer = load_tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = specials_pattern(path)
         self.heads, self.tails = _Known(cached), _Known(cached)
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks: dict[str, bytes] = {}
+        # letters alone are one pre-token: they need the byte characters but not the split pattern
+        self.letters = load_tokenizer(path)
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space, shown as the character 256 + 32
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == chr(288)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str], lead: str) -> list[bytes]:
-        """Words without white space, many in one call: a line feed between two is a pre-token of its own."""
+    def _encode_letters(self, words: list[str], lead: str) -> list[bytes]:
+        """Words of letters only; behind a space many go in one call, as each one's first token tells its start."""
+        if not lead:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.letters.encode_batch_fast(words, add_special_tokens=False)]
         out: list[bytes] = []
         size = self.kind.itemsize
-        for at in range(0, len(words), 2048):
-            (all_ids,) = self.tokenizer.encode_batch_fast([lead + ("\n" + lead).join(words[at : at + 2048])], add_special_tokens=False)
-            ids = np.array(all_ids.ids, self.kind)
-            ends = [*(np.flatnonzero(ids == self.feed[0]) * size).tolist(), len(ids) * size]
-            flat, start = ids.tobytes(), 0
-            for end in ends:
-                out.append(flat[start:end])
-                start = end + size
+        for at in range(0, len(words), 256):
+            (found,) = self.letters.encode_batch_fast([[lead + w for w in words[at : at + 256]]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            cuts = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(ids) * size]
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def _learn(self, known: _Known, chunks: set[str], lead: str) -> None:
-        """A word and the mark at its end are never one pre-token, so both are encoded by themselves."""
-        words, marked, now = set(), [], known.now
-        for c in known.missing(chunks):
-            if c[-1:] in _MARKS and c[:-1].isalpha():
-                marked.append(c)
-                words.add(c[:-1])
+        """A word of letters and the punctuation behind it are never one pre-token, so both are encoded by themselves."""
+        words, marked = set(), []
+        missing = known.missing(chunks)
+        now = known.now
+        for c in missing:
+            bare = c.rstrip(_PUNCTUATION)
+            if bare.isalpha():
+                words.add(bare)
+                if bare != c:
+                    marked.append((c, bare, c[len(bare) :]))
             elif not c or c[0].isspace() or c[-1].isspace():
-                known.now[c] = None  # the cut is not safe here
+                now[c] = None  # the cut is not safe here
             else:
                 words.add(c)
-        now = known.now
         new = [w for w in words if w not in now]
-        plain = [w for w in new if len(w.split()) == 1] if len(self.feed) == 1 else []
-        now.update(zip(plain, self._encode_words(plain, lead), strict=True))
+        plain = [w for w in new if w.isalpha()]
+        now.update(zip(plain, self._encode_letters(plain, lead), strict=True))
         other = [w for w in new if w not in now]
         now.update(zip(other, self._encode([lead + w for w in other]), strict=True))
-        marks = dict(zip(_MARKS, self._encode(list(_MARKS)), strict=True)) if marked else {}
-        for c in marked:
-            now[c] = now[c[:-1]] + marks[c[-1]]
+        unseen = list({m for _, _, m in marked} - self.marks.keys())
+        self.marks.update(zip(unseen, self._encode(unseen), strict=True))
+        for c, word, mark in marked:
+            now[c] = now[word] + self.marks[mark]
+        if len(self.marks) > 20_000:
+            self.marks = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         plans, heads, tails = [], set(), set()
@@ -105,13 +118,14 @@ class ByteIds:
             parts = [text or ""] if self.specials is None or not text or "<" not in text else self.specials.split(text)
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append((part, None))
+                    plan.append((part, None, None))
                 elif part:
                     for piece in segments(part):
                         cut = piece.split(" ")
-                        heads.add(cut[0])
-                        tails.update(cut[1:])
-                        plan.append((piece, cut))
+                        first = cut.pop(0)
+                        heads.add(first)
+                        tails.update(cut)
+                        plan.append((piece, first, cut))
             plans.append(plan)
         self._learn(self.heads, heads, "")
         self._learn(self.tails, tails, " ")
@@ -119,13 +133,13 @@ class ByteIds:
         out = []
         for plan in plans:
             ids: list[bytes] = []
-            for piece, cut in plan:
+            for piece, first, cut in plan:
                 try:
-                    if cut is None or (cut[0] and head[cut[0]] is None):
+                    if cut is None or (first and head[first] is None):
                         ids += self._encode([piece])
                     else:
-                        rest = b"".join(map(tail, cut[1:]))
-                        ids += [head[cut[0]], rest] if cut[0] else [rest]
+                        rest = b"".join(map(tail, cut))
+                        ids += [head[first], rest] if first else [rest]
                 except TypeError:  # None among the chunks
                     ids += self._encode([piece])
             out.append(b"".join(ids))
