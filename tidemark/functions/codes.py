@@ -31,10 +31,9 @@ def codes_by_level(text: Column) -> Column:
     urls = F.array_join(F.regexp_extract_all(value, F.lit(URL_PATTERN), F.lit(0)), "\n")
     in_urls = _distinct(F.regexp_extract_all(urls, F.lit(URL_CODE), F.lit(1)))
     alone = _distinct(F.regexp_extract_all(F.regexp_replace(value, URL_PATTERN, " "), F.lit(CODE), F.lit(1)))
-    out = F.struct(F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("codes"))
-    for name, found in (("standalone_code", alone), ("url_query_code", in_urls), ("company_name_field", company), ("labeled_stock_code", labelled)):
-        out = F.when(F.size(found) > 0, F.struct(F.lit(name).alias("source"), found.alias("codes"))).otherwise(out)
-    return out
+    levels = F.array(*[F.struct(F.lit(name).alias("source"), found.alias("codes")) for name, found in (("labeled_stock_code", labelled), ("company_name_field", company), ("url_query_code", in_urls), ("standalone_code", alone))])
+    none = F.struct(F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("codes"))
+    return F.coalesce(F.get(F.filter(levels, lambda s: F.size(s["codes"]) > 0), F.lit(0)), none)
 
 
 def fallback_text(text: Column) -> Column:

@@ -20,7 +20,7 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
 def retained(events: DataFrame, now: Column, *, group: str, key: str, time: str, bucket: str, limits: dict[str, tuple[int, int]]) -> DataFrame:
     """Retention: newest row per key, buckets with (days, cap) limits; future times pass, null times are too old."""
     newest = first_per_key(events, [group, key], [F.col(time).desc_nulls_last(), F.col(key)])
-    age = F.floor(F.timestamp_diff("SECOND", F.col(time), now) / 86_400) if hasattr(F, "timestamp_diff") else F.floor((F.unix_timestamp(now) - F.unix_timestamp(time)) / 86_400)
+    age = F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col(time).cast("timestamp"))) / 86_400)
     days, cap = F.lit(None).cast("int"), F.lit(None).cast("int")
     for name, (most_days, most) in limits.items():
         days = F.when(F.col(bucket) == name, most_days).otherwise(days)

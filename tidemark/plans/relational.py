@@ -104,10 +104,10 @@ def union_priority_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.union_by_priority([domestic, foreign], ["text_hash"], [F.col("doc_id")]).select("doc_id", "source", "source_priority")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
 
 
 @query("SELECT event_id, user_id FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
@@ -166,7 +166,7 @@ def validate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT lower(p_brand) AS code, lower(w) AS term FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS w FROM part) UNION SELECT DISTINCT lower(p_brand), lower(p_type) FROM part)
+WITH t AS (SELECT DISTINCT lower(p_brand) AS code, lower(w) AS term FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT DISTINCT lower(p_brand), lower(p_name) FROM part)
 SELECT a.code, list_sort(list(DISTINCT b.term)) AS x FROM t a JOIN t b ON a.code <> b.code AND contains(b.term, a.term) AND b.term <> a.term GROUP BY a.code
 """.replace("list_sort(list(DISTINCT b.term)) AS x", "CAST(count(DISTINCT b.term) AS BIGINT) AS excluded_terms, min(b.term) AS first_term, max(b.term) AS last_term"))
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms have, and substrings join terms by equality.
     """
     part = table(spark, sf_dir, "part")
-    words = part.select(F.lower("p_brand").alias("code"), F.explode(F.concat(F.split("p_type", " "), F.array("p_type"))).alias("term"))
+    words = part.select(F.lower("p_brand").alias("code"), F.explode(F.concat(F.split("p_name", " "), F.array("p_name"))).alias("term"))
     terms = words.select("code", F.lower("term").alias("term")).distinct()
     longer = terms.select("term").distinct()
     pieces = longer.select(F.col("term").alias("outer_term"), F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i")).select("outer_term", "i", F.explode(F.sequence(F.lit(1), F.length("outer_term") - F.col("i") + 1)).alias("n"))

@@ -54,22 +54,22 @@ def operation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'missing_detail' AS finding, CAST(c_custkey AS VARCHAR) AS key, 1 AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+SELECT 'missing_detail' AS finding, CAST(c_custkey AS VARCHAR) AS key, 1 AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)
 UNION ALL SELECT 'unexpected_detail', CAST(user_id AS VARCHAR), count(*) FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY user_id
 UNION ALL SELECT 'duplicate_id', CAST(o_orderkey AS VARCHAR), count(*) FROM orders GROUP BY o_orderkey HAVING count(*) > 1
 UNION ALL SELECT 'case_collision', lower(url), count(*) FROM pages GROUP BY lower(url) HAVING count(*) > 1
-UNION ALL SELECT 'forbidden_text', CAST(doc_id AS VARCHAR), 1 FROM documents WHERE regexp_matches(text, '(?i)api[_-]?key|password|secret')
+UNION ALL SELECT 'forbidden_text', CAST(doc_id AS VARCHAR), 1 FROM documents WHERE regexp_matches(text, '(?i)api[_-]?key|password|[a-z0-9._]+@[a-z0-9.-]+[.][a-z]{2,}')
 UNION ALL SELECT 'several_owners', CAST(ps AS VARCHAR), n FROM (SELECT l_orderkey AS ps, count(DISTINCT o_custkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey) WHERE n > 1
 """)
 def integrity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All integrity findings as one long table."""
     customer, orders, events = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
     one = F.lit(1).cast("bigint")
-    missing = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("missing_detail").alias("finding"), F.col("c_custkey").cast("string").alias("key"), one.alias("n"))
+    missing = customer.join(events, F.col("c_custkey") == F.col("user_id"), "left_anti").select(F.lit("missing_detail").alias("finding"), F.col("c_custkey").cast("string").alias("key"), one.alias("n"))
     unexpected = events.join(customer, F.col("c_custkey") == F.col("user_id"), "left_anti").groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit("unexpected_detail").alias("finding"), F.col("user_id").cast("string").alias("key"), "n")
     twice = orders.groupBy("o_orderkey").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("finding"), F.col("o_orderkey").cast("string").alias("key"), "n")
     collide = table(spark, sf_dir, "pages").groupBy(F.lower("url").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("case_collision").alias("finding"), "key", "n")
-    forbidden = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit("(?i)api[_-]?key|password|secret"))).select(F.lit("forbidden_text").alias("finding"), F.col("doc_id").cast("string").alias("key"), one.alias("n"))
+    forbidden = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit("(?i)api[_-]?key|password|[a-z0-9._]+@[a-z0-9.-]+[.][a-z]{2,}"))).select(F.lit("forbidden_text").alias("finding"), F.col("doc_id").cast("string").alias("key"), one.alias("n"))
     owners = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.count_distinct("o_custkey").alias("n")).where("n > 1").select(F.lit("several_owners").alias("finding"), F.col("l_orderkey").cast("string").alias("key"), "n")
     out = missing
     for part in (unexpected, twice, collide, forbidden, owners):
