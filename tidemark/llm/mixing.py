@@ -152,10 +152,13 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keys = ["id", "h", "source", "start", "size", "round"]
     taken = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"), F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
     # rows that share id and text are equal in what the mix sees; each has its own start and so its own rows
-    texts = docs.withColumns({"mix_id": F.col(id_col), "mix_h": F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))}).dropDuplicates(["mix_id", "mix_h"])
-    joined = taken.join(texts, F.col("h").eqNullSafe(F.col("mix_h")) & F.col("id").eqNullSafe(F.col("mix_id")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    # the document's own columns stay apart, whatever their names
+    texts = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row_h")).dropDuplicates(["row_id", "row_h"])
+    joined = taken.join(texts, F.col("h").eqNullSafe(F.col("row_h")) & F.col("id").eqNullSafe(F.col("row_id")))
+    whole = F.col("row")[text_col]
+    words = F.regexp_extract_all(whole, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     parts = F.flatten(F.transform("spans", lambda s: F.slice(words, s["a"] + 1, s["b"] - s["a"])))
-    text = F.when(F.col("words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(parts, ""))
-    columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else texts[c].alias(c) for c in docs.columns]
-    return joined.select(*columns)
+    text = F.when(F.col("words") == F.col("size"), whole).otherwise(F.array_join(parts, ""))
+    kept = joined.select("row", text.alias("text"))
+    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return kept.select(*columns)
