@@ -22,8 +22,8 @@ import struct
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .words import PreTokens, load_tokenizer, rows_of
 
 #: Characters and documents of a block, buckets for each shuffle partition, documents that make a pre-token hot.
-BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 4_000_000, 60_000, 8, 64
+BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 2_000_000, 60_000, 8, 64
 
 _ROWS = "block long, bucket long, data binary"
 _ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
@@ -79,7 +79,7 @@ def _block(block: int, ids: list, texts: list, split: PreTokens, buckets: int):
         coded = pa.array(words, pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy()
         documents = np.bincount(codes)
-        hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         hashes = np.where(documents >= HOT, hashes + np.uint64(block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), hashes)
         bucket = (hashes >> np.uint64(16)) % np.uint64(buckets)
         by_bucket = np.argsort(bucket, kind="stable")
