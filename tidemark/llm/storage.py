@@ -54,3 +54,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows where the session has Spark's default: whole texts are long rows, and a
+    batch is held by the JVM and by the Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")

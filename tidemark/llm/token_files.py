@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .storage import long_rows
 from .words import load_tokenizer, rows_of, segments, specials_pattern
 
 BLOCK_CHARS = 1_500_000
@@ -55,7 +56,7 @@ class _Known:
 class ByteIds:
     """Ids of whole texts as the library gives them, from ids of chunks that it encoded once."""
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 100_000):
         self.tokenizer = load_tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = specials_pattern(path)
@@ -192,6 +193,7 @@ def _write(path: str, tokenizer_file: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the files below ``path`` (a folder all executors share) and return the manifest's shards."""
     spark = docs.sparkSession
+    long_rows(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     store, folder = fs.FileSystem.from_uri(path)
