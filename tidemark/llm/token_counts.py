@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import long_rows
 from .words import PreTokens, load_tokenizer, rows_of
 
 #: Characters and documents of a block, buckets for each shuffle partition, documents that make a pre-token hot.
@@ -191,6 +192,7 @@ def pretoken_frequencies(docs: DataFrame, tokenizer_file: str, buckets: int, id_
 
 def token_counts(docs: DataFrame, tokenizer_file: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    long_rows(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = pretoken_frequencies(docs, tokenizer_file, SPREAD * partitions, id_col, text_col)
     sums = postings.repartition(partitions, "bucket").sortWithinPartitions("block", "bucket").mapInArrow(_sum_pieces(tokenizer_file), _ROWS)
