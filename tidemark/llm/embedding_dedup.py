@@ -143,6 +143,6 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.9, limit: int
     named = stored(named, "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(smallest, "component").select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("links"))
-    out = features.select("id", "node").join(by_class, "node", "left")
+    out = features.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(by_class, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

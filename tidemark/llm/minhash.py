@@ -159,6 +159,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = WIDTH, l
         named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "component").select("node", "component_id")
-    out = features.select("id", "n_shingles", "node").join(by_class, "node", "left")
+    out = features.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(by_class, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -131,7 +131,7 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
         store.move(mark, name)
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
-    return records.select(record_bytes()).mapInArrow(run, "file string, records long")
+    return records.select(record_bytes().alias("record")).mapInArrow(run, "file string, records long")
 
 
 def oracle() -> str:
