@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the news rules.
 TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "campaign"]
@@ -57,13 +58,13 @@ EMAIL_PATTERN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE_PATTERN = r"(?<!\d)(?:\+82[- ]?10|010)[- ]\d{3,4}[- ]\d{4}(?!\d)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped_nfkc(values: pd.Series) -> pd.Series:
     """HTML entities resolved, then NFKC: neither is a built-in function."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", html.unescape(v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -78,7 +79,7 @@ def greedy_deduplicated(articles: DataFrame, group: str, url: str, title: str, p
     return articles.join(scanned, position, "left").withColumn("kept_position", F.coalesce("kept_position", position))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     """Longest-matching-blocks ratio of two titles (order matters): no built-in function has it."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(first, second, strict=True)])

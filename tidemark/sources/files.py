@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -38,7 +38,7 @@ def without_company(base: DataFrame, detail: DataFrame, code: str, column: str =
     return base.where(F.col(column) != code).unionByName(detail)
 
 
-@F.pandas_udf("struct<text:string, encoding:string>")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
 def decoded(content: pd.Series) -> pd.DataFrame:
     """Bytes as text: empty, UTF-8 with or without mark, CP949, or unreadable."""
 
@@ -91,7 +91,7 @@ class _Cells(HTMLParser):
             self.rows.append(self.row)
 
 
-@F.udtf(returnType="position int, cells array<string>")
+@F.udtf(returnType=StructType([StructField("position", IntegerType()), StructField("cells", ArrayType(StringType()))]))
 class HtmlRows:
     """Rows of the tables in an HTML export."""
 
