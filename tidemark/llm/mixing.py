@@ -131,7 +131,8 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 def taken_words(targets: DataFrame, pieces: DataFrame, slots: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, size, source_size, target, taken (words of it in the mix, repeats counted)."""
     uses = slots.groupBy(F.col("source").alias("u_source"), F.col("block").alias("u_block")).agg(F.count("*").alias("uses"))
-    used = pieces.join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
+    # uses grow with the input, whatever the planner makes of unfolded runs: never broadcast them
+    used = pieces.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
     words = F.coalesce((F.col("to_word") - F.col("from_word")) * F.col("uses"), F.lit(0))
     # documents without words may share a start; with their row count they come back one by one
     taken = used.groupBy("id", "source", "size", "start", "h").agg(F.sum(words).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empty"))
@@ -148,7 +149,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     _, pieces, slots = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     uses = slots.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "round")
-    used = pieces.join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
+    used = pieces.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
     keys = ["id", "h", "source", "start", "size", "round"]
     taken = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"), F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
     # rows that share id and text are equal in what the mix sees; each has its own start and so its own rows
