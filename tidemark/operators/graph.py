@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: rounds don't pile up lineage and survive lost executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -19,20 +19,20 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def least_labels(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by rounds of contraction over (src, dst)."""
-    edges = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         parents = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("parent"))
         above = parents.select(F.col("node").alias("an"), F.col("parent").alias("ap"))
-        parents = _cut(parents.join(above, F.col("parent") == F.col("an"), "left").select("node", F.coalesce("ap", "parent").alias("parent")))
+        parents = cut(parents.join(above, F.col("parent") == F.col("an"), "left").select("node", F.coalesce("ap", "parent").alias("parent")))
         if labels is None:
             labels = parents.withColumnRenamed("parent", "component")
         else:
             up = parents.select(F.col("node").alias("pn"), "parent")
-            labels = _cut(labels.join(up, F.col("component") == F.col("pn"), "left").select("node", F.coalesce("parent", "component").alias("component")))
+            labels = cut(labels.join(up, F.col("component") == F.col("pn"), "left").select("node", F.coalesce("parent", "component").alias("component")))
         a = parents.select(F.col("node").alias("src"), F.col("parent").alias("a"))
         b = parents.select(F.col("node").alias("dst"), F.col("parent").alias("b"))
-        edges = _cut(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        edges = cut(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         if edges.isEmpty():
             return labels

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, fiscal
+from .graph import cut
 from .rank import first_per_key
 
 # The grammar of disclosure messages.
@@ -31,7 +32,9 @@ def amounts(text: Column) -> Column:
 
 
 def amount(raw: Column, forecast: bool = False) -> Column:
-    return F.when(raw.isNotNull(), F.struct(F.trim(raw).alias("raw"), fiscal.parse_amount(raw, negative_parentheses=not forecast).alias("value_won")))
+    # bound once in a lambda: the parse names its input many times
+    parsed = F.get(F.transform(F.array(raw), lambda r: F.struct(F.trim(r).alias("raw"), fiscal.parse_amount(r, negative_parentheses=not forecast).alias("value_won"))), F.lit(0))
+    return F.when(raw.isNotNull(), parsed)
 
 
 def first_amount(text: Column) -> Column:
@@ -59,6 +62,11 @@ def disclosure_datetime(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit(date)), day)
 
 
+def bound(value: Column, function) -> Column:
+    """function(value) with the value bound once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def report_quarter(period: Column) -> Column:
     month = F.regexp_extract(period, r"20\d{2}[.\-/](\d{1,2})", 1).try_cast("int")
     by_month = F.when(month.between(1, 12), F.concat(F.regexp_extract(period, r"(20\d{2})[.\-/]\d{1,2}", 1), F.lit(" Q"), fiscal.month_quarter(month).cast("string")))
@@ -73,20 +81,23 @@ def provisional(text: Column) -> Column:
 def parsed_fields(messages: DataFrame, id_col: str = "id", text_col: str = "text", date_col: str | None = "date") -> DataFrame:
     """One row a message: kind, company, code, report, period, time, provisional, links."""
     text = normalized_text(F.col(text_col))
-    rows = messages.select(F.col(id_col).alias("id"), text.alias("text"), codes.codes_by_level(text).alias("code"), (F.col(date_col).cast("string") if date_col else F.lit(None).cast("string")).alias("date"))
-    field = labelled(F.col("text"), ["기업명", "회사명", "종목명"])
-    bracket = F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)]", 1), F.lit(""))
+    date = F.col(date_col).cast("string") if date_col else F.lit(None).cast("string")
+    rows = messages.select(F.col(id_col).alias("id"), text.alias("text"), date.alias("date"))
     by_line = F.get(F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit("보고서|신고서|결정|계약|배당"))), F.lit(0))
-    report = F.coalesce(labelled(F.col("text"), ["보고서명", "공시명"]), F.nullif(F.trim(F.regexp_replace(by_line, r"^\s*\[[^\]]*\]\s*", "")), F.lit("")))
-    url = F.nullif(F.regexp_replace(F.regexp_extract("text", DART_URL, 0), "[.,]+$", ""), F.lit(""))
-    first = rows.select(
-        "id", "text", "date", codes.message_kind(F.col("text")).alias("classification"), F.coalesce(company_name(field), bracket).alias("company_name"), F.get("code.codes", F.lit(0)).alias("stock_code"),
-        F.col("code.source").alias("company_code_source"), labelled(F.col("text"), ["시가총액", "시총"]).alias("market_cap_text"), report.alias("report_name"), labelled(F.col("text"), ["보고기간", "보고서기간", "귀속기간", "실적기간"]).alias("explicit_period"),
-        F.coalesce(disclosure_datetime(labelled(F.col("text"), ["공시 시각", "공시시각", "공시일시", "공시 일시"])).cast("string"), F.col("date")).alias("disclosure_datetime"),
-        provisional(F.col("text")).alias("provisional"), url.alias("dart_url"), F.nullif(F.regexp_extract("text", RECEIPT, 1), F.lit("")).alias("dart_receipt_number"),
+    # raw fields first: what is derived from them names each several times
+    raw = rows.select(
+        "id", "text", "date", codes.codes_by_level(F.col("text")).alias("code"), labelled(F.col("text"), ["기업명", "회사명", "종목명"]).alias("field"), F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)]", 1), F.lit("")).alias("bracket"),
+        labelled(F.col("text"), ["시가총액", "시총"]).alias("market_cap_text"), labelled(F.col("text"), ["보고서명", "공시명"]).alias("report"), by_line.alias("line"), labelled(F.col("text"), ["보고기간", "보고서기간", "귀속기간", "실적기간"]).alias("period"),
+        labelled(F.col("text"), ["공시 시각", "공시시각", "공시일시", "공시 일시"]).alias("time"), F.regexp_extract("text", DART_URL, 0).alias("url"), F.regexp_extract("text", RECEIPT, 1).alias("receipt"),
+    )
+    report = F.coalesce("report", F.nullif(F.trim(F.regexp_replace("line", r"^\s*\[[^\]]*\]\s*", "")), F.lit("")))
+    named = raw.select(
+        "id", "text", codes.message_kind(F.col("text")).alias("classification"), F.coalesce(company_name(F.col("field")), "bracket").alias("company_name"), F.get("code.codes", F.lit(0)).alias("stock_code"), F.col("code.source").alias("company_code_source"),
+        "market_cap_text", report.alias("report_name"), F.coalesce(bound(F.col("time"), disclosure_datetime).cast("string"), F.col("date")).alias("disclosure_datetime"), provisional(F.col("text")).alias("provisional"),
+        F.nullif(F.regexp_replace("url", "[.,]+$", ""), F.lit("")).alias("dart_url"), F.nullif("receipt", F.lit("")).alias("dart_receipt_number"), "period",
     )
-    period = F.coalesce("explicit_period", F.nullif(F.regexp_extract("report_name", r"\((20\d{2}[.\-/]\d{1,2})\)", 1), F.lit("")))
-    return first.withColumn("report_period", period).drop("explicit_period", "date").withColumn("explicit_code_found", F.col("stock_code").isNotNull())
+    period = F.coalesce("period", F.nullif(F.regexp_extract("report_name", r"\((20\d{2}[.\-/]\d{1,2})\)", 1), F.lit("")))
+    return named.withColumn("report_period", period).drop("period").withColumn("explicit_code_found", F.col("stock_code").isNotNull())
 
 
 def lines_of(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -193,8 +204,9 @@ def split_files(files: DataFrame, path_col: str = "path", text_col: str = "text"
     parts = rows.withColumn("parts", F.filter(F.split("text", HEADER), lambda p: F.trim(p) != "")).withColumn("ids", F.size(F.regexp_extract_all("text", F.lit(MESSAGE_ID), F.lit(0))))
     several = parts.where("size(parts) > 1 and ids > 1").select("path", F.posexplode("parts").alias("split_index", "part")).select("path", "split_index", F.regexp_replace("part", r"^[\n\- ]+|[\n\- ]+$", "").alias("part"))
     keyed = several.select(F.concat_ws("|", "path", F.col("split_index").cast("string")).alias("id"), "path", "split_index", F.col("part").alias("text"))
+    keyed = cut(keyed)  # parsed and cut again below
     earns = parsed_messages(keyed.select("id", "text"), date_col=None).select("id", "has_earnings_data")
     judged = keyed.join(earns, "id").groupBy("path").agg(F.bool_and("has_earnings_data").alias("certain"))
-    cut = keyed.join(judged.where("certain"), "path").select("path", "split_index", "text", F.lit(False).alias("uncertain"))
+    divided = keyed.join(judged.where("certain"), "path").select("path", "split_index", "text", F.lit(False).alias("uncertain"))
     whole = rows.join(judged, "path", "left").where("certain is null or not certain").select("path", F.lit(0).alias("split_index"), "text", F.coalesce(~F.col("certain"), F.lit(False)).alias("uncertain"))
-    return cut.unionByName(whole)
+    return divided.unionByName(whole)

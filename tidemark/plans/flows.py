@@ -11,7 +11,7 @@ from ..operators import articles as A
 from ..operators import messages as M
 from ..operators import parser as P
 from ..operators import rank, series
-from ..operators.graph import least_labels
+from ..operators.graph import cut, least_labels
 from ..operators.merge import upserted
 
 # Retention of public events (days, cap) by level.
@@ -134,7 +134,7 @@ def message_flow(messages: DataFrame, companies: DataFrame) -> dict[str, DataFra
     parsed = P.parsed_messages(messages.join(assigned.select("id"), "id", "left_semi")).join(assigned, "id")
     problem = F.when(F.col("classification") == "unknown", "parse_unknown").when(F.col("stock_code").isNotNull() & (F.col("stock_code") != F.col("target")), "parsed_code_target_mismatch")
     judged = parsed.withColumn("problem", problem)
-    good = judged.where("problem is null").withColumn("stock_code", F.col("target")).drop("problem", "target")
+    good = cut(judged.where("problem is null").withColumn("stock_code", F.col("target")).drop("problem", "target"))
     quarantine = routes.where("status = 'quarantine'").select("id", "stock_code", "reason").unionByName(judged.where("problem is not null").select("id", F.col("target").alias("stock_code"), F.col("problem").alias("reason")))
     context = messages.select("id", F.substring(T.redacted(F.col("text")), 1, 60).alias("context"))
     return {"quarters": final_quarters(good), "disclosures": disclosures(good), "quarantine": quarantine.join(context, "id", "left")}
@@ -163,10 +163,10 @@ def disclosures(parsed: DataFrame, most: int = 100) -> DataFrame:
 def earnings_flow(files: DataFrame) -> DataFrame:
     """Quarters of text files (path, folder_code, text, first_copy): split, parse, 'corrected, then latest', last eight."""
     kept = files.where("first_copy and text is not null and text <> ''")
-    parts = P.split_files(kept).join(kept.select("path", "folder_code"), "path")
+    parts = cut(P.split_files(kept)).join(kept.select("path", "folder_code"), "path")
     keyed = parts.withColumn("id", F.concat_ws("|", "path", F.col("split_index").cast("string")))
     basis = keyed.select("id", "folder_code", "split_index", P.accounting_basis(F.col("text")).alias("basis"), P.metric_basis(F.col("text")).alias("metric_basis"), P.accounting_standard(F.col("text")).alias("standard"))
-    found = P.candidates(P.parsed_messages(keyed.select("id", "text"), date_col=None)).drop("stock_code").join(basis, "id")
+    found = P.candidates(cut(P.parsed_messages(keyed.select("id", "text"), date_col=None))).drop("stock_code").join(basis, "id")
     order = F.lit(0)
     for name, value in P.BASIS_RANK.items():
         order = F.when(F.col("basis") == name, value).otherwise(order)

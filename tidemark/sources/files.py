@@ -58,7 +58,7 @@ def decoded(content: pd.Series) -> pd.DataFrame:
 def text_tree(spark: SparkSession, root: str) -> DataFrame:
     """Text files below six-character code folders: path, folder_code, sha256, text, encoding, n_bytes, first_copy.
 
-    first_copy marks the first path of each content, so copies can be left out without losing their count.
+    Spark's file sources give no row for files of zero bytes.  first_copy marks the first path of each content, so copies can be left out without losing their count.
     """
     from pyspark.sql import Window
 

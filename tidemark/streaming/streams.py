@@ -113,7 +113,7 @@ def poll_states(outcomes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keyed cursor state over a stream of run outcomes (ok boolean, run_at timestamp, error string).
 
     Success moves the cursor and clears failures; failure keeps it and counts up.  State leaves
-    after 90 days without an outcome.
+    when event time is 90 days past the last outcome.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in outcomes.schema if f.name in key)
 
@@ -122,15 +122,18 @@ def poll_states(outcomes: DataFrame, key: Sequence[str]) -> DataFrame:
             state.remove()
             return
         last, failures, error = state.get if state.exists else (None, 0, None)
+        times = []
         for pdf in batches:
+            times += list(pdf["run_at"])
             for row in pdf.sort_values("run_at").itertuples():
                 if row.ok:
                     last, failures, error = row.run_at.isoformat(), 0, None
                 else:
                     failures, error = failures + 1, row.error
         state.update((last, failures, error))
-        state.setTimeoutDuration(90 * 86_400_000)
+        newest = max(int(row_time.timestamp() * 1000) for row_time in times)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 90 * 86_400_000)
         yield pd.DataFrame([[*group, last, failures, error]], columns=[*key, "last_successful_run", "consecutive_failures", "last_error"])
 
     out = f"{schema}, last_successful_run string, consecutive_failures int, last_error string"
-    return outcomes.groupBy(*key).applyInPandasWithState(step, out, "last string, failures int, error string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return outcomes.withWatermark("run_at", "1 day").groupBy(*key).applyInPandasWithState(step, out, "last string, failures int, error string", "update", GroupStateTimeout.EventTimeTimeout)
