@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -100,6 +101,22 @@ def test_vectors_equal_brute_force(spark, limit):
     assert got == {k: (int(near[k].sum()) - 1, want[k], want[k] == k) for k in range(len(rows))}
 
 
+def test_isolated_pairs_near_the_threshold_meet(spark):
+    """Pairs at cosine 0.900 to 0.93, each without other links: recall 0.99 and more."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], 600
+    for k in range(pairs):
+        a, b = rng.standard_normal((2, 128))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        c = 0.9 + 1e-6 + 0.03 * k / pairs
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(table).collect()}
+    met = [k for k in range(pairs) if got[2 * k + 1] == (1, 2 * k, False) and got[2 * k] == (1, 2 * k, True)]
+    assert len(met) >= 0.99 * pairs
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, float("inf")]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0, 0.0]), (None, [1.0, 2.0]), (9, [1e300, 2e300]), (10, [1e-300, 2e-300])]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, node long, payload string")

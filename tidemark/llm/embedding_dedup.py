@@ -7,7 +7,7 @@ different components has been tested (``regions.py``); then every component coun
 pairs of its vectors in blocks of bounded size.  Equal vectors are one node with a count.
 
 At cosine 0.9 (distance 0.447) a hash agrees with probability 0.82 and a pair meets in some table
-with 0.88, at 0.95 with 0.997; every pair inside a component is found whichever way the component
+with 0.996, at 0.91 with 0.998; every pair inside a component is found whichever way the component
 came together.  Vectors of no relation agree with 0.49 a hash, 1e-5 a bucket; tables of 10^8
 vectors and more want more hashes and tables (the parameters), as with any such index.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .regions import block_grid, components_by_regions, regions_with_company, sorted_groups
 from .storage import stored
 
-TABLES, HASHES, CELL = 48, 16, 2.0
+TABLES, HASHES, CELL = 128, 16, 2.0
 #: Vectors of a region or block that one task holds.
 LIMIT = 4096
 ROUNDS = [[*range(0, 4)], [*range(4, 16)], [*range(16, TABLES)]]
