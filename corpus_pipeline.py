@@ -6,8 +6,9 @@ rows that share an id are judged each by their own text, and null ids are no exc
 
 * quality: documents that fail the base rules or leave their language's perplexity band go.
 * toxicity: documents of expected severity 0.5 and more go; the model is fitted on the labels.
-* minhash: of each group of near-duplicates (five words, 0.8) the smallest id stays, once; rows
-  without an id stay.
+* minhash: of each group of near-duplicates (five words, 0.8) one row with an id stays, that of the
+  smallest id (equal ids in the order of their keys), and one of its rows without an id.  Rows
+  without words stay.
 * mixing: documents that the mix takes nothing of go, those it takes in part keep the words taken,
   those it takes again come again.
 * bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the hash of the decoded text.
@@ -47,11 +48,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = minhash.near_duplicates(docs, percent=80)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
     keyed = _keyed(docs)
-    named = keyed.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", _KEY])
-    return named.unionByName(keyed.where("doc_id is null")).select(docs.columns)
+    groups = stored(minhash.near_duplicates(keyed, percent=80, id_col=_KEY), "groups")
+    rows = groups.join(keyed.select(_KEY, "doc_id").distinct(), _KEY)
+    each = rows.where("n_shingles > 0").groupBy("component_id", F.col("doc_id").isNull())
+    first = each.agg(F.min(F.struct("doc_id", _KEY)).alias("first")).select(F.col(f"first.{_KEY}").alias(_KEY))
+    wordless = groups.where("n_shingles = 0").select(_KEY).distinct()
+    one = keyed.join(first, _KEY, "left_semi").dropDuplicates([_KEY])
+    return one.unionByName(keyed.join(wordless, _KEY, "left_semi")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,15 @@ def test_near_copies_leave_one_document(spark, sf_dir):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [0, 9, None]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, sf_dir):
+    """Id 5 has a copy of id 1's text and two texts of its own, one with a copy under a larger id; ids 7 hold two near-copies."""
+    one, two, three, four = (" ".join(f"{name}{k}" for k in range(100)) for name in ("a", "b", "c", "d"))
+    rows = [(1, one), (5, one + " tail"), (5, two), (8, two + " tail"), (5, three), (7, four), (7, four + " tail"), (None, three), (None, three + " tail"), (None, three + " tail"), (None, "own words of a row without an id"), (None, "own words of a row without an id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.minhash_stage(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a0"), (5, "b0"), (5, "c0"), (7, "d0"), (None, "c0"), (None, "own")], key=str)
+
+
 def test_odd_rows_pass_every_stage(spark, sf_dir):
     for make in (odd_documents, no_documents):
         docs = make(spark)
