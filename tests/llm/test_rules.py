@@ -69,6 +69,21 @@ def test_perplexity_equals_a_plain_model(spark):
         assert math.isclose(math.log2(r.perplexity), sum(bits) / len(bits), rel_tol=1e-5)
 
 
+def test_every_gram_and_language_has_its_own_entry(spark):
+    """Texts of many different 4-grams, and 70 languages: perplexity is that of the exact model of the own language."""
+    rnd = random.Random(3)
+    texts = {f"l{k}": ["".join(chr(rnd.choice((*range(33, 123), 32))) for _ in range(9000 if k < 2 else 60 + k)) for _ in range(2)] for k in range(70)}
+    docs = spark.createDataFrame([(n, t, lang) for lang, both in texts.items() for n, t in enumerate(both)], "doc_id long, text string, lang string")
+    got = Counter((round(math.log2(r.perplexity), 6)) for r in quality.quality(docs).collect())
+    want = Counter()
+    for both in texts.values():
+        model = plain_model(both)
+        for raw in (b"\n\n\n" + t.encode() for t in both):
+            bits = [-math.log2(model[raw[k : k + 4]]) for k in range(len(raw) - 3)]
+            want[round(sum(bits) / len(bits), 6)] += 1
+    assert sum((got & want).values()) >= 138  # a rounding edge may differ
+
+
 def test_bands_keep_clean_documents_and_reject_foreign_ones(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     noise = spark.createDataFrame([(10_000, " ".join("".join(chr(33 + random.Random(k * 9 + j).randrange(90)) for j in range(9)) for k in range(120)), "en", "x", 1)], docs.schema)

@@ -2,14 +2,14 @@
 
 Method: a modified Kneser-Ney model of order 4 over the bytes of the texts, one for each language,
 is counted by Spark over all documents: 4-gram counts, continuation counts for the lower orders,
-discounts from the counts of counts, interpolated down to 1/256.  The result is kept in sorted
-hash arrays: for each language and order the sorted slot numbers of the n-grams' hashes and their
-log-probabilities.  A document's perplexity is two to its mean negative log2 probability a byte.
-Each language has a band around the median over all its documents, wider above than below, in
-units of the median absolute deviation; documents outside are rejected.
+discounts from the counts of counts, interpolated down to 1/256.  A document's perplexity is two to
+its mean negative log2 probability a byte.  Each language has a band around the median over all its
+documents, wider above than below, in units of the median absolute deviation; documents outside are
+rejected.
 
-Size of what is broadcast: ``SLOTS`` slots at most for each order of each of ``LANGUAGES`` models,
-8 bytes each; the most frequent languages have a model each, all others share one.
+Every n-gram has an entry of its own, and every language a model.  Documents are packed into blocks
+of one language; the distinct 4-grams of each block are joined to the model, and a block is scored
+by the sorted hash array of its own n-grams.  Nothing is broadcast, and a task holds a block.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a
 language; null ids are kept; repeated rows each get their own result row; texts are scored whole;
@@ -18,6 +18,9 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bz2
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-ORDER, SLOTS, LANGUAGES = 4, 1 << 18, 64
+ORDER = 4
 #: Rejection: base rules.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Bands in bits a byte: median - max(LOW x mad, LOW_BITS) to median + max(HIGH x mad, HIGH_BITS).
 LOW, LOW_BITS, HIGH, HIGH_BITS = 16.0, 0.6, 30.0, 1.25
-BLOCK_BYTES = 4_000_000
+#: Bytes of texts in a block, and of all blocks that a task has open.
+BLOCK_BYTES, OPEN_BYTES = 8_000_000, 16_000_000
 _SPACES, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-_OTHER = "\x00other"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,70 +85,73 @@ def byte_grams(raw: bytes) -> np.ndarray:
 
 
 def slots_of(grams: np.ndarray) -> np.ndarray:
-    """Slot numbers of n-gram codes: the multiplicative hash that ``_slot`` has in SQL (products stay below 2^63)."""
-    return ((grams.astype(np.int64) * 1_640_531_527 % 4_294_967_296) >> 14).astype(np.int64)
-
+    """Hashes of n-gram codes: multiplication by an odd number modulo 2^32, so different codes have different hashes."""
+    return grams.astype(np.int64) * 1_640_531_527 % 4_294_967_296
 
-def _slot(gram):
-    return F.shiftright(gram * F.lit(1_640_531_527) % F.lit(4_294_967_296), 14)
 
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("grams", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
-def _count_grams(batches):
-    """(lang, gram, c) of a task, summed in the task as far as memory allows."""
-    held: dict = {}
 
-    def put(lang, raws):
-        grams, counts = np.unique(np.concatenate([byte_grams(r) for r in raws]), return_counts=True)
-        if lang in held:
-            both = np.concatenate([held[lang][0], grams])
-            grams, inverse = np.unique(both, return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([held[lang][1], counts])).astype(np.int64)
-        held[lang] = (grams, counts)
+def _pack(batches):
+    """Blocks: distinct 4-grams with counts; ids, base counts (five a document), sizes and texts of the documents."""
+    open_: dict = {}
+    size: dict = {}
 
-    def out():
-        for lang, (grams, counts) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "c"])
-        held.clear()
+    def out(lang):
+        rows = open_.pop(lang)
+        size.pop(lang)
+        raws = [raw for _, _, raw in rows]
+        found = [byte_grams(raw) for raw in raws if raw]
+        grams, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0), np.empty(0))
+        columns = [secrets.randbits(63), lang, grams.astype(np.int64), times.astype(np.int64), [r[0] for r in rows], [c for r in rows for c in r[1]], [len(raw) for raw in raws], bz2.compress(b"".join(raws))]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
-    waiting: dict = {}
-    size: dict = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
-            raw = text.encode()
-            waiting.setdefault(lang, []).append(raw)
-            size[lang] = size.get(lang, 0) + len(raw)
+        for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            raw = text.encode() if text else b""
+            open_.setdefault(lang, []).append((key, base_counts(text), raw))
+            size[lang] = size.get(lang, 0) + len(raw) + 100
             if size[lang] > BLOCK_BYTES:
-                put(lang, waiting.pop(lang))
-                size[lang] = 0
-                if sum(len(g) for g, _ in held.values()) > 4_000_000:
-                    yield from out()
-    for lang, raws in waiting.items():
-        put(lang, raws)
-    yield from out()
+                yield out(lang)
+            elif sum(size.values()) > OPEN_BYTES:
+                yield out(max(size, key=size.get))
+    for lang in list(open_):
+        yield out(lang)
+
+
+def packed(docs: DataFrame, id_col: str | None, text_col: str, lang_col: str) -> DataFrame:
+    """Blocks of documents of one language.  Block numbers are drawn, so the table must be stored before it is used twice."""
+    key = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    rows = docs.select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_pack, "block long, lang string, grams array<long>, times array<long>, ids array<long>, counts array<long>, sizes array<long>, texts binary")
+
+
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, gram, c): 4-gram counts of all blocks by language."""
+    each = blocks.select("lang", F.inline(F.arrays_zip("grams", "times")))
+    return each.groupBy("lang", F.col("grams").alias("gram")).agg(F.sum("times").alias("c"))
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, c): 4-gram counts of all documents by model group."""
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_grams, "lang string, gram long, c long")
-    return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    """(lang, gram, c): 4-gram counts of all documents by language."""
+    return block_counts(packed(docs, None, text_col, lang_col))
 
 
-def model_groups(counts: DataFrame, most: int = LANGUAGES) -> DataFrame:
-    """(lang, model): the most frequent languages by themselves, all others together."""
+def model_groups(counts: DataFrame, most: int) -> DataFrame:
+    """(lang, model): the most frequent languages; ``quality`` has a model for each language and does not use it."""
     sizes = counts.groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(most)
     return sizes.select("lang", F.coalesce("lang", F.lit("")).alias("model"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(model, n, slot, logp): log2 probabilities of all seen n-grams of orders 1 to 4, folded into slots."""
+    """(model, gram, logp): log2 probabilities of all seen 4-grams, each by itself."""
     levels = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         # continuation counts: in how many different longer n-grams each one is the end
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
         levels[n] = levels[n + 1].groupBy("model", suffix.alias("gram")).agg(F.count("*").alias("c"))
-    lower, out = None, None
+    lower = None
     for n in range(1, ORDER + 1):
         level = levels[n]
         stats = level.groupBy("model").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in range(1, 5)])
@@ -165,23 +171,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             shorter = lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
             below = joined.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(shorter, ["model", "suffix"])
         lower = stored(below.select("model", "gram", "c", ((F.col("c") - F.col("d") + F.col("freed") * F.col("q")) / F.col("total")).alias("p")), f"order{n}")
-        folded = lower.groupBy("model", F.lit(n).alias("n"), _slot(F.col("gram")).alias("slot")).agg((F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("p"))
-        out = folded if out is None else out.unionByName(folded)
-    return out.select("model", "n", "slot", F.log2("p").alias("logp"))
-
-
-def _arrays(batches):
-    from .regions import sorted_groups
-
-    for group in sorted_groups(batches, ["model", "n"]):
-        slots, values = group.column("slot").to_numpy().astype("<u4"), group.column("logp").to_numpy().astype("<f4")
-        yield pa.RecordBatch.from_arrays([group.column("model").chunk(0).slice(0, 1), group.column("n").chunk(0).slice(0, 1), pa.array([slots.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["model", "n", "slots", "logp"])
-
-
-def sorted_arrays(model: DataFrame) -> DataFrame:
-    """(model, n, slots, logp): the sorted hash arrays, at most SLOTS entries a row."""
-    keys = ["model", "n"]
-    return model.repartition(*keys).sortWithinPartitions(*keys, "slot").mapInArrow(_arrays, "model string, n int, slots binary, logp binary")
+    return lower.select("model", "gram", F.log2("p").alias("logp"))
 
 
 def bits_per_byte(raw: bytes, arrays: dict[int, tuple[np.ndarray, np.ndarray]]) -> float:
@@ -201,66 +191,41 @@ def bits_per_byte(raw: bytes, arrays: dict[int, tuple[np.ndarray, np.ndarray]])
     return float(bits.mean())
 
 
-def _score(arrays: dict[str, dict[int, tuple[bytes, bytes]]]):
-    loaded: dict = {}
-
-    def tables(model: str):
-        if model not in loaded:
-            own = arrays.get(model, arrays.get(_OTHER, {}))
-            loaded[model] = own = {n: (np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(p, "<f4")) for n, (s, p) in own.items()}
-            if ORDER in own:  # the top order as a table by slot
-                dense = np.full(SLOTS, np.nan, np.float32)
-                dense[own[ORDER][0]] = own[ORDER][1]
-                own["dense"] = dense
-        return loaded[model]
-
-    def bits(raw: bytes, own: dict) -> float | None:
-        if not raw:
-            return None
-        if "dense" in own:
-            logp = own["dense"][slots_of(byte_grams(raw))]
-            mean = float(logp.mean(dtype=np.float64))
-            if mean == mean:
-                return -mean
-        return bits_per_byte(raw, {n: v for n, v in own.items() if n != "dense"})
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode() if text else b""
-                rows.append((*base_counts(text), bits(raw, tables(lang or ""))))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.float64())], ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"])
-
-    return run
+def _score(batches):
+    """Rows of documents from blocks with the log-probabilities of their n-grams."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lang, ids, counts, sizes, texts, grams, logp = (batch.column(n).slice(k, 1) for n in range(7))
+            grams, logp = (np.asarray(c[0].values.to_numpy(zero_copy_only=False)) if c[0].is_valid else np.empty(0) for c in (grams, logp))
+            slots = slots_of(grams)
+            order = np.argsort(slots)
+            arrays = {ORDER: (slots[order], logp[order])} if len(slots) else {}
+            raws, bits, at = bz2.decompress(texts[0].as_py()), [], 0
+            for n in sizes[0].as_py():
+                bits.append(bits_per_byte(raws[at : at + n], arrays) if n else None)
+                at += n
+            base = counts[0].values.to_numpy().reshape(-1, len(_COUNTS))
+            langs = pa.array([lang[0].as_py()] * len(bits), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0].as_py(), pa.int64()), langs, *[pa.array(np.ascontiguousarray(base[:, n])) for n in range(len(_COUNTS))], pa.array(bits, pa.float64())], ["id", "lang", *_COUNTS, "bits"])
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id_col, base counts, base_failed, kept, perplexity and its language's band."""
-    spark = docs.sparkSession
-    counts = stored(gram_counts(docs, text_col, lang_col), "grams")
-    groups = model_groups(counts)
-    named = counts.join(groups, counts["lang"].eqNullSafe(groups["lang"]), "left").select(F.coalesce("model", F.lit(_OTHER)).alias("model"), "gram", "c")
-    grouped = named.groupBy("model", "gram").agg(F.sum("c").alias("c"))
-    rows = sorted_arrays(kneser_ney(grouped)).collect()  # at most (LANGUAGES + 1) x ORDER rows of SLOTS entries
-    arrays: dict = {}
-    for row in rows:
-        arrays.setdefault(row["model"], {})[row["n"]] = (bytes(row["slots"]), bytes(row["logp"]))
-    shared = spark.sparkContext.broadcast(arrays)
-
-    def score(batches):
-        yield from _score(shared.value)(batches)
-
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    scored = stored(scored.mapInArrow(score, "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"), "scored")
-    model = F.when(F.coalesce("lang", F.lit("")).isin(list(arrays)), F.coalesce("lang", F.lit(""))).otherwise(F.lit(_OTHER))
-    scored = scored.withColumn("model", model)
+    model = F.coalesce("lang", F.lit("")).alias("model")
+    blocks = stored(packed(docs, id_col, text_col, lang_col), "blocks")
+    counts = block_counts(blocks).groupBy(model, "gram").agg(F.sum("c").alias("c"))
+    probabilities = kneser_ney(stored(counts, "grams"))
+    wanted = blocks.select("block", model, F.explode("grams").alias("gram"))
+    # both grow with the corpus: never broadcast
+    found = wanted.join(probabilities.hint("merge"), ["model", "gram"]).groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("found"))
+    own = found.select("block", F.col("found.gram").alias("own"), F.col("found.logp").alias("logp"))
+    ready = blocks.drop("grams", "times").join(own.hint("merge"), "block", "left").select("lang", "ids", "counts", "sizes", "texts", "own", "logp")
+    scored = stored(ready.mapInArrow(_score, f"id long, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, bits double"), "scored").withColumn("model", model)
     middle = scored.groupBy("model").agg(F.percentile_approx("bits", 0.5, 10_000).alias("middle"))
     spread = scored.join(middle, "model").groupBy("model").agg(F.first("middle").alias("middle"), (F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 10_000) * 1.4826).alias("mad"))
     low = F.col("middle") - F.greatest(LOW * F.col("mad"), F.lit(LOW_BITS))
     high = F.col("middle") + F.greatest(HIGH * F.col("mad"), F.lit(HIGH_BITS))
-    banded = scored.join(F.broadcast(spread.select("model", low.alias("low"), high.alias("high"))), "model")  # one row a model: LANGUAGES + 1 at most
+    banded = scored.join(spread.select("model", low.alias("low"), high.alias("high")), "model")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return banded.select(
