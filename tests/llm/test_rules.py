@@ -158,3 +158,100 @@ def test_toxic_words_of_the_fixture(spark, sf_dir):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     clean = [i for i, t in labels.items() if t == 0]
     assert sum(got[i] for i in clean) <= 0.02 * len(clean) + 1
+
+
+def all_orders(texts):
+    """Probabilities and back-off weights of every order, as plain dictionaries."""
+    counts = Counter()
+    for t in texts:
+        raw = b"\n\n\n" + t.encode()
+        counts.update(raw[k : k + 4] for k in range(len(raw) - 3))
+    levels = {4: counts}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    p, b = {0: {b"": 1 / 256}}, {}
+    for n in range(1, 5):
+        c = levels[n]
+        k = [sum(v == i for v in c.values()) for i in range(1, 5)]
+        y = k[0] / max(k[0] + 2 * k[1], 1)
+        d = [min(max(i - (i + 1) * y * k[i] / max(k[i - 1], 1), 0.01), i - 0.01) for i in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            freed[g[:-1]] += d[min(v, 3) - 1]
+        b[n] = {x: freed[x] / total[x] for x in total}
+        p[n] = {g: (v - d[min(v, 3) - 1]) / total[g[:-1]] + b[n][g[:-1]] * p[n - 1][g[1:] if n > 1 else b""] for g, v in c.items()}
+    return p, b
+
+
+def plain_probability(gram, p, b):
+    for n in range(4, -1, -1):
+        tail = gram[4 - n :]
+        if tail in p[n]:
+            out = p[n][tail]
+            for m in range(n + 1, 5):
+                out *= b[m].get(gram[4 - m : -1], 1.0)
+            return out
+    raise AssertionError
+
+
+def test_texts_outside_the_model_back_off(spark):
+    """Each byte of texts that the model was not counted from: the joins give the plain model's back-off."""
+    seen = ["the cat sat on the mat and the cat ran off to the other mat today", "a dog and a cat sat on a mat while the dog ran to and fro all day"]
+    others = ["the dogs sat on zebras, qq", "MATT ran \xe9t\xe9 to the cat", "日本", "a"]
+    schema = "doc_id long, text string, lang string"
+    model = quality.language_model(spark.createDataFrame([(k, t, "en") for k, t in enumerate(seen)], schema))
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(others)] + [(9, "the cat sat", "xx"), (10, "the cat sat", None)], schema)
+    p, b = all_orders(seen)
+    got = {r.id: r for r in quality.scored_documents(docs, model).collect()}
+    for k, t in enumerate(others):
+        raw = b"\n\n\n" + t.encode()
+        bits = [-math.log2(plain_probability(raw[i : i + 4], p, b)) for i in range(len(raw) - 3)]
+        assert math.isclose(got[k].bits, sum(bits) / len(bits), rel_tol=1e-9)
+        letters = sum(c > 127 or chr(c).isalnum() for c in t.encode())
+        assert got[k].letters == letters and math.isclose(got[k].letter_bits, sum(bits) / letters, rel_tol=1e-9)
+    assert got[9].bits == 8.0 and got[10].bits == 8.0  # no model of that language
+
+
+def test_null_and_empty_languages_have_models_of_their_own(spark):
+    texts = ["one language of plain words here", "zyx wvu tsr qpo nml kji hgf edc"]
+    docs = spark.createDataFrame([(0, texts[0], None), (1, texts[1], "")], "doc_id long, text string, lang string")
+    for r in quality.scored_documents(docs).collect():
+        p, _ = all_orders([texts[r.id]])
+        raw = b"\n\n\n" + texts[r.id].encode()
+        assert math.isclose(r.bits, -sum(math.log2(p[4][raw[i : i + 4]]) for i in range(len(raw) - 3)) / len(texts[r.id]), rel_tol=1e-9)
+
+
+def test_verdicts_equal_plain_bands(spark, sf_dir):
+    """The verdict of every document of the fixture against medians and deviations in plain Python."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    by = {}
+    for r in docs.values():
+        by.setdefault(r.lang, []).append(r)
+    want = {}
+    for rows in by.values():
+        p, _ = all_orders([r.text for r in rows if r.text])
+        scores = {}
+        for r in rows:
+            raw = b"\n\n\n" + (r.text or "").encode()
+            letters = sum(c > 127 or chr(c).isalnum() for c in raw)
+            scores[r.doc_id] = (-sum(math.log2(p[4][raw[i : i + 4]]) for i in range(len(raw) - 3)) / max(letters, 1), letters)
+        middle = np.quantile([s for s, n in scores.values() if n], 0.5, method="inverted_cdf")
+        mad = 1.4826 * np.quantile([abs(s - middle) / math.sqrt((n + 300) / n) for s, n in scores.values() if n], 0.5, method="inverted_cdf")
+        for i, (s, n) in scores.items():
+            wide = math.sqrt((n + 300) / max(n, 1))
+            words, *_, repeated = plain_counts(docs[i].text)
+            want[i] = bool(n) and words >= 10 and 100 * repeated <= 20 * words and middle - wide * max(8 * mad, 0.3) <= s <= middle + wide * max(6 * mad, 0.2)
+    got = {r.doc_id: r.kept for r in quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 1  # a rounding edge may differ
+    assert not all(want[i] for i, r in docs.items() if plain_counts(r.text)[0] >= 10)
+
+
+def test_symbol_stuffed_and_piped_texts_leave_the_band(spark, sf_dir):
+    """Labelled junk that passes the base rules goes, clean documents stay."""
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet").collect()}
+    rows = [r for r in quality.quality(docs).collect() if r.doc_id in labels and not r.base_failed]
+    junk, clean = [r for r in rows if labels[r.doc_id] == 0], [r for r in rows if labels[r.doc_id] == 1]
+    assert sum(not r.kept for r in junk) >= 0.8 * len(junk) > 0
+    assert sum(r.kept for r in clean) >= 0.99 * len(clean) > 0
