@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import no_documents, odd_documents
@@ -111,3 +112,30 @@ def test_queries_give_the_library_results(spark, sf_dir):
         ids = word.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_shards_keep_the_order_of_ids_and_split_hot_ones():
+    rnd = random.Random(8)
+    ids = [None] * 40 + [7] * 60 + [-(1 << 63)] * 3 + [rnd.randrange(100) for _ in range(100)]
+    rows = sorted(((i, rnd.randrange(-(1 << 63), 1 << 63)) for i in ids), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    least = -(1 << 63)
+    keys = [least if i is None else i for i, _ in rows]
+    bounds = np.array([keys[len(keys) * k // 12] for k in range(1, 12)])
+    shards = token_files.shard_numbers([i for i, _ in rows], [t for _, t in rows], bounds)
+    assert (np.diff(shards) >= 0).all()  # sorted rows stay sorted over the shards
+    assert len(set(shards[:40])) > 1 and len({s for s, (i, _) in zip(shards, rows, strict=True) if i == 7}) > 1
+
+
+def test_counts_are_kept_in_generations(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    want = sorted(token_counts.token_counts(docs, BYTE).collect())
+    postings = [b for b in token_counts._postings(BYTE, 2)(iter([pa_rows(docs)]))]
+    monkeypatch.setattr(token_counts, "KNOWN", 50)
+    sums = list(token_counts._sum_pieces(BYTE)(iter(postings)))
+    got = [r for b in token_counts._documents(iter(sums[::-1] if sums[0].column("bucket")[0].as_py() < 0 else sums)) for r in b.to_pylist()]
+    assert sorted((r["id"], r["n_bytes"], r["n_tokens"]) for r in got) == [(r.doc_id, r.n_bytes, r.n_tokens) for r in want]
+
+
+def pa_rows(docs):
+    rows = docs.select("doc_id", "text").toArrow().combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), rows.column(0).combine_chunks(), rows.column(1).combine_chunks()], ["row_key", "id", "text"])

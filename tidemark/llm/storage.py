@@ -16,10 +16,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; where that is unset (local tests), a temporary one is set once."""
+    """Folder of ``spark.checkpoint.dir``; where that is unset, local sessions get a temporary one once, others an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(_FALLBACK["dir"])
@@ -57,8 +59,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def long_rows(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows where the session has Spark's default: whole texts are long rows, and a
-    batch is held by the JVM and by the Python worker at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "1000")
+    """Arrow batches of at most 1000 rows and 4 MB where the session has Spark's defaults: whole texts are long rows, and
+    a batch is held by the JVM and by the Python worker at once."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str(2**31 - 1), str(1 << 22))):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default) in (default, "2147483647b", f"{2**63 - 1}", f"{2**63 - 1}b"):
+            spark.conf.set(name, value)

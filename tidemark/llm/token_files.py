@@ -7,12 +7,15 @@ offsets of the shard's documents (one more than documents, from 0) and ``doc-NNN
 sum of the tokens of the shards before it.  A document's start is base + offset.  Readers map the
 files into memory where they are local.
 
-Documents are dealt to shards by range of id, so no task sees more than its range; a shard is
-written under a temporary name and renamed, so a repeated task replaces it whole.
+Texts are encoded where they are read; only ids move.  Documents are dealt to shards by range of id,
+at approximate quantiles of the ids; rows that share an id (and rows without one) are dealt to all
+shards between the quantiles that equal it, by a hash of the text.  A shard is written under a
+temporary name and renamed, so a repeated task replaces it whole.
 
 Defined cases: a null or empty text is the end id alone; null ids come first and are read back as
-null; repeated rows are written each, ordered by text; extra columns are ignored; an empty table
-gives no documents.
+null; rows of one id stand in the order of a hash of their texts, without text first; repeated rows
+are written each (equal rows in one shard); texts are encoded whole, however long, and a shard's task
+holds one of them and a bounded batch; extra columns, whatever their names, are ignored; an empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from .storage import long_rows
 from .words import load_tokenizer, rows_of, segments, specials_pattern
 
-BLOCK_CHARS = 1_500_000
+#: Characters encoded together, text bytes of a shard, chunks that an encoder keeps.
+BLOCK_CHARS, SHARD_BYTES, CACHED = 1_500_000, 256 << 20, 600_000
+_LEAST = -(1 << 63)
 _PUNCTUATION = string.punctuation
 
 
@@ -53,12 +59,17 @@ class _Known:
         return list(lacking - again)
 
 
+def id_kind(tokenizer: Tokenizer) -> np.dtype:
+    """The unsigned integers that hold a vocabulary's ids."""
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 class ByteIds:
     """Ids of whole texts as the library gives them, from ids of chunks that it encoded once."""
 
-    def __init__(self, path: str, cached: int = 100_000):
+    def __init__(self, path: str, cached: int = CACHED):
         self.tokenizer = load_tokenizer(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = id_kind(self.tokenizer)
         self.specials = specials_pattern(path)
         self.heads, self.tails = _Known(cached), _Known(cached)
         self.marks: dict[str, bytes] = {}
@@ -91,11 +102,13 @@ class ByteIds:
         missing = known.missing(chunks)
         now = known.now
         for c in missing:
+            if c.isalpha():
+                words.add(c)
+                continue
             bare = c.rstrip(_PUNCTUATION)
             if bare.isalpha():
                 words.add(bare)
-                if bare != c:
-                    marked.append((c, bare, c[len(bare) :]))
+                marked.append((c, bare, c[len(bare) :]))
             elif not c or c[0].isspace() or c[-1].isspace():
                 now[c] = None  # the cut is not safe here
             else:
@@ -150,57 +163,117 @@ class ByteIds:
 _STATE: dict = {}
 
 
-def _write(path: str, tokenizer_file: str, end_id: int):
+def _encoder(tokenizer_file: str) -> ByteIds:
+    if _STATE.get("tokenizer_file") != tokenizer_file:
+        _STATE.update(tokenizer_file=tokenizer_file, ids=ByteIds(tokenizer_file))
+    return _STATE["ids"]
+
+
+def shard_numbers(ids: list, ties: list, bounds: np.ndarray) -> np.ndarray:
+    """Shards of documents: by the place of the id among the bounds; an id that equals several bounds goes to all shards
+    between them, in the order of its ties.  No id counts as the least one."""
+    key = np.array([_LEAST if i is None else i for i in ids], np.int64)
+    low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    share = (np.array(ties, np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+    shard = np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high)
+    least = np.array([i == _LEAST for i in ids], bool)  # a real id of that value stands behind those without one
+    return np.where(least, high, shard)
+
+
+def _encode(tokenizer_file: str, end_id: int, bounds: list[int]):
+    edges = np.array(bounds, np.int64)
+
     def run(batches):
-        if _STATE.get("tokenizer_file") != tokenizer_file:
-            _STATE.update(tokenizer_file=tokenizer_file, ids=ByteIds(tokenizer_file))
-        encode: ByteIds = _STATE["ids"]
+        encode = _encoder(tokenizer_file)
         end = np.array([end_id], encode.kind).tobytes()
-        store, folder = fs.FileSystem.from_uri(path)
-        shard, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
-        names = [f"{folder}/{kind}-{shard:05d}.bin" for kind in ("ids", "off", "doc")]
-        docs = nulls = tokens = 0
-        files = [store.open_output_stream(f"{n}.{mark}") for n in names]
 
-        def put(ids, texts):
-            nonlocal docs, nulls, tokens
+        def done(ids, ties, texts):
             found = [b + end for b in encode(texts)]
-            ends = tokens + np.cumsum([len(b) // encode.kind.itemsize for b in found])
-            files[0].write(b"".join(found))
-            files[1].write(ends.astype("<u8").tobytes())
-            files[2].write(np.array([0 if i is None else i for i in ids], "<i8").tobytes())
-            docs, nulls, tokens = docs + len(ids), nulls + ids.count(None), int(ends[-1])
-
-        files[1].write(np.zeros(1, "<u8").tobytes())
-        ids, texts, size = [], [], 0
-        for doc, text in rows_of(batches):
+            return pa.RecordBatch.from_arrays([pa.array(shard_numbers(ids, ties, edges), pa.int32()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(found, pa.binary())], ["shard", "id", "tie", "ids"])
+
+        ids, ties, texts, size = [], [], [], 0
+        for doc, tie, text in rows_of(batches):
             ids.append(doc)
+            ties.append(tie)
             texts.append(text)
             size += len(text or "")
             if size >= BLOCK_CHARS:
-                put(ids, texts)
-                ids, texts, size = [], [], 0
+                yield done(ids, ties, texts)
+                ids, ties, texts, size = [], [], [], 0
         if ids:
-            put(ids, texts)
-        for f, n in zip(files, names, strict=True):
+            yield done(ids, ties, texts)
+
+    return run
+
+
+class _Shard:
+    """The three files of a shard while it is written."""
+
+    def __init__(self, store: fs.FileSystem, folder: str, shard: int, width: int):
+        self.store, self.shard, self.width, self.mark = store, shard, width, uuid.uuid4().hex
+        self.docs = self.nulls = self.tokens = 0
+        self.names = [f"{folder}/{kind}-{shard:05d}.bin" for kind in ("ids", "off", "doc")]
+        self.files = [store.open_output_stream(f"{n}.{self.mark}") for n in self.names]
+        self.files[1].write(np.zeros(1, "<u8").tobytes())
+
+    def put(self, ids: list, found: list[bytes]) -> None:
+        ends = self.tokens + np.cumsum([len(b) // self.width for b in found])
+        for f, data in zip(self.files, (b"".join(found), ends.astype("<u8").tobytes(), np.array([0 if i is None else i for i in ids], "<i8").tobytes()), strict=True):
+            f.write(data)
+        self.docs, self.nulls, self.tokens = self.docs + len(ids), self.nulls + ids.count(None), int(ends[-1])
+
+    def close(self) -> pa.RecordBatch:
+        for f, n in zip(self.files, self.names, strict=True):
             f.close()
-            store.move(f"{n}.{mark}", n)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs], "nulls": [nulls], "tokens": [tokens], "width": [encode.kind.itemsize]})
+            self.store.move(f"{n}.{self.mark}", n)
+        return pa.RecordBatch.from_pydict({k: [getattr(self, k)] for k in ("shard", "docs", "nulls", "tokens", "width")})
+
+
+def _write(path: str, width: int):
+    """Files of the shards of a partition, whose rows come by shard and in order; a row of counts for each."""
+
+    def run(batches):
+        store, folder = fs.FileSystem.from_uri(path)
+        open_: _Shard | None = None
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if open_ is None or open_.shard != shards[a]:
+                    if open_ is not None:
+                        yield open_.close()
+                    open_ = _Shard(store, folder, int(shards[a]), width)
+                open_.put(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist())
+        if open_ is not None:
+            yield open_.close()
 
     return run
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Write the files below ``path`` (a folder all executors share) and return the manifest's shards."""
+    """Write the files below ``path`` (a folder all executors share) and return the manifest's shards.
+
+    Without ``shards`` there is one for each ``SHARD_BYTES`` of text, and one for each shuffle partition at least.
+    """
     spark = docs.sparkSession
     long_rows(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if shards is None:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
-    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # one bound for each shard but the first comes to the driver
+    cuts = F.percentile_approx(F.coalesce("id", F.lit(_LEAST)), [k / shards for k in range(1, shards)], max(10_000, 20 * shards)) if shards > 1 else F.array().cast("array<long>")
+    bounds = rows.agg(cuts.alias("bounds")).first()["bounds"] or []
+    width = id_kind(load_tokenizer(tokenizer_file)).itemsize
+    tie = F.when(F.coalesce("text", F.lit("")) == "", F.lit(_LEAST)).otherwise(F.xxhash64("text"))
+    encoded = rows.select("id", tie.alias("tie"), "text").mapInArrow(_encode(tokenizer_file, end_id, bounds), "shard int, id long, tie long, ids binary")
+    dealt = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "tie", "ids")
     # one small row a shard comes back, never a document
-    counts = dealt.mapInArrow(_write(path, tokenizer_file, end_id), "shard long, docs long, nulls long, tokens long, width long").collect()
+    counts = dealt.select("shard", "id", "ids").mapInArrow(_write(path, width), "shard long, docs long, nulls long, tokens long, width long").collect()
     manifest, base = [], 0
     for row in sorted(counts, key=lambda r: r["shard"]):
         manifest.append(row.asDict() | {"base": base})
