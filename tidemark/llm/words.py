@@ -83,8 +83,8 @@ class PreTokens:
         self.pattern = regex.compile(BYTE_LEVEL)
         self.specials = specials_pattern(tokenizer_file)
         find = self.pattern.findall
-        self.head = Chunks(lambda c: tuple(find(c)))
-        self.tail = Chunks(lambda c: tuple(find(" " + c)))
+        self.head = Chunks(lambda c: tuple(find(c)), 20_000)
+        self.tail = Chunks(lambda c: tuple(find(" " + c)), 60_000)
 
     def __call__(self, text: str) -> list[str]:
         out: list[str] = []
