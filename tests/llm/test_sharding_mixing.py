@@ -1,8 +1,10 @@
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,64 @@ def test_mixed_documents_hold_the_taken_words(spark):
         words[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert words == Counter({k: v for k, v in taken.items() if v})
+
+
+def plain_shard(key, tree):
+    """The hash tree in plain Python: least -ln(u) / weight at each level, u from the md5 of node and key."""
+
+    def weight(below):
+        return sum(map(weight, below.values())) if isinstance(below, dict) else below
+
+    node, below = "", tree
+    while isinstance(below, dict):
+        live = {name: child for name, child in below.items() if weight(child) > 0}
+        draws = {name: -math.log((int(hashlib.md5(f"{node}/{name}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight(child) for name, child in live.items()}
+        chosen = min(draws, key=draws.get) if len(live) > 1 else next(iter(live))
+        below, node = live[chosen], f"{node}/{chosen}" if node else str(chosen)
+    return chosen
+
+
+def test_shards_equal_a_plain_hash_tree(spark, sf_dir):
+    eight, nine = sharding.shard_tree(8), sharding.shard_tree(9)
+    for r in queries.op2_sharding(spark, sf_dir).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(str(r.doc_id), eight), plain_shard(str(r.doc_id), nine))
+
+
+def test_drained_shards_take_nothing(spark):
+    tree = {"a": {"k": {0: 1.0, 1: 0.0}, "l": {2: 0.0}}, "b": {"k": {3: 0.0}}, "c": {"k": {4: 2.0}}}
+    got = [(r.id, r.s) for r in spark.range(500).select("id", sharding.shard_of(F.col("id").cast("string"), tree).alias("s")).collect()]
+    assert {s for _, s in got} == {0, 4} and all(s == plain_shard(str(i), tree) for i, s in got)
+    with pytest.raises(ValueError, match="weight"):
+        sharding.shard_of(F.col("id"), {"a": {"k": {0: 0.0}}})
+
+
+@pytest.mark.parametrize("sizes", [(5, 2, 1), (1, 1), (30, 1)])
+@pytest.mark.parametrize("slots", [20_000, 65_536, 65_544, 100_003, 300_000])
+def test_source_counts_of_shards_vary_as_drawn_ones(spark, sizes, slots):
+    """Counts of 200-slot shards: mean and variance of draws without replacement, and no trend from shard to shard."""
+    shard, edges = 200, np.cumsum([0, *(slots * w // sum(sizes) for w in sizes[:-1])]).tolist() + [slots]
+    place = mixing.permuted(F.col("id"), F.lit(slots).cast("long"), F.xxhash64(F.lit(7)))
+    rows = spark.range(slots).select("id", place.alias("place")).toPandas()
+    assert len(set(rows.place)) == slots and rows.place.min() == 0 and rows.place.max() == slots - 1
+    whole = slots // shard
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        mine = rows[(rows.id >= lo) & (rows.id < hi)].place // shard
+        counts = np.bincount(mine, minlength=whole + 1)[:whole]
+        p = (hi - lo) / slots
+        wanted = shard * p * (1 - p) * (slots - shard) / (slots - 1)
+        assert abs(counts.mean() - shard * p) < 0.5
+        assert 0.65 < counts.var() / wanted < 1.45
+        assert abs(np.corrcoef(counts[1:], counts[:-1])[0, 1]) < 0.35
+
+
+def test_permutations_hold_beyond_32_bits(spark):
+    n = 3_000_000_000_019
+    got = [r.p for r in spark.range(2000).select(mixing.permuted(F.col("id") + 2_999_999_990_000, F.lit(n), F.lit(3).cast("long")).alias("p")).collect()]
+    assert len(set(got)) == 2000 and 0 <= min(got) and max(got) < n
+    assert np.std(got) / n == pytest.approx(12**-0.5, rel=0.05)
+
+
+def test_documents_know_their_shards(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in mixing.taken_words(*mixing.mix(docs, shard_slots=16)).collect():
+        assert (r.first_shard is None) == (r.taken == 0) and (r.taken == 0 or 0 <= r.first_shard <= r.last_shard)

@@ -1,12 +1,12 @@
 """Mixing sources to target weights by packed blocks.
 
 Method: each source's documents, in hash order, form one stream of words that is cut into blocks
-of ``block`` words.  Every source gets a number of slots from its target.  The slots of all
-sources are dealt to output shards by a pseudorandom permutation of all slots, so the source
-counts of a shard are a multinomial draw conditioned on the sources' totals (drawn without
-replacement): totals meet the targets exactly and every shard varies as chance has it.  The k-th
-slot of a source is mapped to a block by the source's own pseudorandom index permutation, round
-after round through all its blocks, and blocks are joined by index.
+of ``block`` words.  Every source gets a number of slots from its target.  A keyed pseudorandom
+permutation of all slots deals them to output shards, so each shard's source counts are a draw
+without replacement from the sources' totals (a multinomial draw conditioned on them): totals meet
+the targets exactly and every shard varies as chance has it.  The k-th slot of a source is mapped to
+a block by the source's own pseudorandom index permutation, round after round through all its
+blocks, and blocks are joined by index.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a
 target stops at ``most`` times its source's size and the excess goes to the others by weight.
@@ -15,11 +15,13 @@ blocks has ``round(target / size * B)`` slots, so no block, and no document, is
 ``most`` times.
 
 Everything is built from SQL functions.  Positions within a source are prefix sums in two levels
-(sums of hash groups, then within a group), so a source is never brought into one task.
+(sums of hash groups, then within a group), so a source is never brought into one task; the table of
+sources, a row each, is.
 
 Defined cases: null or empty text has size 0 and nothing of it is taken; a null source is a source,
-last in order; null ids and repeated rows stay rows of their own; extra columns are ignored; an
-empty table gives an empty result.
+last in order; null ids and repeated rows stay rows of their own; very long texts are cut at block
+edges like any other, with a row for each of their blocks; extra columns, whatever their names, are
+ignored by ``mix`` and kept by ``mixed_documents``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,20 +31,34 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-#: Words in a block, slots in an output shard, hash groups a source is cut into.
-BLOCK, SHARD_SLOTS, GROUPS = 128, 4096, 512
+#: Words in a block, slots in an output shard.
+BLOCK, SHARD_SLOTS = 128, 4096
+#: Hash groups that a source is cut into at least, rows of a group beyond that.
+GROUPS, GROUP_ROWS = 512, 65_536
 WEIGHTS = (5.0, 2.0, 1.0)
-# Multipliers of the index permutations: two primes near 2^29, so that products stay below 2^63
-# for up to 2^34 blocks; an index count below 2^34 can't be divisible by both.
-_PRIME_A, _PRIME_B = 536_870_909, 536_870_879
-#: Slots that one row unfolds into at a time.
-RUN = 65_536
+#: Slots that one row unfolds into at a time; half rounds of the index permutations.
+RUN, HALF_ROUNDS = 65_536, 8
 
 
 def permuted(index: Column, count: Column, seed: Column) -> Column:
-    """The place of ``index`` in a pseudorandom permutation of 0 .. count - 1."""
-    factor = F.when(count % _PRIME_A == 0, F.lit(_PRIME_B)).otherwise(F.lit(_PRIME_A)).cast("long")
-    return (index * (factor % count) + F.pmod(seed, count)) % count
+    """The place of ``index`` in a pseudorandom permutation of 0 .. count - 1.
+
+    The indices stand row by row in a square whose last row may be short.  By turns every row and
+    every column is rotated by a hash of the seed, its number and the turn; each turn is a bijection,
+    whatever the count, and no product exceeds it.
+    """
+    side = F.ceil(F.sqrt(count.cast("double"))).cast("long")
+    full, rest = F.call_function("div", count, side), count % side
+
+    def turn(x: Column, r: Column) -> Column:
+        row, column = F.call_function("div", x, side), x % side
+        width = F.when(row < full, side).otherwise(rest)
+        height = F.when(column < rest, full + 1).otherwise(full)
+        along = row * side + (column + F.pmod(F.xxhash64(seed, r, row), width)) % width
+        down = (row + F.pmod(F.xxhash64(seed, r, column), height)) % height * side + column
+        return F.when(r % 2 == 0, along).otherwise(down)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(HALF_ROUNDS - 1)), index.cast("long"), turn)
 
 
 def word_count(text: Column) -> Column:
@@ -79,9 +95,9 @@ def source_targets(sized: DataFrame, most: float = 3.0, weights: tuple[float, ..
     return full.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
-def positioned(sized: DataFrame) -> DataFrame:
+def positioned(sized: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Adds ``start``: the words of the source's documents before this one."""
-    grouped = sized.withColumn("g", F.pmod(F.col("h"), F.lit(GROUPS)).cast("int"))
+    grouped = sized.withColumn("g", F.pmod(F.col("h"), F.lit(groups)).cast("int"))
     sums = grouped.groupBy("source", "g").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("s_"), F.col("g").alias("g_"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
@@ -116,7 +132,7 @@ def mix(docs: DataFrame, *, most: float = 3.0, block: int = BLOCK, shard_slots:
     """
     sized = stored(sized_documents(docs, id_col, text_col, source_col), "sized")
     targets = source_targets(sized, most)
-    placed = positioned(sized)
+    placed = positioned(sized, max(GROUPS, -(-sized.count() // GROUP_ROWS)))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     pieces = cut.withColumn("from_word", F.greatest(F.col("block") * block - F.col("start"), F.lit(0))).withColumn("to_word", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")))
@@ -129,16 +145,17 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 
 def taken_words(targets: DataFrame, pieces: DataFrame, slots: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id_col, size, source_size, target, taken (words of it in the mix, repeats counted)."""
-    uses = slots.groupBy(F.col("source").alias("u_source"), F.col("block").alias("u_block")).agg(F.count("*").alias("uses"))
+    """One row per document: id_col, size, source_size, target, taken (words of it in the mix, repeats counted), first_shard and
+    last_shard (of the output shards that hold words of it; null where none does)."""
+    uses = slots.groupBy(F.col("source").alias("u_source"), F.col("block").alias("u_block")).agg(F.count("*").alias("uses"), F.min("out_shard").alias("low"), F.max("out_shard").alias("high"))
     # uses grow with the input, whatever the planner makes of unfolded runs: never broadcast them
     used = pieces.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")), "left")
     words = F.coalesce((F.col("to_word") - F.col("from_word")) * F.col("uses"), F.lit(0))
     # documents without words may share a start; with their row count they come back one by one
-    taken = used.groupBy("id", "source", "size", "start", "h").agg(F.sum(words).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empty"))
+    taken = used.groupBy("id", "source", "size", "start", "h").agg(F.sum(words).alias("taken"), F.min("low").alias("first_shard"), F.max("high").alias("last_shard"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empty"))
     with_targets = taken.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     rows = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("empty"), F.lit(1)).cast("long"))
-    return with_targets.withColumn("row", F.explode(rows)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    return with_targets.withColumn("row", F.explode(rows)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:

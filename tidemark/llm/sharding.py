@@ -15,7 +15,9 @@ shard together: rows are dealt to (shard, bucket) groups, group sizes are summed
 each group numbers its own rows.  Equal rows are pre-aggregated, so copies never form a hot group.
 
 Defined cases: null text has size 1 and crc 0; null ids share one draw (the id "null"); repeated
-rows get the same shard and a slot each; extra columns are ignored; an empty table is empty.
+rows get the same shard and a slot each; a shard of weight 0 is drained and takes nothing, and a tree
+without any weight is an error; very long texts add their bytes and nothing else; extra columns,
+whatever their names, are ignored; an empty table is empty.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 #: tree: {region: {rack: {shard number: weight}}}
 Tree = dict[str, dict[str, dict[int, float]]]
 
-#: Groups a shard is cut into for numbering; also bounds the table of bases (shards x BUCKETS rows).
-BUCKETS = 1024
+#: Groups a shard is cut into for numbering at least, rows of a group beyond that.
+BUCKETS, GROUP_ROWS = 1024, 65_536
 #: Slots that one row unfolds into at a time.
 RUN = 65_536
 
@@ -49,7 +51,10 @@ def _draw(key: Column, node: str, weight: float) -> Column:
 
 
 def _descend(key: Column, node: str, children: list[tuple[str, float, Column]]) -> Column:
-    """The result of the child with the least draw."""
+    """The result of the child with the least draw; children without weight take no part."""
+    children = [c for c in children if c[1] > 0]
+    if not children:
+        raise ValueError(f"no shard below {node or 'the root'} has a weight")
     if len(children) == 1:
         return children[0][2]
     draws = F.array(*[_draw(key, f"{node}/{name}", weight) for name, weight, _ in children])
@@ -71,8 +76,10 @@ def shard_of(key: Column, tree: Tree) -> Column:
         inner = []
         for rack, shards in racks.items():
             leaves = [(str(s), w, F.lit(int(s))) for s, w in shards.items()]
-            inner.append((rack, weight(shards), _descend(key, f"{region}/{rack}", leaves)))
-        regions.append((region, weight(racks), _descend(key, region, inner)))
+            if weight(shards) > 0:
+                inner.append((rack, weight(shards), _descend(key, f"{region}/{rack}", leaves)))
+        if inner:
+            regions.append((region, weight(racks), _descend(key, region, inner)))
     return _descend(key, "", regions)
 
 
@@ -84,12 +91,13 @@ def assign_shards(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, id_
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
+    buckets = max(BUCKETS, -(-docs.count() // GROUP_ROWS))
     key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     distinct = rows.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     placed = distinct.withColumns({
         "shard": shard_of(key, tree),
         "grown_shard": shard_of(key, grown) if grown else F.lit(None).cast("int"),
-        "bucket": F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int"),
+        "bucket": F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(buckets)).cast("int"),
     })
     sizes = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("held"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
