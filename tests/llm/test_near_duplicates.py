@@ -124,3 +124,40 @@ def test_unusable_vectors_link_with_nothing(spark):
     alone = [(k, 0, k, True) for k in (0, 1, 2, 3, 4, 5, 8)]
     assert got == sorted([*alone, (6, 4, 6, True), (6, 4, 6, True), *[(k, 4, 6, False) for k in (7, 9, 10)], (None, 0, None, True)], key=repr)
     assert embedding_dedup.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_forest_keeps_rows_that_share_a_prefix(spark):
+    """Sorted neighbours against counts of prefixes; rows kept beyond those are the ends of partitions, which the count of regions drops."""
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 3, (300, minhash.ORDERS * minhash.STEP)).astype(">u2")
+    rows = [(k, 10, bytearray(v.tobytes())) for k, v in enumerate(values)]
+    classes = spark.createDataFrame(rows, "node long, weight long, signature binary")
+    for thin, depth in ((10**9, minhash.SHALLOW), (0, minhash.STEP)):
+        got = {(r.t, r.node) for r in minhash.forest_regions(classes, thin).collect()}
+        want = set()
+        for t, path in enumerate(minhash._PATHS):
+            prefixes = [v[path[:depth]].tobytes() for v in values]
+            want |= {(t, k) for k, p in enumerate(prefixes) if prefixes.count(p) > 1}
+        assert got == want and want
+
+
+def test_orders_start_with_values_of_their_own():
+    assert len(set(minhash._PATHS[:, : minhash.STEP].ravel().tolist())) == minhash.ORDERS * minhash.STEP
+    assert all(len(set(p)) == minhash.DEPTH for p in minhash._PATHS.tolist())
+
+
+def test_isolated_pairs_at_the_threshold_are_found(spark):
+    """500 planted pairs of similarity 0.85 to 0.88, each without other links: none is lost."""
+    rnd = random.Random(9)
+    docs, pairs = {}, 0
+    while pairs < 500:
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(130)]
+        other = list(words)
+        for at in rnd.sample(range(0, 130, 6), 2):
+            other[at] = f"x{rnd.randrange(10**6)}"
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        if 85 * len(a | b) <= 100 * len(a & b) < 88 * len(a | b):
+            docs[2 * pairs], docs[2 * pairs + 1] = " ".join(words), " ".join(other)
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=85).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) == pairs

@@ -1,19 +1,25 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 Method: a document's set is its distinct five-word shingles.  Its MinHash signature is read in
-several orders: order t starts at the t-th step (``STEP`` values) and goes round.  Documents sorted
-in an order stand next to those with the longest common prefix; the region of a document is the run
-that shares its first step, and where a region is large it goes down to the second and third step
-(adaptive depth).  Every region's documents are tested on their full sets until each pair between
+``ORDERS`` orders, each a path of ``DEPTH`` values of its own (the first ``STEP`` of them in no other
+order's first ``STEP``).  The paths of every order are sorted, and each node's longest common prefix
+with its two neighbours tells how deep it has company; nodes without company at depth ``SHALLOW``
+are done.  The depth of a region follows what stands there: thin ones, of at most ``thin`` shingles,
+stay at ``SHALLOW``, others go down to ``STEP``, and what is larger than ``limit`` goes further, to
+the end of the path.  Every region's documents are tested on their full sets until each pair between
 different components has been tested (``regions.py``), so all links inside regions count, and a link
-is never made without a test.  Equal sets are one node, however many copies there are.
+is never made without a test; pairs of a large region that its deeper levels part are tested at the
+end.  Equal sets are one node, however many copies there are.
 
 With 32 orders of 6 values a pair at the least similarity s shares no region with probability
-(1 - s^6)^32: 3e-7 at 0.85, 6e-5 at 0.8.  Shingles and equal sets are told apart by 64-bit hashes.
+(1 - s^6)^32 at most: 3e-7 at 0.85, 6e-5 at 0.8.  Shingles and equal sets are told apart by 64-bit
+hashes, the values of a path by 16 bits (equal by chance once in 65,536, which adds tests and no link).
 
 Defined cases: a document with fewer than ``width`` words is one shingle, the whole sequence; a
 document without words (null and empty texts) has no set and links with nothing; a null id takes no
-part (component null, kept true); rows that share an id but not a set are told apart by set; repeated rows each get their own result row; extra columns are ignored; an empty table is empty.
+part (component null, kept true); rows that share an id but not a set are told apart by set; repeated
+rows each get their own result row; texts are read whole, and a task that tests holds the sets of one
+region; extra columns, whatever their names, are ignored; an empty table is empty.
 """
 
 from __future__ import annotations
@@ -28,14 +34,18 @@ from .regions import components_by_regions, regions_with_company
 from .storage import stored
 
 ORDERS, STEP, WIDTH = 32, 6, 5
-#: Shingles of a region that one task holds.
-LIMIT = 2_000_000
+#: Values of a path, depth of thin regions.
+DEPTH, SHALLOW = 12, 5
+#: Shingles of a region that one task holds, and of a thin region.
+LIMIT, THIN = 2_000_000, 20_000
 ROUNDS = [[0, 1], [*range(2, 8)], [*range(8, ORDERS)]]
 _rng = np.random.default_rng(20240817)
 _A = _rng.integers(0, 1 << 63, ORDERS * STEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, ORDERS * STEP, dtype=np.uint64)
 _C = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_D = _rng.integers(0, 1 << 63, STEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OWN = np.arange(ORDERS * STEP).reshape(ORDERS, STEP)
+#: The signature's places that each order reads: its own, then some of the others'.
+_PATHS = np.array([[*own, *_rng.permutation(np.setdiff1d(_OWN, own))[: DEPTH - STEP]] for own in _OWN])
 
 
 class _WordHashes(dict):
@@ -70,14 +80,13 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def order_keys(s: np.ndarray) -> np.ndarray:
-    """The step keys of a set's signature, one 64-bit key for each order's first step."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set, 16 bits of each."""
     low = np.full(ORDERS * STEP, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
         part = s[at : at + 2048]
         np.minimum(low, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=low)
-    steps = _mixed(low).reshape(ORDERS, STEP) * _D[None, :]
-    return _mixed(steps.sum(axis=1, dtype=np.uint64))
+    return (_mixed(low) >> np.uint64(48)).astype(">u2")
 
 
 def _node(data: bytes) -> int:
@@ -87,18 +96,71 @@ def _node(data: bytes) -> int:
 def _features(width: int):
     def run(batches):
         for batch in batches:
-            ids, counts, sets, keys = [], [], [], []
+            ids, counts, sets, signatures = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, width)
                 ids.append(doc)
                 counts.append(len(s))
                 sets.append(_node(s.tobytes()) if len(s) else None)
-                keys.append(order_keys(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "node", "keys"])
+                signatures.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.int64()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "node", "signature"])
 
     return run
 
 
+_LEVELS = ["k1", "k2", "k3"]
+
+
+def _unfold(batches):
+    """A row for each node and order; the path is three longs of four values each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            values = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u2").reshape(-1, ORDERS * STEP)
+            paths = np.ascontiguousarray(values[:, _PATHS]).reshape(-1, DEPTH).view(">u8").astype(np.uint64).view(np.int64)
+            each = lambda k, part=part: np.repeat(part.column(k).to_numpy(), ORDERS)
+            order = np.tile(np.arange(ORDERS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (order, *np.ascontiguousarray(paths.T), each(0), each(1))], ["t", *_LEVELS, "node", "weight"])
+
+
+def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """Values that each row of a sorted run has in common with the row before it, from the second row on."""
+    values = np.ascontiguousarray(np.stack(levels, axis=1)).view(np.uint64).astype(">u8").view(">u2")
+    same = np.logical_and.accumulate(values[1:] == values[:-1], axis=1).sum(axis=1)
+    return np.where(order[1:] == order[:-1], same, 0)
+
+
+def _with_company(batches):
+    """Rows of sorted paths that share ``SHALLOW`` values or more with a neighbour.  The neighbours of a partition's first and
+    last row stand in other partitions, so these two stay; regions are counted afterwards."""
+    held: pa.Table | None = None
+    before = DEPTH
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        columns = [rows.column(k).to_numpy() for k in ("t", *_LEVELS)]
+        same = common_prefixes(columns[0], columns[1:])
+        company = np.maximum(np.concatenate([[before], same])[:-1], same)
+        yield from rows.slice(0, len(same)).filter(pa.array(company >= SHALLOW)).combine_chunks().to_batches()
+        held, before = rows.slice(len(same)), int(same[-1]) if len(same) else before
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def forest_regions(classes: DataFrame, thin: int = THIN) -> DataFrame:
+    """(t, k1, k2, k3, node, weight, held): regions with company of every order, and the keys of their deeper levels."""
+    rows = "t int, k1 long, k2 long, k3 long, node long, weight long"
+    paths = classes.select("node", "weight", "signature").mapInArrow(_unfold, rows)
+    near = stored(paths.repartitionByRange("t", *_LEVELS).sortWithinPartitions("t", *_LEVELS).mapInArrow(_with_company, rows), "forest")
+    shallow = [F.col("t"), F.col("k1"), F.shiftright("k2", 64 - 16 * (SHALLOW - 4)).alias("top")]
+    sums = near.groupBy(*shallow).agg(F.sum("weight").alias("around"))
+    each = near.withColumn("top", F.shiftright("k2", 64 - 16 * (SHALLOW - 4))).join(sums, ["t", "k1", "top"])
+    region = F.when(F.col("around") <= thin, F.xxhash64("k1", "top", F.lit(SHALLOW))).otherwise(F.xxhash64("k1", F.shiftright("k2", 64 - 16 * (STEP - 4)), F.lit(STEP)))
+    keys = each.select("t", region.alias("k1"), F.xxhash64("k1", "k2", F.shiftright("k3", 48)).alias("k2"), F.xxhash64("k1", "k2", "k3").alias("k3"), "node", "weight")
+    return stored(regions_with_company(keys, ["t", "k1"]), "regions")
+
+
 def _full_sets(width: int):
     def run(batches):
         for batch in batches:
@@ -142,12 +204,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = WIDTH, l
     Links documents whose sets have 100 * intersection >= percent * union.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = stored(rows.mapInArrow(_features(width), "id long, n_shingles long, node long, keys array<long>"), "features")
-    classes = stored(features.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("weight")), "classes")
-    after = F.concat("keys", F.slice("keys", 1, 2))
-    orders = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.struct(t.alias("t"), F.element_at(after, t + 1).alias("k1"), F.element_at(after, t + 2).alias("k2"), F.element_at(after, t + 3).alias("k3")))
-    exploded = classes.select("node", "weight", F.inline(orders))
-    regions = stored(regions_with_company(exploded, ["t", "k1"]), "regions")
+    features = stored(rows.mapInArrow(_features(width), "id long, n_shingles long, node long, signature binary"), "features")
+    sets = features.where("node is not null and id is not null")
+    classes = stored(sets.groupBy("node").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("weight")), "classes")
+    regions = forest_regions(classes)
     wanted = classes.join(regions.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"))
     texts = rows.join(wanted, "id").select("node", "text")
     payload = stored(texts.mapInArrow(_full_sets(width), "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "sets")
