@@ -255,3 +255,56 @@ def test_symbol_stuffed_and_piped_texts_leave_the_band(spark, sf_dir):
     junk, clean = [r for r in rows if labels[r.doc_id] == 0], [r for r in rows if labels[r.doc_id] == 1]
     assert sum(not r.kept for r in junk) >= 0.8 * len(junk) > 0
     assert sum(r.kept for r in clean) >= 0.99 * len(clean) > 0
+
+
+def test_fit_equals_an_independent_minimisation(monkeypatch):
+    """Four features and three grades: the penalised likelihood, written out document by document, minimised by coordinate search."""
+    rng = np.random.default_rng(6)
+    rows, grades = [], []
+    for _ in range(400):
+        held = [f for f in (1, 2, 3, 4) if rng.random() < 0.4]
+        z = {1: 2.0, 2: 1.2, 3: -0.8, 4: 0.0}
+        score = sum(z[f] for f in held) + rng.logistic()
+        rows.append(np.array(held, "<u4"))
+        grades.append(int(score > 1.0) + int(score > 2.5))
+    grades = np.array(grades)
+    penalty = 0.01
+
+    def objective(w, theta):
+        total = 0.0
+        for held, g in zip(rows, grades.tolist(), strict=True):
+            z = sum(w.get(f, 0.0) for f in held.tolist())
+            at_most = [1 / (1 + math.exp(z - t)) for t in theta] + [1.0]
+            total -= math.log(at_most[g] - (at_most[g - 1] if g else 0.0))
+        return total / len(rows) + penalty * sum(map(abs, w.values()))
+
+    monkeypatch.setattr(toxicity, "LEAST_Z", 1.5)
+    model = toxicity.OrdinalModel.fit(rows, grades, penalty=penalty, steps=2000, least_docs=1)
+    kept = sorted(model.weights)
+    assert set(kept) >= {1, 2}
+    w, theta, step = dict.fromkeys((f for f in (1, 2, 3, 4) if f in kept), 0.0), [0.0, 1.0], 0.5
+    best = objective(w, theta)
+    while step > 1e-4:
+        better = False
+        for f in w:
+            for d in (step, -step):
+                if (new := objective(w | {f: w[f] + d}, theta)) < best - 1e-12:
+                    w[f], best, better = w[f] + d, new, True
+        for k in range(2):
+            for d in (step, -step):
+                moved = [*theta[:k], theta[k] + d, *theta[k + 1 :]]
+                if moved[0] < moved[1] and (new := objective(w, moved)) < best - 1e-12:
+                    theta, best, better = moved, new, True
+        step = step if better else step / 2
+    assert objective({f: model.weights.get(f, 0.0) for f in w}, model.thresholds) <= best + 1e-4
+    assert all(abs(model.weights[f] - w[f]) < 0.05 for f in w) and all(abs(a - b) < 0.05 for a, b in zip(model.thresholds, theta, strict=True))
+
+
+def test_binary_labels_give_one_threshold(spark):
+    rows = toy()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit_model(docs, spark.createDataFrame([(i, min(g, 1)) for i, _, g in rows], "doc_id long, toxic int"))
+    assert len(model.thresholds) == 1
+    got = toxicity.scored(docs, model).collect()
+    assert all(0 <= r.severity <= 1 and r.grade in (0, 1) for r in got)
+    assert sum(r.toxic == (rows[r.doc_id][2] > 0) for r in got) >= 0.98 * len(got)

@@ -9,14 +9,14 @@ P(grade > k), and the most probable grade; a document is toxic from ``cut`` expe
 Fitting uses a bounded sample: the ``sample`` labelled documents that come first in hash order of
 their ids.  Everything else runs over all documents, whole texts, in tasks.
 
-Labels may carry any number of ordered grades.  Where they are only 0 and 1, toxic documents are
-graded mild (1) or severe (2) by how many of the words most over-represented in the toxic part of
-the sample they hold.
+Labels may carry any number of ordered grades, and there is one threshold between each two of them;
+labels of 0 and 1 give one threshold, and the expected severity is then the chance of being toxic.
 
 Defined cases: null and empty texts have no features and the base rate's severity; null ids are
 kept; null labels and labels of unknown documents are left out; without any toxic label nothing is
-toxic (severity 0); repeated rows each get their own result row (and count once in the sample);
-extra columns are ignored; an empty table gives an empty result.
+toxic (severity 0); repeated rows each get their own result row (and count once in the sample); texts
+are read whole, and a task holds the distinct words of one; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents fitted on, hashed feature space, least documents and z-score of a feature, penalty, iterations, decision.
-SAMPLE, BITS, LEAST_DOCS, LEAST_Z, PENALTY, STEPS, CUT = 8_000, 24, 4, 5.0, 1e-4, 300, 0.5
+SAMPLE, BITS, LEAST_DOCS, LEAST_Z, PENALTY, STEPS, CUT = 8_000, 24, 4, 5.0, 1e-4, 300, 0.4
 _STRIP = ".,;:!?\"'()[]{}*$%&#|<>-_/\\"
 
 
@@ -120,23 +120,6 @@ class OrdinalModel:
         return float(sum(above)), int(np.argmax(chance))
 
 
-def graded(features: list[np.ndarray], toxic: np.ndarray, top: int = 50) -> np.ndarray:
-    """Grades 0, 1, 2 from 0 and 1: toxic documents with more than the median number of telling features are severe."""
-    if not toxic.any():
-        return np.zeros(len(toxic), np.int64)
-    flat = np.concatenate([features[k] for k in np.flatnonzero(toxic)])
-    names, held = np.unique(flat, return_counts=True)
-    clean = [features[k] for k in np.flatnonzero(toxic == 0)]
-    others = np.concatenate(clean) if clean else np.empty(0, np.uint32)
-    at = np.minimum(np.searchsorted(names, others), len(names) - 1)
-    in_clean = np.bincount(at[names[at] == others], minlength=len(names))
-    odds = (held + 0.5) / (in_clean + 0.5) * np.minimum(held, 20)
-    telling = set(names[np.argsort(-odds, kind="stable")[:top]].tolist())
-    hits = np.array([len(telling.intersection(f.tolist())) for f in features])
-    middle = np.median(hits[toxic == 1])
-    return np.where(toxic == 1, 1 + (hits > middle), 0).astype(np.int64)
-
-
 def fit_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> OrdinalModel:
     """Model of the ``sample`` labelled documents first in hash order of id (a bounded number of rows comes to the driver)."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("long").alias("grade")).where("id is not null and grade is not null")
@@ -148,8 +131,6 @@ def fit_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_co
     features = [np.frombuffer(rows.column("features")[int(k)].as_py(), "<u4") for k in order]
     grades = rows.column("grade").to_numpy()[order].astype(np.int64) if len(order) else np.zeros(0, np.int64)
     grades = np.maximum(grades, 0)
-    if grades.max(initial=0) == 1:
-        grades = graded(features, grades)
     return OrdinalModel.fit(features, grades)
 
 
