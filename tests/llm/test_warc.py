@@ -56,3 +56,17 @@ def test_records_are_written_as_gzip_members(spark):
     assert data.count(b"WARC/1.1\r\n") == records.count()
     one = records.where("page_id = 1 and record_type = 'conversion'").select(warc.record_bytes().alias("b"), F.col("block")).first()
     assert bytes(one.b) in data and b"WARC-Target-URI" not in bytes(one.b)
+
+
+def test_references_are_resolved_once(spark):
+    texts = ["&amp;lt; &lt;b&gt; &#65;&#x42;&#X1F600; &eacute;&nbsp;x &unknown; &#0; &#xD800; &#9999999; & &amp &copy;&", "no reference", "", "&", "&&amp;&"]
+    want = ["&lt; <b> AB😀 é\xa0x &unknown; &#0; &#xD800; &#9999999; & &amp ©&", "no reference", "", "&", "&&&"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", warc.unescaped(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == want
+
+
+def test_many_header_lines_are_all_kept(spark):
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"X-{k}: {k}\r\n" for k in range(5000))
+    rows = [(0, "<a>", "u", "d", head.encode() + b"\r\nbody")]
+    got = warc.derivatives(spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, warc_date string, block binary")).where("record_type = 'metadata'").first()
+    assert got.block.count("source-header: X-") == 5000

@@ -6,18 +6,21 @@ lists the source's status, headers, payload digest, title, language and outlinks
 ``conversion`` record with the page's plain text.  Digests are SHA-1 in base 32.  Everything is SQL
 functions on whole payloads, row by row, without a shuffle.
 
-Text: comments, head, script and style go; block tags become line feeds, other tags nothing; the
-entities of ``ENTITIES`` are resolved; runs of blanks become one, runs of line feeds one.
+Text: comments, head, script and style go; block tags become line feeds, other tags nothing; numeric
+character references and the named ones of HTML 4 are resolved, others stay as they are; runs of
+blanks become one, runs of line feeds one.
 
 Defined cases: a null block is an empty one (status 0, no headers, empty text); a block without
 an empty line is all headers; a null target URI leaves the field out; repeated responses give
-repeated derivatives; extra columns are ignored; an empty table gives an empty result.
+repeated derivatives; blocks are read whole, however long; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
 import uuid
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,8 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The entities resolved in titles, links and texts, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Named character references: the library's table of HTML 4, and the apostrophe of XML.
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# What a reference looks like behind its ampersand, and what stands for page parts.
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 DROPPED = ["(?is)<!--.*?-->", "(?is)<head[^a-z].*?</head *>", "(?is)<script[^a-z].*?</script *>", "(?is)<style[^a-z].*?</style *>"]
 BLOCK_TAGS = "(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|body|html|blockquote|pre)([^a-z0-9>][^>]*)?>"
 ANY_TAG, BLANKS, FEEDS = "<[^>]*>", "[ \t\x0b\x0c\r ]+", " ?\n[ \n]*"
@@ -49,9 +54,17 @@ def record_urn(*parts: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references resolved once, from left to right; what is none stays."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)).when(F.substring(name, 1, 1) == "#", F.substr(name, F.lit(2))).cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(code.isNull(), F.try_element_at(names, name)).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda part, k: F.when(k == 0, part).otherwise(resolved(part))), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -91,7 +104,7 @@ def derivatives(responses: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     title = F.regexp_replace(F.trim(unescaped(F.regexp_extract("html", TITLE, 1))), "[\r\n]+", " ")
     links = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(unescaped(u), "[\r\n]+", " "), F.lit("\r\n")))
     status = F.coalesce(F.nullif(F.regexp_extract("head", "^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit("")), F.lit("0"))
-    headers = F.array_join(F.transform(F.filter(F.slice(F.split("head", "\r\n"), 2, 1 << 20), lambda h: h != ""), lambda h: F.concat(F.lit("source-header: "), h, F.lit("\r\n"))), "")
+    headers = F.array_join(F.transform(F.filter(F.slice(F.split("head", "\r\n"), F.lit(2), F.size(F.split("head", "\r\n"))), lambda h: h != ""), lambda h: F.concat(F.lit("source-header: "), h, F.lit("\r\n"))), "")
     fields = F.concat(F.lit("fetch-status: "), status, F.lit("\r\n"), headers, F.lit("source-payload-digest: "), F.col("source_payload_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), F.regexp_extract("html", LANGUAGE, 1), F.lit("\r\n"), F.array_join(links, ""))
     pair = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -140,10 +153,15 @@ def oracle() -> str:
     def q(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMED.items()) + "}"
+
     def clean(x: str) -> str:
-        for name, char in ENTITIES.items():
-            x = f"replace({x}, {q(name)}, {q(char)})"
-        return x
+        name = f"regexp_extract(part, {q(REFERENCE)}, 1)"
+        code = f"CASE WHEN lower(substr({name}, 1, 2)) = '#x' THEN TRY_CAST('0x' || substr({name}, 3) AS INTEGER) WHEN {name} LIKE '#%' THEN TRY_CAST(substr({name}, 2) AS INTEGER) END"
+        valid = f"({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343"
+        char = f"CASE WHEN {name} LIKE '#%' THEN CASE WHEN {valid} THEN chr({code}) END ELSE names[{name}] END"
+        part = f"CASE WHEN {name} = '' OR ({char}) IS NULL THEN '&' || part ELSE ({char}) || substr(part, length({name}) + 2) END"
+        return f"(string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], lambda part: {part}), ''))"
 
     def base32(data: str) -> str:
         n = f"('0x' || substr(sha1({data}), CAST(5 * g + 1 AS BIGINT), 5))::BIGINT"
@@ -166,8 +184,8 @@ def oracle() -> str:
     links = f"array_to_string(list_transform(regexp_extract_all(html, {q(LINK)}, 1), lambda u: 'outlink: ' || regexp_replace({clean('u')}, {breaks}, ' ', 'g') || {feed}), '')"
     fields = f"'fetch-status: 200' || {feed} || 'source-header: Content-Type: text/html; charset=utf-8' || {feed} || 'source-header: Content-Length: ' || strlen(html) || {feed} || 'source-payload-digest: ' || source_payload_digest || {feed} || 'title: ' || {title} || {feed} || 'language: ' || regexp_extract(html, {q(LANGUAGE)}, 1) || {feed} || {links}"
     return f"""
-    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
-    r AS (SELECT page_id, url AS target_uri, html, {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS refers_to, {base32('html')} AS source_payload_digest FROM p),
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {names} AS names FROM pages),
+    r AS (SELECT page_id, url AS target_uri, html, names, {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS refers_to, {base32('html')} AS source_payload_digest FROM p),
     d AS (
       SELECT page_id, target_uri, refers_to, source_payload_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type, {fields} AS block FROM r
       UNION ALL
