@@ -19,6 +19,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import gzip
+import json
 import uuid
 from html.entities import name2codepoint
 
@@ -55,7 +56,7 @@ def record_urn(*parts: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Character references resolved once, from left to right; what is none stays."""
-    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
     def resolved(part: Column) -> Column:
         name = F.regexp_extract(part, REFERENCE, 1)
