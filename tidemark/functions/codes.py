@@ -13,6 +13,7 @@ LABELED_CODE = r"(?im)^\s*(?:종목코드|종목\s*코드)\s*[:：]\s*A?((?=[A-Z
 COMPANY_FIELD = r"(?im)^\s*(?:기업명|회사명|종목명)\s*[:：]\s*([^\n]+)"
 URL_CODE = r"(?i)[?&](?:code|stock_code|stockcode)=A?((?=[A-Z0-9]{0,5}\d)[A-Z0-9]{6})(?![A-Z0-9])"
 BLOCKED_LINE = r"계약\s*상대|거래\s*상대|원고(?:이름|명)?|피고(?:이름|명)?|비교기업|경쟁사|연구원|기관명"
+PARTICLES = ["은", "는", "이", "가", "와", "과", "을", "를", "의", "도", "에"]
 CORRECTION = "정정(?:공시|보고서|신고서)?"
 EARNINGS_MARKERS = [r"매출\s*액?", r"영업\s*(?:익|이익)", r"순\s*(?:익|이익)", r"최근\s*실적\s*추이", r"잠정\s*실적"]
 DISCLOSURE = r"(?i)공시|보고서|신고서|DART|dart\.fss\.or\.kr"
@@ -36,10 +37,27 @@ def codes_by_level(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(levels, lambda s: F.size(s["codes"]) > 0), F.lit(0)), none)
 
 
+def searchable_text(text: Column) -> Column:
+    """Without URLs and mail addresses."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), URL_PATTERN, " "), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")
+
+
+def field_text(text: Column) -> Column:
+    """What stands in the company fields, a line each."""
+    return F.array_join(F.regexp_extract_all(searchable_text(text), F.lit(COMPANY_FIELD), F.lit(1)), "\n")
+
+
 def fallback_text(text: Column) -> Column:
     """Lines that name no counter-party, without URLs and mail addresses."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), URL_PATTERN, " "), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")
-    return F.array_join(F.filter(F.split(bare, "\n"), lambda line: ~F.rlike(line, F.lit(BLOCKED_LINE))), "\n")
+    return F.array_join(F.filter(F.split(searchable_text(text), "\n"), lambda line: ~F.rlike(line, F.lit(BLOCKED_LINE))), "\n")
+
+
+def term_pattern(term: Column) -> Column:
+    """Pattern of a name standing by itself; a Korean name may have a particle behind it."""
+    edge = "[^가-힣A-Za-z0-9]"
+    particle = F.lit(rf"(?=$|{edge}|(?:{'|'.join(PARTICLES)})(?=$|{edge}))")
+    behind = F.when(F.rlike(term, F.lit("[가-힣]")), particle).otherwise(F.lit("(?![가-힣A-Za-z0-9])"))
+    return F.concat(F.lit(r"(?iu)(?<![가-힣A-Za-z0-9])\Q"), term, F.lit(r"\E"), behind)
 
 
 def message_kind(text: Column) -> Column:

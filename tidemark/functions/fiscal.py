@@ -19,13 +19,12 @@ def quarter_label(index: Column) -> Column:
 
 
 def normalize_quarter(text: Column) -> Column:
-    """'2026.1Q', '2026 Q1' and '1Q26' as '2026 Q1'; null if none."""
+    """'2026.1Q', '2026 Q1' and '1Q26' as '2026 Q1': the first of any form; null if none."""
     value = F.coalesce(text, F.lit(""))
-    year_first = F.regexp_extract(value, r"(?i)20\d{2}\s*[./ -]?\s*(?:[1-4]\s*Q|Q\s*[1-4])", 0)
-    year = F.regexp_extract(year_first, r"(20\d{2})", 1)
-    number = F.regexp_extract(F.substring(year_first, 5, 20), r"([1-4])", 1)
-    short = F.regexp_extract(value, r"(?i)[1-4]\s*Q\s*\d{2}", 0)
-    return F.when(year_first != "", F.concat(year, F.lit(" Q"), number)).when(short != "", F.concat(F.lit("20"), F.regexp_extract(short, r"(\d{2})$", 1), F.lit(" Q"), F.substring(short, 1, 1)))
+    first = F.regexp_extract(value, r"(?i)20\d{2}\s*[./ -]?\s*(?:[1-4]\s*Q|Q\s*[1-4])|[1-4]\s*Q\s*\d{2}", 0)
+    long = F.concat(F.substring(first, 1, 4), F.lit(" Q"), F.regexp_extract(F.substring(first, 5, 20), "([1-4])", 1))
+    short = F.concat(F.lit("20"), F.regexp_extract(first, r"(\d{2})$", 1), F.lit(" Q"), F.substring(first, 1, 1))
+    return F.when(F.rlike(first, F.lit(r"^20\d{2}")), long).when(first != "", short)
 
 
 def label_index(label: Column) -> Column:
@@ -81,3 +80,8 @@ def display_label(current: Column, previous: Column) -> Column:
         .when((previous < 0) & (current < 0), F.when(current > previous, LOSS_SMALLER).when(current < previous, LOSS_LARGER).otherwise(LOSS_EQUAL))
         .otherwise("percentage")
     )
+
+
+def to_eok(won: Column) -> Column:
+    """Won in units of 100 million."""
+    return won / F.lit(100_000_000)

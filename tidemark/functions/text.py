@@ -169,6 +169,17 @@ def redacted(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def context_of(text: Column, term: Column | None = None, pattern: Column | None = None) -> Column:
+    """60 characters of the redacted text: from its start, or from 30 before the term where its pattern is found."""
+    clean = redacted(F.coalesce(text, F.lit("")))
+    if term is None:
+        return F.substring(clean, 1, 60)
+    at = F.regexp_instr(clean, pattern)
+    start = F.greatest(at - 30, F.lit(1))
+    around = F.substr(clean, start, at + F.length(term) + 30 - start)
+    return F.substring(F.when(at > 0, around).otherwise(clean), 1, 60)
+
+
 def article_id(provider: Column, url: Column, title: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("None")) for c in (provider, url, title)]), 256), 1, 20)
 

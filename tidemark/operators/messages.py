@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
 
 
-def term_words(terms: Column) -> Column:
-    return F.filter(terms, lambda t: t != "")
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z가-힣]+", " ")), " ")
+
+
+def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, stock_code, requires_code): companies whose terms stand in the texts (id, text).
+
+    Terms and texts are compared by their words: runs of as many words as some term has, and runs without the particle at
+    their end, join the terms' words by equality.  What meets is then tested with the term's own pattern, so punctuation counts.
+    """
+    keyed = terms.withColumn("key", F.array_join(_words(F.col("term")), " ")).where("key <> ''")
+    lengths = keyed.agg(F.collect_set(F.size(F.split("key", " "))).alias("lengths"))
+    runs = texts.select("id", _words(F.col("text")).alias("w")).crossJoin(F.broadcast(lengths))  # one row
+    spans = runs.select("id", "w", F.explode("lengths").alias("n")).where("size(w) >= n")
+    keys = spans.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("run"))
+    bare = F.regexp_extract("run", rf"^(.*[0-9a-z가-힣])(?:{'|'.join(codes.PARTICLES)})$", 1)
+    both = keys.select("id", F.explode(F.array_distinct(F.array("run", F.when(bare != "", bare).otherwise(F.col("run"))))).alias("key"))
+    met = both.join(keyed, "key").select("id", "stock_code", "requires_code", "term").distinct()
+    return met.join(texts, "id").where(F.rlike("text", codes.term_pattern(F.col("term")))).select("id", "stock_code", "requires_code").distinct()
 
 
 def routed(messages: DataFrame, companies: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, stock_code, status, reason): one row an assignment or quarantine; silent drops have status 'dropped'.
 
-    companies: stock_code, terms (array of names and aliases), requires_code.  Explicit codes join by
-    equality; terms of messages without a code are found by joining the message's words and word
-    runs (as long as the longest term) to the terms, so no message meets every company.
+    companies: stock_code, terms (array of names and aliases), requires_code.  Explicit codes join by equality.  Messages
+    without a code are searched for terms in their company fields, and where no term stands there in their other lines.
     """
     found = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), codes.codes_by_level(F.col(text_col)).alias("c"))
     explicit = found.where(F.size("c.codes") > 0)
@@ -28,13 +44,11 @@ def routed(messages: DataFrame, companies: DataFrame, *, id_col: str = "id", tex
     by_code = single.join(known, "stock_code", "left").select(
         "id", "stock_code", F.when(F.col("known"), "assigned").otherwise("quarantine").alias("status"), F.when(F.col("known").isNull(), "code_not_in_portfolio").alias("reason")
     )
-    terms = companies.select("stock_code", "requires_code", F.explode(term_words(F.col("terms"))).alias("term")).select("stock_code", "requires_code", F.lower("term").alias("term")).distinct()
-    longest = terms.agg(F.max(F.size(F.split("term", " "))).alias("longest"))
+    terms = companies.select("stock_code", "requires_code", F.explode(F.filter("terms", lambda t: t != "")).alias("term")).distinct()
     bare = found.where(F.size("c.codes") == 0)
-    words = F.split(F.lower(F.regexp_replace(codes.fallback_text(F.col("text")), r"[^0-9A-Za-z가-힣\n]+", " ")), "[ \n]+")
-    runs = bare.select("id", words.alias("w")).crossJoin(F.broadcast(longest))  # one row
-    spans = runs.select("id", "w", F.explode(F.sequence(F.lit(1), F.coalesce("longest", F.lit(1)))).alias("n")).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - F.col("n") + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("at", "term"))
-    hits = spans.select("id", "term").where("term <> ''").distinct().join(terms, "term").select("id", "stock_code", "requires_code").distinct()
+    structured = term_hits(bare.select("id", codes.field_text(F.col("text")).alias("text")).where("text <> ''"), terms)
+    others = bare.join(structured.select("id").distinct(), "id", "left_anti")
+    hits = structured.unionByName(term_hits(others.select("id", codes.fallback_text(F.col("text")).alias("text")).where("text <> ''"), terms))
     matched = hits.groupBy("id").agg(F.collect_set(F.when(~F.col("requires_code"), F.col("stock_code"))).alias("permitted"), F.collect_set(F.when(F.col("requires_code"), F.col("stock_code"))).alias("blocked"))
     needs = matched.select("id", F.explode("blocked").alias("stock_code"), F.lit("quarantine").alias("status"), F.lit("target_requires_explicit_code").alias("reason"))
     one = matched.where(F.size("permitted") == 1).select("id", F.col("permitted")[0].alias("stock_code"), F.lit("assigned").alias("status"), F.lit(None).cast("string").alias("reason"))
@@ -58,23 +72,31 @@ def collection_start(now: Column, last: Column, *, overlap_hours: int = 3, most_
     return F.when(F.lit(backfill) | last.isNull(), whole).otherwise(F.greatest(now - hours(most_hours), last - hours(overlap_hours)))
 
 
-def budget_gate(requests: DataFrame, provider: str, order: str, budget: str, actual: str, limit: int) -> DataFrame:
-    """Sequential gate: a request runs if the calls made so far plus its budget stay in the limit; adds ``allowed``.
+def budget_gate(requests: DataFrame, provider: str, order: str, budget: str, actual: str, limit: int, daily: str | None = None, daily_limit: int = 1_000_000_000) -> DataFrame:
+    """Sequential gate: a request runs if the calls made so far plus its budget stay in the limit of the run, and with
+    ``daily`` (a day column) in that of the day; adds ``allowed``.
 
-    What counts is what earlier requests really used, so it is a scan in priority order per provider.
+    What counts is what earlier requests really used, so rows are scanned in order.  Partitions hold whole providers in
+    order and stream through; only the running totals are held, however many requests a provider has.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        used, allowed = 0, []
-        for want, real in zip(pdf[budget], pdf[actual], strict=True):
-            ok = used + want <= limit
-            allowed.append(ok)
-            used += real if ok else 0
-        return pdf.assign(allowed=allowed)
+    keys = [provider, budget, actual] + ([daily] if daily else [])
+
+    def scan(batches):
+        last, used, day, today = None, 0, None, 0
+        for batch in batches:
+            allowed = []
+            for who, want, real, *when in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
+                if who != last or last is None:
+                    last, used, day, today = who, 0, None, 0
+                if when and when[0] != day:
+                    day, today = when[0], 0
+                ok = used + want <= limit and today + want <= daily_limit
+                allowed.append(ok)
+                used, today = used + (real if ok else 0), today + (real if ok else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", allowed boolean"
-    return requests.groupBy(provider).applyInPandas(scan, schema)
+    return requests.repartition(provider).sortWithinPartitions(provider, order).mapInArrow(scan, schema)
 
 
 def budget_bound(requests: DataFrame, provider: str, order: list[Column], budget: str, limit: int) -> DataFrame:

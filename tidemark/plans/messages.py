@@ -41,10 +41,40 @@ UNION ALL SELECT n.id, NULL, 'dropped', NULL FROM n WHERE NOT EXISTS (SELECT 1 F
 def code_extract_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages to at most one company, by code or name, or to quarantine."""
     customer = table(spark, sf_dir, "customer")
-    companies = customer.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("stock_code"), F.array(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("terms"), (F.col("c_mktsegment") == "MACHINERY").alias("requires_code"))
+    companies = customer.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("stock_code"), F.array("c_name").alias("terms"), (F.col("c_mktsegment") == "MACHINERY").alias("requires_code"))
     return M.routed(event_messages(spark, sf_dir), companies)
 
 
+_SAFE = "[^가-힣A-Za-z0-9]"
+_NAMED = """m AS (SELECT event_id AS id, k AS nation, (k + 7) % 25 AS other, event_type, CASE event_type WHEN 'click' THEN '기업명: N&' || k || chr(10) || 'news of N&' || ((k + 7) % 25) WHEN 'view' THEN '가나' || k || '전자는 실적' WHEN 'purchase' THEN '가나' || k || '전자사 실적'
+ WHEN 'signup' THEN 'N&' || k || ' and N&' || ((k + 7) % 25) ELSE '거래상대: N&' || k || chr(10) || 'N ' || k END AS text FROM (SELECT *, user_id % 25 AS k FROM events))"""
+
+
+@query(f"""
+WITH {_NAMED}, c AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, n_nationkey AS k, n_regionkey = 0 AS requires FROM nation),
+f AS (SELECT m.id, c.code, c.requires FROM m JOIN c ON event_type = 'click' AND regexp_matches(regexp_extract(text, '기업명: ([^\n]+)', 1), '(^|{_SAFE})N&' || c.k || '($|{_SAFE})')),
+b AS (SELECT m.id, c.code, c.requires FROM m JOIN c ON event_type <> 'click' AND (regexp_matches(regexp_replace(text, '거래상대[^\n]*', ''), '(^|{_SAFE})N&' || c.k || '($|{_SAFE})')
+  OR regexp_matches(text, '(^|{_SAFE})가나' || c.k || '전자($|{_SAFE}|(은|는|이|가|와|과|을|를|의|도|에)($|{_SAFE}))'))),
+h AS (SELECT * FROM f UNION SELECT * FROM b), p AS (SELECT id, count(*) AS n, max(code) AS code FROM h WHERE NOT requires GROUP BY id)
+SELECT id, code AS stock_code, 'quarantine' AS status, 'target_requires_explicit_code' AS reason FROM h WHERE requires
+UNION ALL SELECT id, CASE WHEN n = 1 THEN code END, CASE WHEN n = 1 THEN 'assigned' ELSE 'quarantine' END, CASE WHEN n > 1 THEN 'ambiguous_alias_match' END FROM p
+UNION ALL SELECT id, NULL, 'dropped', NULL FROM m WHERE id NOT IN (SELECT id FROM h)""")
+def name_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by name: company fields before other lines, particles behind Korean names, punctuation in names, counter-parties ignored."""
+    k, other = (F.col("user_id") % 25).cast("string"), ((F.col("user_id") % 25 + 7) % 25).cast("string")
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "click", F.concat(F.lit("기업명: N&"), k, F.lit("\nnews of N&"), other))
+        .when(kind == "view", F.concat(F.lit("가나"), k, F.lit("전자는 실적")))
+        .when(kind == "purchase", F.concat(F.lit("가나"), k, F.lit("전자사 실적")))
+        .when(kind == "signup", F.concat(F.lit("N&"), k, F.lit(" and N&"), other))
+        .otherwise(F.concat(F.lit("거래상대: N&"), k, F.lit("\nN "), k))
+    )
+    number = F.col("n_nationkey").cast("string")
+    companies = table(spark, sf_dir, "nation").select(F.lpad(number, 6, "0").alias("stock_code"), F.array(F.concat(F.lit("N&"), number), F.concat(F.lit("가나"), number, F.lit("전자"))).alias("terms"), (F.col("n_regionkey") == 0).alias("requires_code"))
+    return M.routed(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text")), companies)
+
+
 @query(f"SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'labeled_stock_code' WHEN 'purchase' THEN 'company_name_field' WHEN 'view' THEN 'url_query_code' WHEN 'signup' THEN 'standalone_code' END AS source, length({_TEXT}) AS n_chars FROM events")
 def code_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each message's code was found."""
