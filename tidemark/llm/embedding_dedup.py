@@ -14,7 +14,10 @@ vectors and more want more hashes and tables (the parameters), as with any such
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing, and so do vectors of different lengths with each other; a null id takes no part
 (component null, kept true); repeated rows count as other vectors and get a result row each; extra
-columns are ignored; an empty table is empty.
+columns, whatever their names, are ignored; an empty table is empty.
+
+Counting the links of a component of n vectors compares all its pairs, in blocks of ``STRIP x limit``
+(16 MB of vectors of 128 numbers); its vectors are shuffled once for every block.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ TABLES, HASHES, CELL = 128, 16, 2.0
 #: Vectors of a region or block that one task holds.
 LIMIT = 4096
 ROUNDS = [[*range(0, 4)], [*range(4, 16)], [*range(16, TABLES)]]
+_ODD = np.random.default_rng(41).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Blocks of the link count hold so many times ``limit``: each vector goes once to every block of its component.
+STRIP = 4
 _PLANES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -43,10 +49,13 @@ def _planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_keys(vectors: np.ndarray) -> np.ndarray:
-    """64-bit bucket keys, vectors x TABLES, of normalised vectors."""
+    """64-bit bucket keys, vectors x TABLES, of normalised vectors: hashes of the cells' numbers."""
     planes, shift = _planes(vectors.shape[1])
-    cells = np.floor((vectors @ planes + shift) / CELL).astype("<i4").reshape(len(vectors), TABLES, HASHES)
-    return np.array([[xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) for t in row] for row in cells], np.int64).reshape(len(vectors), TABLES)
+    cells = np.floor((vectors @ planes + shift) / CELL).astype(np.int64).view(np.uint64).reshape(len(vectors), TABLES, HASHES)
+    mixed = (cells + np.uint64(0x9E3779B97F4A7C15)) * _ODD
+    mixed ^= mixed >> np.uint64(29)
+    keys = (mixed * _ODD[::-1]).sum(axis=2, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
 
 def _features(batches):
@@ -136,7 +145,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.9, limit: int
     else:
         members = labels.join(classes.select("node", "copies", "payload"), "node").withColumn("weight", F.lit(1).cast("long"))
         keys = ["component", "lo", "hi"]
-        dealt = block_grid(members.select("component", "node", "copies", "payload", "weight"), "component", limit).repartition(*keys).sortWithinPartitions(*keys)
+        dealt = block_grid(members.select("component", "node", "copies", "payload", "weight"), "component", STRIP * limit).repartition(*keys).sortWithinPartitions(*keys)
         links = dealt.select(*keys, "mine", "node", "copies", "payload").mapInArrow(_degrees(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
         named = classes.select("node", "rep", "copies").join(labels, "node", "left").join(links, "node", "left")
         named = named.select("node", "rep", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
