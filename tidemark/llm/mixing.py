@@ -37,7 +37,7 @@ BLOCK, SHARD_SLOTS = 128, 4096
 GROUPS, GROUP_ROWS = 512, 65_536
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Slots that one row unfolds into at a time; half rounds of the index permutations.
-RUN, HALF_ROUNDS = 65_536, 8
+RUN, HALF_ROUNDS = 8_192, 8
 
 
 def permuted(index: Column, count: Column, seed: Column) -> Column:
