@@ -13,7 +13,7 @@ def news_regions(domestic: Column, international: Column, language: Column) -> C
     return (
         F.when((domestic > 0) & (international > 0), F.array(F.lit("domestic"), F.lit("international"), F.lit("both")))
         .when(domestic > 0, F.array(F.lit("domestic"))).when(international > 0, F.array(F.lit("international")))
-        .otherwise(F.when(F.lower(language) == "korean", F.array(F.lit("domestic"))).otherwise(F.array(F.lit("international"))))
+        .otherwise(F.when(F.contains(F.lower(language), F.lit("korean")), F.array(F.lit("domestic"))).otherwise(F.array(F.lit("international"))))
     )
 
 

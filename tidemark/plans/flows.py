@@ -29,7 +29,7 @@ def event_time(text: Column) -> Column:
 def normalized_articles(raw: DataFrame, companies: DataFrame, provider: str, collected_at: str) -> DataFrame:
     """Standard articles of raw items (stock_code, title, description, url, published_at, language)."""
     names = F.concat(F.coalesce("aliases", F.array()), F.coalesce("english_aliases", F.array()))
-    joined = raw.join(F.broadcast(companies), "stock_code")  # the portfolio dimension, one row a company
+    joined = raw.join(companies, "stock_code")
     title = T.clean_markup(F.col("title"))
     rows = joined.withColumns({"title": title, "description": T.clean_markup(F.coalesce("description", F.lit(""))), "canonical_url": T.normalize_url(F.col("url")), "names": names})
     domain = T.canonical_domain(F.regexp_extract("canonical_url", "^https://([^/?]+)", 1))
@@ -94,7 +94,7 @@ def news_events(articles: DataFrame, companies: DataFrame, now: Column) -> DataF
         united("providers").alias("providers"), F.array_sort(F.collect_set("source_domain")).alias("source_domains"), united("categories").alias("categories"), united("event_keywords").alias("event_keywords"),
         F.bool_or("official_source").alias("official"), F.bool_or(F.col("source_tier") == "tier1").alias("tier1"), F.size(F.collect_set(F.when(F.col("source_tier").isin("official", "tier1"), F.col("source_domain")))).alias("trusted"),
         F.array_join(F.collect_list("normalized_title"), " ").alias("titles"), F.sort_array(F.collect_list(shown), asc=False).alias("articles"),
-    ).join(F.broadcast(companies.select("stock_code", F.coalesce("important_keywords", F.array()).alias("keywords"))), "stock_code", "left")  # one row a company
+    ).join(companies.select("stock_code", F.coalesce("important_keywords", F.array()).alias("keywords")), "stock_code", "left")
     hits = F.size(F.filter(F.array_distinct(F.transform("keywords", lambda k: F.lower(k))), lambda k: F.contains(F.col("titles"), k)))
     age = F.unix_timestamp(now) - F.unix_timestamp("last_published_at")
     score = A.score_event(
@@ -136,14 +136,14 @@ def message_flow(messages: DataFrame, companies: DataFrame) -> dict[str, DataFra
     judged = parsed.withColumn("problem", problem)
     good = cut(judged.where("problem is null").withColumn("stock_code", F.col("target")).drop("problem", "target"))
     quarantine = routes.where("status = 'quarantine'").select("id", "stock_code", "reason").unionByName(judged.where("problem is not null").select("id", F.col("target").alias("stock_code"), F.col("problem").alias("reason")))
-    context = messages.select("id", F.substring(T.redacted(F.col("text")), 1, 60).alias("context"))
+    context = messages.select("id", T.context_of(F.col("text")).alias("context"))
     return {"quarters": final_quarters(good), "disclosures": disclosures(good), "quarantine": quarantine.join(context, "id", "left")}
 
 
 def final_quarters(parsed: DataFrame) -> DataFrame:
     """Policy 'final wins' with history and conflicts, the last eight quarters of each company."""
     values = [*P.METRICS, *[f"{m}_consensus" for m in P.METRICS]]
-    found = P.candidates(parsed)
+    found = cut(P.candidates(parsed))  # read three times below
     picked = series.final_wins(found, ["stock_code", "fiscal_quarter"], "provisional", [F.col("disclosure_datetime").desc_nulls_last(), F.col("id").desc(), F.col("forecasts").desc()])
     history = series.version_history(found, ["stock_code", "fiscal_quarter"], [*values, "provisional", "corrected"], "id")
     distinct = found.groupBy("stock_code", "fiscal_quarter").agg((F.count_distinct(F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])) > 1).alias("conflict"))

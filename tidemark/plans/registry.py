@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import articles, audits, dashboard, messages, relational, reports, series, streams
+from . import articles, audits, dashboard, messages, parsing, relational, reports, series, streams
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "articles", "audits", "dashboard", "messages", "relational", "reports", "series", "streams"]
+__all__ = ["ORACLES", "QUERIES", "articles", "audits", "dashboard", "messages", "parsing", "relational", "reports", "series", "streams"]
