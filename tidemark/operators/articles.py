@@ -94,13 +94,20 @@ def time_bands(df: DataFrame, time: str, seconds: int) -> DataFrame:
 
 
 def pairs_within(df: DataFrame, group: str, key: str, time: str, seconds: int, columns: list[str]) -> DataFrame:
-    """Pairs (a before b by time, then key) of a group at most ``seconds`` apart: a band equi-join, not a cross join."""
+    """Pairs (a before b by time, then key) of a group at most ``seconds`` apart: a band equi-join, not a cross join.
+
+    Rows without a time are near all of their group; they are a, or b of another such row with a smaller key.
+    """
     banded = time_bands(df, time, seconds)
     a = banded.select(group, "band", *[F.col(c).alias(f"a_{c}") for c in [key, time, *columns]])
     b = banded.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).select(group, "band", *[F.col(c).alias(f"b_{c}") for c in [key, time, *columns]])
     earlier = (F.col(f"a_{time}") < F.col(f"b_{time}")) | ((F.col(f"a_{time}") == F.col(f"b_{time}")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
     near = F.unix_timestamp(F.col(f"b_{time}").cast("timestamp")) - F.unix_timestamp(F.col(f"a_{time}").cast("timestamp")) <= seconds
-    return a.join(b, [group, "band"]).where(earlier & near).drop("band")
+    dated = a.join(b, [group, "band"]).where(earlier & near).drop("band")
+    named = lambda p, rows: rows.select(group, *[F.col(c).alias(f"{p}_{c}") for c in [key, time, *columns]])
+    undated = named("a", df.where(F.col(time).isNull()))
+    other = F.col(f"b_{time}").isNotNull() | (F.col(f"a_{key}") < F.col(f"b_{key}"))
+    return dated.unionByName(undated.join(named("b", df), group).where(other))
 
 
 def score_event(*, official: Column, tier1: Column, alias: Column, keyword_hits: Column, both_regions: Column, trusted_domains: Column, recent: Column, material: Column, noise: Column) -> Column:

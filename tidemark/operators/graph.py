@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
         import tempfile
 
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint()
 

@@ -23,5 +23,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Tables of whole texts: what is done to them is dear, so a scan of few splits is spread over all cores.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows

@@ -6,11 +6,12 @@ import html
 import json
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
@@ -60,12 +61,11 @@ def text_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Spark's file sources give no row for files of zero bytes.  first_copy marks the first path of each content, so copies can be left out without losing their count.
     """
-    from pyspark.sql import Window
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
     rows = files.select("path", F.regexp_extract("path", r"/([0-9A-Z]{6})/[^/]*$", 1).alias("folder_code"), F.sha2("content", 256).alias("sha256"), decoded("content").alias("d"), F.col("length").alias("n_bytes"))
-    copy = F.row_number().over(Window.partitionBy("sha256").orderBy("path")) == 1
-    return rows.select("path", "folder_code", "sha256", "d.text", "d.encoding", "n_bytes", copy.alias("first_copy"))
+    # the least path of each content, found on hashes alone: texts of many copies don't meet in one task
+    first = rows.groupBy("sha256").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("first"))
+    return rows.join(first, "path", "left").select("path", "folder_code", "sha256", "d.text", "d.encoding", "n_bytes", F.coalesce("first", F.lit(False)).alias("first_copy"))
 
 
 class _Cells(HTMLParser):
@@ -172,8 +172,9 @@ class _SearchReader(DataSourceReader):
 
 
 class ChannelSource(DataSource):
-    """Message channel as a stream: offsets are message ids, batches are bounded.
+    """Message channel as a stream: offsets are message ids, batches are bounded and read where they are planned.
 
+    A batch starts at the offset that the engine hands over, on a restart the one of its checkpoint, so nothing comes twice.
     Options: fixture (JSON lines: id, date, text, ordered by id) and batch (default 500).
     """
 
@@ -184,13 +185,13 @@ class ChannelSource(DataSource):
     def schema(self) -> str:
         return "id long, date string, text string"
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
         return _ChannelReader(self.options)
 
 
-class _ChannelReader(DataSourceStreamReader):
+class _ChannelReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.fixture, self.batch, self.at = options["fixture"], int(options.get("batch", "500")), 0
+        self.fixture, self.batch = options["fixture"], int(options.get("batch", "500"))
 
     def _rows(self, after: int, to: int | None = None) -> Iterator[tuple]:
         with open(self.fixture, encoding="utf-8") as f:
@@ -202,21 +203,12 @@ class _ChannelReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"id": 0}
 
-    def latestOffset(self) -> dict:  # noqa: N802
-        for n, row in enumerate(self._rows(self.at)):
-            last = row[0]
-            if n + 1 == self.batch:
-                break
-        else:
-            last = locals().get("last", self.at)
-        self.at = last
-        return {"id": last}
-
-    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return [InputPartition((start["id"], end["id"]))]
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows = list(islice(self._rows(start["id"]), self.batch))
+        return iter(rows), {"id": rows[-1][0] if rows else start["id"]}
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self._rows(*partition.value)
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return self._rows(start["id"], end["id"])
 
     def commit(self, end: dict) -> None:
         pass

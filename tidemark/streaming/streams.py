@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +21,8 @@ from ..operators.rank import first_per_key
 
 def shared_path(spark: SparkSession, name: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = named or tempfile.mkdtemp(prefix="tidemark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -62,23 +64,62 @@ def upsert_sink(target: str, key: Sequence[str], order: str, partitions: int = 1
     return write
 
 
-def read_upserted(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The table of an upsert sink: of each bucket what its newest batch wrote."""
+def _newest(spark: SparkSession, target: str, before: int | None = None) -> tuple[object, dict[str, object], list]:
+    """The store, of each bucket the newest folder, and the folders that it replaces; as many entries as buckets and batches."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return None
-    batches = [s.getPath().toString() for s in store.listStatus(path) if s.isDirectory()]
-    batches = [b for b in batches if before is None or int(b.rpartition("=")[2]) < before]
-    if not batches:
+    newest: dict[str, object] = {}
+    replaced = []
+    folders = sorted((s.getPath() for s in store.listStatus(path)), key=lambda f: f.getName()) if store.exists(path) else []
+    for batch in folders:
+        if before is not None and int(batch.getName().rpartition("=")[2]) >= before:
+            continue
+        for status in store.listStatus(batch):
+            bucket = status.getPath()
+            if bucket.getName().startswith("bucket="):
+                if bucket.getName() in newest:
+                    replaced.append(newest[bucket.getName()])
+                newest[bucket.getName()] = bucket
+    return store, newest, replaced
+
+
+def read_upserted(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The table of an upsert sink: of each bucket the folder that its newest batch wrote, however many batches there were."""
+    _, newest, _ = _newest(spark, target, before)
+    if not newest:
         return None
-    parts = [spark.read.parquet(b).withColumn("batch", F.lit(int(b.rpartition("=")[2]))) for b in batches]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch")  # one row a bucket
+    rows = spark.read.option("basePath", target).parquet(*[f.toString() for f in newest.values()])
+    return rows.drop("batch")
+
+
+def compacted(spark: SparkSession, target: str, keep: int = 2) -> int:
+    """Remove bucket folders that newer batches replaced; those of the last ``keep`` batches stay, for batches that run again."""
+    store, newest, replaced = _newest(spark, target)
+    numbers = sorted({int(f.getParent().getName().rpartition("=")[2]) for f in [*newest.values(), *replaced]})
+    old = [f for f in replaced if int(f.getParent().getName().rpartition("=")[2]) not in numbers[-keep:]]
+    for folder in old:
+        store.delete(folder, True)
+    return len(old)
+
+
+def quarantine_sink(target: str, good: Column):
+    """foreachBatch sink with a side output: rows go to ``good`` or to ``quarantine`` below the target, by batch, so a batch
+    that runs again writes the same folders."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = F.coalesce(good, F.lit(False))
+        for name, rows in (("good", batch.where(kept)), ("quarantine", batch.where(~kept))):
+            rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id:09d}")
+
+    return write
+
+
+def fresh_rows(stream: DataFrame, key: Sequence[str], time: str, *, overlap: str = "3 hours", reach: str = "16 hours", now: Column | None = None) -> DataFrame:
+    """Rows of windows that overlap, each key once: rows later than the overlap are dropped with their state, and with ``now``
+    those further back than the reach."""
+    rows = stream if now is None else stream.where(F.col(time) >= now - F.expr(f"interval {reach}"))
+    return rows.withWatermark(time, overlap).dropDuplicatesWithinWatermark(list(key))
 
 
 def run_upsert(spark: SparkSession, path: str, key: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
