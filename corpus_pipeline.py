@@ -5,13 +5,15 @@ first four return the columns of ``documents``.  Verdicts come back by a key of
 rows that share an id are judged each by their own text, and null ids are no exception.
 
 * quality: documents that fail the base rules or leave their language's perplexity band go.
-* toxicity: documents of expected severity 0.5 and more go; the model is fitted on the labels.
+* toxicity: documents of expected severity 0.4 and more go; the model is fitted on the labels.
 * minhash: of each group of near-duplicates (five words, 0.8) one row with an id stays, that of the
   smallest id (equal ids in the order of their keys), and one of its rows without an id.  Rows
   without words stay.
 * mixing: documents that the mix takes nothing of go, those it takes in part keep the words taken,
   those it takes again come again.
 * bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the hash of the decoded text.
+
+Every stage reads whole texts, however long; further columns of any name pass the first four.
 """
 
 from __future__ import annotations
@@ -23,39 +25,48 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, minhash, mixing, quality, toxicity
 from tidemark.llm.storage import stored
 
-_KEY = "pipeline_row_key"
+
+def _key_of(docs: DataFrame) -> str:
+    """A name for the row key that no column of the documents has."""
+    name = "pipeline_row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull(), "lang"))
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull(), "lang"))
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """Documents whose key has no rejection among the verdicts (key, kept)."""
-    rejected = verdicts.where(~F.col("kept")).select(_KEY).distinct()
-    return docs.join(rejected, _KEY, "left_anti").drop(_KEY)
+    rejected = verdicts.where(~F.col("kept")).select(key).distinct()
+    return docs.join(rejected, key, "left_anti").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    return _without(keyed, quality.quality(keyed, id_col=_KEY)).select(docs.columns)
+    key = _key_of(docs)
+    keyed = _keyed(docs, key)
+    return _without(keyed, quality.quality(keyed, id_col=key), key).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = _keyed(docs)
-    return _without(keyed, toxicity.scored(keyed, model, id_col=_KEY)).select(docs.columns)
+    key = _key_of(docs)
+    keyed = _keyed(docs, key)
+    return _without(keyed, toxicity.scored(keyed, model, id_col=key), key).select(docs.columns)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    groups = stored(minhash.near_duplicates(keyed, percent=80, id_col=_KEY), "groups")
-    rows = groups.join(keyed.select(_KEY, "doc_id").distinct(), _KEY)
+    key = _key_of(docs)
+    keyed = _keyed(docs, key)
+    groups = stored(minhash.near_duplicates(keyed, percent=80, id_col=key), "groups")
+    rows = groups.join(keyed.select(key, "doc_id").distinct(), key)
     each = rows.where("n_shingles > 0").groupBy("component_id", F.col("doc_id").isNull())
-    first = each.agg(F.min(F.struct("doc_id", _KEY)).alias("first")).select(F.col(f"first.{_KEY}").alias(_KEY))
-    wordless = groups.where("n_shingles = 0").select(_KEY).distinct()
-    one = keyed.join(first, _KEY, "left_semi").dropDuplicates([_KEY])
-    return one.unionByName(keyed.join(wordless, _KEY, "left_semi")).select(docs.columns)
+    first = each.agg(F.min(F.struct("doc_id", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
+    wordless = groups.where("n_shingles = 0").select(key).distinct()
+    one = keyed.join(first, key, "left_semi").dropDuplicates([key])
+    return one.unionByName(keyed.join(wordless, key, "left_semi")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
