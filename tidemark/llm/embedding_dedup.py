@@ -155,3 +155,14 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.9, limit: int
     out = features.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(by_class, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def oracle(least: float) -> str:
+    """DuckDB SQL for the table embeddings: all pairs, for tables of some thousand vectors."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS k FROM embeddings),
+    u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    p AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {least}),
+    r AS (SELECT k AS node, k AS seen FROM u UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
+    c AS (SELECT node, min(vec_id) AS component_id FROM r JOIN v ON v.k = r.seen GROUP BY node), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept FROM v LEFT JOIN c ON c.node = v.k LEFT JOIN n ON n.a = v.k"""

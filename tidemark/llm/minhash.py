@@ -222,3 +222,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = WIDTH, l
     out = features.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(by_class, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def oracle(percent: int, width: int = WIDTH) -> str:
+    """DuckDB SQL for the table documents: pairs by shared shingles, for tables of some thousand documents."""
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, k, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')] ELSE list_distinct([array_to_string(words[i:i + {width - 1}], ' ') FOR i IN range(1, len(words) - {width - 2})]) END AS shingles FROM w),
+    g AS (SELECT min(k) AS k, hash(list_sort(shingles)) AS h, min(len(shingles)) AS n, any_value(shingles) AS shingles FROM s WHERE doc_id IS NOT NULL AND len(shingles) > 0 GROUP BY list_sort(shingles)),
+    x AS (SELECT k, n, unnest(shingles) AS shingle FROM g),
+    p AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.k <> b.k GROUP BY a.k, b.k HAVING 100 * count(*) >= {percent} * (min(a.n) + min(b.n) - count(*))),
+    r AS (SELECT k AS node, k AS seen FROM g UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
+    m AS (SELECT s.doc_id, s.k, g.k AS rep FROM s JOIN g ON g.h = hash(list_sort(s.shingles)) WHERE s.doc_id IS NOT NULL AND len(s.shingles) > 0),
+    c AS (SELECT r.node, min(m.doc_id) AS component_id FROM r JOIN m ON m.rep = r.seen GROUP BY r.node)
+    SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(s.doc_id = coalesce(c.component_id, s.doc_id), true) AS kept FROM s LEFT JOIN m ON m.k = s.k LEFT JOIN c ON c.node = m.rep"""

@@ -73,4 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
 }
-ORACLES: dict[str, str] = {"op9_warc": warc.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.oracle(sharding.shard_tree(8), sharding.shard_tree(9)),
+    "op4_embedding_dedup": embedding_dedup.oracle(0.9),
+    "op9_warc": warc.oracle(),
+    "op10_minhash": minhash.oracle(85),
+}

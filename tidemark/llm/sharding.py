@@ -97,7 +97,7 @@ def assign_shards(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, id_
     placed = distinct.withColumns({
         "shard": shard_of(key, tree),
         "grown_shard": shard_of(key, grown) if grown else F.lit(None).cast("int"),
-        "bucket": F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(buckets)).cast("int"),
+        "bucket": (F.conv(F.substring(F.md5(F.concat_ws("|", key, "size", "text_crc32")), 1, 8), 16, 10).cast("long") % buckets).cast("int"),
     })
     sizes = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("held"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,3 +109,28 @@ def assign_shards(docs: DataFrame, tree: Tree, grown: Tree | None = None, *, id_
     start = F.col("first") + F.col("run") * RUN
     slots = F.sequence(start, F.least(start + RUN, F.col("first") + F.col("copies")) - 1)
     return runs.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")
+
+
+def oracle(eight: Tree, nine: Tree) -> str:
+    """DuckDB SQL for the shards of the table documents (less than 2^26 rows, whose buckets are ``BUCKETS``)."""
+
+    def weight(below) -> float:
+        return sum(map(weight, below.values())) if isinstance(below, dict) else float(below)
+
+    def descend(node: str, below) -> str:
+        if not isinstance(below, dict):
+            return node.rpartition("/")[2]
+        live = {name: child for name, child in below.items() if weight(child) > 0}
+        inner = [descend(f"{node}/{name}" if node else str(name), child) for name, child in live.items()]
+        if len(live) == 1:
+            return inner[0]
+        draws = [f"-ln((('0x' || substr(md5('{node}/{name}|' || key), 1, 13))::BIGINT + 0.5) / 4503599627370496) / {weight(child)}" for name, child in live.items()]
+        cases = " ".join(f"WHEN d[{k + 1}] = list_min(d) THEN {x}" for k, x in enumerate(inner))
+        return f"(SELECT CASE {cases} END FROM (SELECT [{', '.join(draws)}] AS d))"
+
+    table = "[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)]"
+    return f"""
+    WITH b AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+    c AS (SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, (SELECT {table} AS tab)),
+    s AS (SELECT *, {descend("", eight)} AS shard, {descend("", nine)} AS grown_shard, ('0x' || substr(md5(key || '|' || size || '|' || text_crc32), 1, 8))::BIGINT % {BUCKETS} AS bucket FROM c)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
