@@ -4,6 +4,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from tests.llm.helpers import no_documents, odd_documents
+from tests.llm.test_near_duplicates import brute_force
 from tidemark.llm import words
 from tidemark.llm.storage import stored
 
@@ -56,3 +57,24 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
                 assert out.columns == docs.columns
             out.count()
             docs = make(spark) if name == "quality" else docs
+
+
+def test_rows_that_share_an_id_go_through_the_chain_by_their_own_texts(spark, sf_dir):
+    """Stages in a row, each on what the one before kept: one id with two clean texts and a junk text, near copies, and a row without an id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    _, group = brute_force(texts, 80)
+    size = collections.Counter(group.values())
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    a, b = [i for i in sorted(texts) if i in clean and size[group[i]] == 1 and lang[i] == "en" and 100 < len(texts[i].split()) < 1000][:2]
+    tail = " ".join(texts[a].split()[:3])
+    rows = [(7000, texts[a]), (7000, texts[b]), (7000, "too short"), (7001, texts[a] + " " + tail), (None, texts[b]), (7002, "Scum### scum$$$ " * 40), (7003, None), (7003, "")]
+    more = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], docs.schema)
+    kept = docs.where(~docs.doc_id.isin(a, b)).unionByName(more)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stored(stage(spark, kept, sf_dir), f"chain-{name}")
+    special = sorted(((r.doc_id, r.text) for r in kept.where("doc_id >= 7000 or doc_id is null").collect()), key=repr)
+    assert special == sorted([(7000, texts[a]), (7000, texts[b]), (None, texts[b])], key=repr)
+    mixed = stored(corpus_pipeline.mixing_stage(spark, kept, sf_dir), "chain-mixing")
+    assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in kept.collect()}
