@@ -40,7 +40,7 @@ ORDER = 4
 #: Rejection: base rules.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Bands in bits a letter: median - max(LOW x mad, LOW_BITS) to median + max(HIGH x mad, HIGH_BITS), for long texts; letters of a short text.
-LOW, LOW_BITS, HIGH, HIGH_BITS, SHORT = 8.0, 0.3, 6.0, 0.2, 300.0
+LOW, LOW_BITS, HIGH, HIGH_BITS, SHORT = 8.0, 0.3, 9.0, 0.3, 300.0
 #: Bytes of texts in a block, and of all blocks that a task has open.
 BLOCK_BYTES, OPEN_BYTES = 8_000_000, 16_000_000
 _SPACES, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
