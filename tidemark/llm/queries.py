@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, minhash, mixing, quality, sharding, token_counts, token_files, toxicity, warc
+from . import bpe, embedding_dedup, filter_audit, importance, line_dedup, minhash, mixing, quality, sharding, token_counts, token_files, toxicity, warc
 from .storage import new_path
 
 
@@ -61,6 +61,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.lines_removed(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = importance.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=2, buckets=10_000, percent=25, min_words=20, seed=7)
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -72,10 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_importance": op13_importance,
 }
 ORACLES: dict[str, str] = {
     "op2_sharding": sharding.oracle(sharding.shard_tree(8), sharding.shard_tree(9)),
     "op4_embedding_dedup": embedding_dedup.oracle(0.9),
     "op9_warc": warc.oracle(),
     "op10_minhash": minhash.oracle(85),
+    "op11_filter_audit": filter_audit.oracle(),
+    "op12_line_dedup": line_dedup.oracle(10, 1),
+    "op13_importance": importance.oracle(),
 }
