@@ -41,8 +41,12 @@ def test_message_flow(spark, messages):
     out = flows.message_flow(messages, companies)
     quarters = {r.fiscal_quarter: (r.revenue, r.status, r.conflict) for r in out["quarters"].collect()}
     assert quarters == {"2026 Q2": (10**11, "provisional", False), "2026 Q1": (9 * 10**10, "provisional", False), "2025 Q4": (8 * 10**10, "provisional", False)}
-    assert {(r.identity, r.label) for r in out["disclosures"].collect()} == {("r:20260717000001", "실적"), ("m:3", "기타")}
-    assert [(r.id, r.reason) for r in out["quarantine"].collect()] == [(2, "code_not_in_portfolio")]
+    assert {(r.identity, r.label) for r in out["disclosures"].collect()} == {("r:20260717000001", "실적")}
+    # message 3 is found by its name but states no code, so nothing of it is merged
+    assert sorted((r.id, r.target, r.parsed_code, r.reason, r.stage) for r in out["quarantine"].collect()) == [(2, None, "999999", "code_not_in_portfolio", "distribution"), (3, "005930", None, "parsed_code_missing", "pre_merge_validation")]
+    assert out["companies"].first().asDict() == {"stock_code": "005930", "matched": 2, "parsed": 1, "failures": 0, "new_quarters": 3, "warnings": 0, "new_disclosures": 1}
+    totals = out["totals"].first()
+    assert (totals.messages_processed, totals.unique_matched, totals.companies_with_matches, totals.quarantine_count, totals.end_cursor) == (5, 2, 1, 2, 5)
 
 
 def test_news_flow(spark):

@@ -13,6 +13,7 @@ LABELED_CODE = r"(?im)^\s*(?:종목코드|종목\s*코드)\s*[:：]\s*A?((?=[A-Z
 COMPANY_FIELD = r"(?im)^\s*(?:기업명|회사명|종목명)\s*[:：]\s*([^\n]+)"
 URL_CODE = r"(?i)[?&](?:code|stock_code|stockcode)=A?((?=[A-Z0-9]{0,5}\d)[A-Z0-9]{6})(?![A-Z0-9])"
 BLOCKED_LINE = r"계약\s*상대|거래\s*상대|원고(?:이름|명)?|피고(?:이름|명)?|비교기업|경쟁사|연구원|기관명"
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 PARTICLES = ["은", "는", "이", "가", "와", "과", "을", "를", "의", "도", "에"]
 CORRECTION = "정정(?:공시|보고서|신고서)?"
 EARNINGS_MARKERS = [r"매출\s*액?", r"영업\s*(?:익|이익)", r"순\s*(?:익|이익)", r"최근\s*실적\s*추이", r"잠정\s*실적"]
@@ -38,18 +39,19 @@ def codes_by_level(text: Column) -> Column:
 
 
 def searchable_text(text: Column) -> Column:
-    """Without URLs and mail addresses."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), URL_PATTERN, " "), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")
+    """Without URLs and mail addresses, runs of blanks as one."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), URL_PATTERN, " "), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")
+    return F.regexp_replace(bare, r"[ \t]+", " ")
 
 
-def field_text(text: Column) -> Column:
-    """What stands in the company fields, a line each."""
-    return F.array_join(F.regexp_extract_all(searchable_text(text), F.lit(COMPANY_FIELD), F.lit(1)), "\n")
+def company_fields(text: Column) -> Column:
+    """What stands in each company field."""
+    return F.regexp_extract_all(searchable_text(text), F.lit(COMPANY_FIELD), F.lit(1))
 
 
-def fallback_text(text: Column) -> Column:
+def fallback_lines(text: Column) -> Column:
     """Lines that name no counter-party, without URLs and mail addresses."""
-    return F.array_join(F.filter(F.split(searchable_text(text), "\n"), lambda line: ~F.rlike(line, F.lit(BLOCKED_LINE))), "\n")
+    return F.filter(F.split(searchable_text(text), LINE_END), lambda line: ~F.rlike(line, F.lit(BLOCKED_LINE)))
 
 
 def term_pattern(term: Column) -> Column:

@@ -180,6 +180,12 @@ def context_of(text: Column, term: Column | None = None, pattern: Column | None
     return F.substring(F.when(at > 0, around).otherwise(clean), 1, 60)
 
 
+def context_round(text: Column, term: Column) -> Column:
+    """60 characters of the redacted text from 30 before the first place of the term, in any case; from its start where it is not there."""
+    clean = redacted(F.coalesce(text, F.lit("")))
+    return F.substr(clean, F.greatest(F.instr(F.lower(clean), F.lower(term)) - 30, F.lit(1)), F.lit(60))
+
+
 def article_id(provider: Column, url: Column, title: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("None")) for c in (provider, url, title)]), 256), 1, 20)
 

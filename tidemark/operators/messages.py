@@ -7,57 +7,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from .graph import cut
+from .names import name_hits
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z가-힣]+", " ")), " ")
-
-
-def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, stock_code, requires_code): companies whose terms stand in the texts (id, text).
-
-    Terms and texts are compared by their words: runs of as many words as some term has, and runs without the particle at
-    their end, join the terms' words by equality.  What meets is then tested with the term's own pattern, so punctuation counts.
-    """
-    keyed = terms.withColumn("key", F.array_join(_words(F.col("term")), " ")).where("key <> ''")
-    lengths = keyed.agg(F.collect_set(F.size(F.split("key", " "))).alias("lengths"))
-    runs = texts.select("id", _words(F.col("text")).alias("w")).crossJoin(F.broadcast(lengths))  # one row
-    spans = runs.select("id", "w", F.explode("lengths").alias("n")).where("size(w) >= n")
-    keys = spans.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("run"))
-    bare = F.regexp_extract("run", rf"^(.*[0-9a-z가-힣])(?:{'|'.join(codes.PARTICLES)})$", 1)
-    both = keys.select("id", F.explode(F.array_distinct(F.array("run", F.when(bare != "", bare).otherwise(F.col("run"))))).alias("key"))
-    met = both.join(keyed, "key").select("id", "stock_code", "requires_code", "term").distinct()
-    return met.join(texts, "id").where(F.rlike("text", codes.term_pattern(F.col("term")))).select("id", "stock_code", "requires_code").distinct()
+def searched_lines(text: Column) -> Column:
+    """Lines of a message that names are looked for in: structs (in_field, line) of its company fields and of the lines that name
+    no counter-party."""
+    fields = F.transform(codes.company_fields(text), lambda v: F.struct(F.lit(True).alias("in_field"), v.alias("line")))
+    return F.concat(fields, F.transform(codes.fallback_lines(text), lambda v: F.struct(F.lit(False).alias("in_field"), v.alias("line"))))
 
 
 def routed(messages: DataFrame, companies: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, stock_code, status, reason): one row an assignment or quarantine; silent drops have status 'dropped'.
+    """(id, stock_code, status, reason, parsed_code, term): one row an assignment or quarantine; silent drops have status 'dropped'.
 
-    companies: stock_code, terms (array of names and aliases), requires_code.  Explicit codes join by equality.  Messages
-    without a code are searched for terms in their company fields, and where no term stands there in their other lines.
+    companies: stock_code, terms (array of names and aliases), requires_code.  Explicit codes join by equality; ``parsed_code`` is
+    the code a message states.  Messages without a code are searched for terms in their company fields, and where no term stands
+    there in their other lines; ``term`` is the term that quarantines one (the first of a company's, in order).  Codes and lines
+    are taken from the texts once.
     """
-    found = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), codes.codes_by_level(F.col(text_col)).alias("c"))
-    explicit = found.where(F.size("c.codes") > 0)
-    many = explicit.where(F.size("c.codes") > 1).select("id", F.lit(None).cast("string").alias("stock_code"), F.lit("quarantine").alias("status"), F.lit("ambiguous_explicit_codes").alias("reason"))
-    single = explicit.where(F.size("c.codes") == 1).select("id", F.col("c.codes")[0].alias("stock_code"))
-    known = companies.select("stock_code", F.lit(True).alias("known"))
-    by_code = single.join(known, "stock_code", "left").select(
-        "id", "stock_code", F.when(F.col("known"), "assigned").otherwise("quarantine").alias("status"), F.when(F.col("known").isNull(), "code_not_in_portfolio").alias("reason")
-    )
-    terms = companies.select("stock_code", "requires_code", F.explode(F.filter("terms", lambda t: t != "")).alias("term")).distinct()
-    bare = found.where(F.size("c.codes") == 0)
-    structured = term_hits(bare.select("id", codes.field_text(F.col("text")).alias("text")).where("text <> ''"), terms)
-    others = bare.join(structured.select("id").distinct(), "id", "left_anti")
-    hits = structured.unionByName(term_hits(others.select("id", codes.fallback_text(F.col("text")).alias("text")).where("text <> ''"), terms))
-    matched = hits.groupBy("id").agg(F.collect_set(F.when(~F.col("requires_code"), F.col("stock_code"))).alias("permitted"), F.collect_set(F.when(F.col("requires_code"), F.col("stock_code"))).alias("blocked"))
-    needs = matched.select("id", F.explode("blocked").alias("stock_code"), F.lit("quarantine").alias("status"), F.lit("target_requires_explicit_code").alias("reason"))
-    one = matched.where(F.size("permitted") == 1).select("id", F.col("permitted")[0].alias("stock_code"), F.lit("assigned").alias("status"), F.lit(None).cast("string").alias("reason"))
-    several = matched.where(F.size("permitted") > 1).select("id", F.lit(None).cast("string").alias("stock_code"), F.lit("quarantine").alias("status"), F.lit("ambiguous_alias_match").alias("reason"))
-    dropped = bare.select("id").join(matched, "id", "left_anti").select("id", F.lit(None).cast("string").alias("stock_code"), F.lit("dropped").alias("status"), F.lit(None).cast("string").alias("reason"))
-    out = many
-    for part in (by_code, needs, one, several, dropped):
-        out = out.unionByName(part)
-    return out
+    stated = codes.codes_by_level(F.col(text_col))
+    found = cut(messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), stated["codes"].alias("codes")).select("id", "codes", F.when(F.size("codes") == 0, searched_lines(F.col("text"))).alias("lines")))
+    terms = companies.select("stock_code", "requires_code", F.explode("terms").alias("term")).distinct()
+    hits = name_hits(found.where("lines is not null").select("id", F.inline("lines")), terms)
+    met = hits.groupBy("id", "in_field", "stock_code").agg(F.bool_or("requires_code").alias("requires_code"), F.min("term").alias("term"))
+    one = F.struct("stock_code", "requires_code", "term")
+    per_message = met.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("in_field"), one))).alias("by_field"), F.array_sort(F.collect_set(F.when(~F.col("in_field"), one))).alias("by_line"))
+    known = companies.select(F.col("stock_code").alias("code"), F.lit(True).alias("known")).distinct()
+    code = F.get("codes", F.lit(0))
+    joined = found.select("id", "codes", F.when(F.size("codes") == 1, code).alias("code")).join(known, "code", "left").join(per_message, "id", "left")
+    matched = F.when(F.size("by_field") > 0, F.col("by_field")).otherwise(F.col("by_line"))
+
+    def outcome(stock_code: Column | None, status: str, reason: str | None = None, parsed: Column | None = None, term: Column | None = None) -> Column:
+        text = lambda c: F.lit(None).cast("string") if c is None else c
+        return F.struct(text(stock_code).alias("stock_code"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"), text(parsed).alias("parsed_code"), text(term).alias("term"))
+
+    rows = joined.withColumn("matched", F.coalesce(matched, F.array().cast("array<struct<stock_code:string,requires_code:boolean,term:string>>")))
+    blocked = F.transform(F.filter("matched", lambda m: m["requires_code"]), lambda m: outcome(m["stock_code"], "quarantine", "target_requires_explicit_code", None, m["term"]))
+    permitted = F.filter("matched", lambda m: ~m["requires_code"])
+    by_name = F.concat(blocked, F.when(F.size(permitted) == 1, F.array(outcome(F.get(permitted, F.lit(0))["stock_code"], "assigned"))).when(F.size(permitted) > 1, F.array(outcome(None, "quarantine", "ambiguous_alias_match", None, F.get(permitted, F.lit(0))["term"]))).otherwise(F.array().cast("array<struct<stock_code:string,status:string,reason:string,parsed_code:string,term:string>>")))
+    outcomes = (
+        F.when(F.size("codes") > 1, F.array(outcome(None, "quarantine", "ambiguous_explicit_codes")))
+        .when(F.col("known"), F.array(outcome(F.col("code"), "assigned", None, F.col("code"))))
+        .when(F.col("code").isNotNull(), F.array(outcome(F.col("code"), "quarantine", "code_not_in_portfolio", F.col("code"))))
+        .when(F.size("matched") > 0, by_name).otherwise(F.array(outcome(None, "dropped")))
+    )
+    return rows.select("id", F.inline(outcomes))
 
 
 def batch_after(messages: DataFrame, cursor: Column | int, size: int, id_col: str = "id") -> DataFrame:

@@ -78,6 +78,13 @@ def provisional(text: Column) -> Column:
     return F.when(flag == "Y", True).when(flag == "N", False).when(F.rlike(text, F.lit(r"잠정\s*실적")), True)
 
 
+def first_code(text: Column, label: Column, field: Column) -> Column:
+    """Struct (source, stock_code) of the first code of a message: in its code label, its company field, a URL's query, anywhere."""
+    found = (("labeled_stock_code", label, codes.CODE), ("company_name_field", field, codes.CODE), ("url_query_code", text, codes.URL_CODE), ("standalone_code", text, codes.CODE))
+    levels = F.array(*[F.struct(F.lit(name).alias("source"), F.upper(F.regexp_extract(where, pattern, 1)).alias("stock_code")) for name, where, pattern in found])
+    return F.get(F.filter(levels, lambda s: s["stock_code"] != ""), F.lit(0))
+
+
 def parsed_fields(messages: DataFrame, id_col: str = "id", text_col: str = "text", date_col: str | None = "date") -> DataFrame:
     """One row a message: kind, company, code, report, period, time, provisional, links."""
     text = normalized_text(F.col(text_col))
@@ -86,13 +93,14 @@ def parsed_fields(messages: DataFrame, id_col: str = "id", text_col: str = "text
     by_line = F.get(F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit("보고서|신고서|결정|계약|배당"))), F.lit(0))
     # raw fields first: what is derived from them names each several times
     raw = rows.select(
-        "id", "text", "date", codes.codes_by_level(F.col("text")).alias("code"), labelled(F.col("text"), ["기업명", "회사명", "종목명"]).alias("field"), F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)]", 1), F.lit("")).alias("bracket"),
+        "id", "text", "date", labelled(F.col("text"), ["종목코드", "종목 코드"]).alias("code_label"), labelled(F.col("text"), ["기업명", "회사명", "종목명"]).alias("field"), F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)]", 1), F.lit("")).alias("bracket"),
         labelled(F.col("text"), ["시가총액", "시총"]).alias("market_cap_text"), labelled(F.col("text"), ["보고서명", "공시명"]).alias("report"), by_line.alias("line"), labelled(F.col("text"), ["보고기간", "보고서기간", "귀속기간", "실적기간"]).alias("period"),
         labelled(F.col("text"), ["공시 시각", "공시시각", "공시일시", "공시 일시"]).alias("time"), F.regexp_extract("text", DART_URL, 0).alias("url"), F.regexp_extract("text", RECEIPT, 1).alias("receipt"),
     )
     report = F.coalesce("report", F.nullif(F.trim(F.regexp_replace("line", r"^\s*\[[^\]]*\]\s*", "")), F.lit("")))
+    raw = raw.withColumn("code", first_code(F.col("text"), F.col("code_label"), F.col("field")))
     named = raw.select(
-        "id", "text", codes.message_kind(F.col("text")).alias("classification"), F.coalesce(company_name(F.col("field")), "bracket").alias("company_name"), F.get("code.codes", F.lit(0)).alias("stock_code"), F.col("code.source").alias("company_code_source"),
+        "id", "text", codes.message_kind(F.col("text")).alias("classification"), F.coalesce(company_name(F.col("field")), "bracket").alias("company_name"), F.col("code.stock_code").alias("stock_code"), F.col("code.source").alias("company_code_source"),
         "market_cap_text", report.alias("report_name"), F.coalesce(bound(F.col("time"), disclosure_datetime).cast("string"), F.col("date")).alias("disclosure_datetime"), provisional(F.col("text")).alias("provisional"),
         F.nullif(F.regexp_replace("url", "[.,]+$", ""), F.lit("")).alias("dart_url"), F.nullif("receipt", F.lit("")).alias("dart_receipt_number"), "period",
     )
@@ -169,15 +177,18 @@ def forecast_target(parsed: DataFrame) -> Column:
 
 
 def candidates(parsed: DataFrame) -> DataFrame:
-    """Version candidates in won: one a recent row, one for the report's own quarter."""
+    """Version candidates in won, with the amounts as written (``_raw``): one a recent row, one for the report's own quarter."""
     target = parsed.withColumn("forecast_quarter", forecast_target(parsed)).withColumn("current_quarter", report_quarter(F.col("report_period")))
+    raws = lambda at, suffix, behind, when: [F.when(when, F.col(at(m, suffix))["raw"]).alias(f"{m}{behind}_raw") for m in METRICS]
     keep = ["id", "stock_code", "provisional", (F.col("classification") == "correction").alias("corrected"), "disclosure_datetime", "report_name", "dart_url", "dart_receipt_number"]
     mine = F.col("row.fiscal_quarter") == F.col("forecast_quarter")
     rows = target.withColumn("row", F.explode("recent_earnings")).select(
-        *keep, F.col("row.fiscal_quarter").alias("fiscal_quarter"), *[F.col(f"row.{m}.value_won").alias(m) for m in METRICS], *[F.when(mine, _won(f"{m}_consensus")).alias(f"{m}_consensus") for m in METRICS], (F.col("row.fiscal_quarter") == F.col("current_quarter")).alias("is_current"),
+        *keep, F.col("row.fiscal_quarter").alias("fiscal_quarter"), *[F.col(f"row.{m}.value_won").alias(m) for m in METRICS], *[F.when(mine, _won(f"{m}_consensus")).alias(f"{m}_consensus") for m in METRICS],
+        *raws(lambda m, _: f"row.{m}", "", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", mine), (F.col("row.fiscal_quarter") == F.col("current_quarter")).alias("is_current"),
     )
     current = target.where("current_quarter is not null and has_earnings_data").select(
-        *keep, F.col("current_quarter").alias("fiscal_quarter"), *[_won(f"{m}_actual").alias(m) for m in METRICS], *[_won(f"{m}_consensus").alias(f"{m}_consensus") for m in METRICS], F.lit(True).alias("is_current"),
+        *keep, F.col("current_quarter").alias("fiscal_quarter"), *[_won(f"{m}_actual").alias(m) for m in METRICS], *[_won(f"{m}_consensus").alias(f"{m}_consensus") for m in METRICS],
+        *raws("{}{}".format, "_actual", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", F.lit(True)), F.lit(True).alias("is_current"),
     )
     return rows.unionByName(current).withColumn("forecasts", sum((F.col(f"{m}_consensus").isNotNull().cast("int") for m in METRICS), F.lit(0)))
 

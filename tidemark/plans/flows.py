@@ -127,17 +127,78 @@ def event_index(companies: DataFrame, events: DataFrame, k: int = 3) -> DataFram
     return companies.select("stock_code", "company_name").join(totals, "stock_code", "left").join(listed, "stock_code", "left").na.fill({"event_count": 0})
 
 
-def message_flow(messages: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
-    """Routes messages, parses the assigned ones and gives quarters, disclosures and quarantine."""
-    routes = M.routed(messages, companies)
+def message_flow(messages: DataFrame, companies: DataFrame, held_quarters: DataFrame | None = None, held_disclosures: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Messages (id, text, date) of a run into held tables: quarters, disclosures, quarantine, companies, totals.
+
+    Messages are routed to companies (stock_code, terms, requires_code), once each; the assigned ones are parsed, and the parse,
+    which all tables read, is written once.  What the parser does not know, messages that state no code themselves and those that
+    state another company's go to quarantine.  ``companies`` has the counts of each company, ``totals`` one row of the run.
+    """
+    batch = messages.dropDuplicates(["id"])
+    routes = cut(M.routed(batch, companies))
     assigned = routes.where("status = 'assigned'").select("id", F.col("stock_code").alias("target"))
-    parsed = P.parsed_messages(messages.join(assigned.select("id"), "id", "left_semi")).join(assigned, "id")
-    problem = F.when(F.col("classification") == "unknown", "parse_unknown").when(F.col("stock_code").isNotNull() & (F.col("stock_code") != F.col("target")), "parsed_code_target_mismatch")
-    judged = parsed.withColumn("problem", problem)
-    good = cut(judged.where("problem is null").withColumn("stock_code", F.col("target")).drop("problem", "target"))
-    quarantine = routes.where("status = 'quarantine'").select("id", "stock_code", "reason").unionByName(judged.where("problem is not null").select("id", F.col("target").alias("stock_code"), F.col("problem").alias("reason")))
-    context = messages.select("id", T.context_of(F.col("text")).alias("context"))
-    return {"quarters": final_quarters(good), "disclosures": disclosures(good), "quarantine": quarantine.join(context, "id", "left")}
+    mine = batch.join(assigned, "id")
+    parsed = P.parsed_messages(mine).join(assigned, "id")
+    problem = F.when(F.col("classification") == "unknown", "parse_unknown").when(F.col("stock_code").isNull(), "parsed_code_missing").when(F.col("stock_code") != F.col("target"), "parsed_code_target_mismatch")
+    judged = cut(parsed.withColumn("problem", problem))
+    good = judged.where("problem is null").drop("problem", "target")
+    fresh_quarters, fresh_disclosures = cut(final_quarters(good)), cut(disclosures(good))
+    quarters = fresh_quarters if held_quarters is None else merged_quarters(held_quarters, fresh_quarters)
+    listed = fresh_disclosures if held_disclosures is None else merged_disclosures(held_disclosures, fresh_disclosures)
+    per_company = message_results(companies, judged, fresh_quarters, fresh_disclosures, held_disclosures)
+    quarantine = cut(quarantined(batch, routes, judged))
+    return {"quarters": quarters, "disclosures": listed, "quarantine": quarantine, "companies": per_company, "totals": message_totals(batch, per_company, routes, quarantine)}
+
+
+def quarantined(messages: DataFrame, routes: DataFrame, judged: DataFrame) -> DataFrame:
+    """(id, parsed_code, target, reason, stage, detected_at, context, term_context): what a run holds back, with a redacted piece of the
+    text from its start, and one round the name that led there."""
+    held = routes.where("status = 'quarantine'")
+    by_route = held.select("id", "parsed_code", F.when(F.col("reason") == "target_requires_explicit_code", F.col("stock_code")).alias("target"), "reason", F.lit("distribution").alias("stage"), "term")
+    stage = F.when(F.col("problem") == "parse_unknown", "parsing").otherwise("pre_merge_validation")
+    by_parse = judged.where("problem is not null").select("id", F.col("stock_code").alias("parsed_code"), "target", F.col("problem").alias("reason"), stage.alias("stage"), F.lit(None).cast("string").alias("term"))
+    rows = by_route.unionByName(by_parse).join(messages.select("id", "text", F.col("date").cast("string").alias("detected_at")), "id")
+    return rows.select("id", "parsed_code", "target", "reason", "stage", "detected_at", T.context_of(F.col("text")).alias("context"), F.when(F.col("term").isNotNull(), T.context_round(F.col("text"), F.col("term"))).alias("term_context"))
+
+
+def merged_quarters(held: DataFrame, fresh: DataFrame, most: int = 8) -> DataFrame:
+    """Held quarters with the fresh ones over them, the last ``most`` of each company that has fresh ones."""
+    touched = fresh.select("stock_code").distinct()
+    both = upserted(held.join(touched, "stock_code", "left_semi"), fresh.select(held.columns), ["stock_code", "fiscal_quarter"])
+    last = rank.top_k(both, ["stock_code"], [F.col("fiscal_quarter").desc()], most).drop("rank")
+    return held.join(touched, "stock_code", "left_anti").unionByName(last)
+
+
+def merged_disclosures(held: DataFrame, fresh: DataFrame, most: int = 100) -> DataFrame:
+    """Held disclosures with the fresh ones over them by identity, newest first, ``most`` a company.  Only companies with an identity
+    that is new are written: where fresh ones replace held ones alone, the held ones stay as they are."""
+    written = fresh.join(held.select("stock_code", "identity"), ["stock_code", "identity"], "left_anti").select("stock_code").distinct()
+    both = upserted(held.join(written, "stock_code", "left_semi"), fresh.select(held.columns).join(written, "stock_code", "left_semi"), ["stock_code", "identity"])
+    newest = rank.top_k(both, ["stock_code"], [F.col("disclosure_datetime").desc(), F.col("identity")], most).drop("rank")
+    return held.join(written, "stock_code", "left_anti").unionByName(newest)
+
+
+def message_results(companies: DataFrame, judged: DataFrame, quarters: DataFrame, listed: DataFrame, held: DataFrame | None) -> DataFrame:
+    """One row a company: matched, parsed and failed messages, new quarters and disclosures, warnings (quarters with two values)."""
+    counted = judged.groupBy(F.col("target").alias("stock_code")).agg(F.count("*").alias("matched"), F.count_if(F.col("problem").isNull()).alias("parsed"), F.count_if(F.col("problem") == "parse_unknown").alias("failures"))
+    new = listed if held is None else listed.join(held.select("stock_code", "identity"), ["stock_code", "identity"], "left_anti")
+    parts = [counted, quarters.groupBy("stock_code").agg(F.count("*").alias("new_quarters"), F.count_if("conflict").alias("warnings")), new.groupBy("stock_code").agg(F.count("*").alias("new_disclosures"))]
+    out = companies.select("stock_code").distinct()
+    for part in parts:
+        out = out.join(part, "stock_code", "left")
+    return out.na.fill(0)
+
+
+def message_totals(messages: DataFrame, results: DataFrame, routes: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """One row of a run: messages, distinct assigned ones, companies with any, sums over companies, quarantined rows."""
+    sums = results.agg(
+        F.count("*").alias("companies_considered"), F.coalesce(F.sum("matched"), F.lit(0)).alias("assignments"), F.count_if(F.col("matched") > 0).alias("companies_with_matches"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("new_quarters", "new_disclosures", "failures", "warnings")],
+    )
+    processed = messages.agg(F.count("*").alias("messages_processed"), F.max("id").alias("end_cursor"))
+    matched = routes.where("status = 'assigned'").agg(F.count_distinct("id").alias("unique_matched"))
+    held_back = quarantine.agg(F.count("*").alias("quarantine_count"))
+    return sums.crossJoin(processed).crossJoin(matched).crossJoin(held_back)  # a row each
 
 
 def final_quarters(parsed: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def code_extract_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages to at most one company, by code or name, or to quarantine."""
     customer = table(spark, sf_dir, "customer")
     companies = customer.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("stock_code"), F.array("c_name").alias("terms"), (F.col("c_mktsegment") == "MACHINERY").alias("requires_code"))
-    return M.routed(event_messages(spark, sf_dir), companies)
+    return M.routed(event_messages(spark, sf_dir), companies).drop("parsed_code", "term")
 
 
 _SAFE = "[^가-힣A-Za-z0-9]"
@@ -72,7 +72,7 @@ def name_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     number = F.col("n_nationkey").cast("string")
     companies = table(spark, sf_dir, "nation").select(F.lpad(number, 6, "0").alias("stock_code"), F.array(F.concat(F.lit("N&"), number), F.concat(F.lit("가나"), number, F.lit("전자"))).alias("terms"), (F.col("n_regionkey") == 0).alias("requires_code"))
-    return M.routed(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text")), companies)
+    return M.routed(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text")), companies).drop("parsed_code", "term")
 
 
 @query(f"SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'labeled_stock_code' WHEN 'purchase' THEN 'company_name_field' WHEN 'view' THEN 'url_query_code' WHEN 'signup' THEN 'standalone_code' END AS source, length({_TEXT}) AS n_chars FROM events")
