@@ -161,3 +161,28 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
             pairs += 1
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=85).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) == pairs
+
+
+def test_one_id_for_all_rows_fetches_each_text_once(spark):
+    """Texts of one id meet only their own sets: as many sets are made as there are texts, and links are those of distinct ids."""
+    texts = [f"group {k // 2} has words " + " ".join(f"w{k // 2}x{j}" for j in range(40)) + (" tail" if k % 2 else "") for k in range(300)]
+    fetched = spark.sparkContext.accumulator(0)
+    own = minhash._full_sets
+
+    def counted(width):
+        run = own(width)
+
+        def count(batches):
+            for batch in batches:
+                fetched.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return count
+
+    schema = "doc_id long, text string"
+    minhash._full_sets = counted
+    try:
+        got = minhash.near_duplicates(spark.createDataFrame([(5, t) for t in texts], schema), percent=80).collect()
+    finally:
+        minhash._full_sets = own
+    assert len(got) == 300 and {r.component_id for r in got} == {5} and fetched.value == 300

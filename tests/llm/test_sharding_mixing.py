@@ -185,3 +185,25 @@ def test_documents_know_their_shards(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for r in mixing.taken_words(*mixing.mix(docs, shard_slots=16)).collect():
         assert (r.first_shard is None) == (r.taken == 0) and (r.taken == 0 or 0 <= r.first_shard <= r.last_shard)
+
+
+def test_rows_that_share_id_and_text_come_back_as_they_are(spark):
+    """Equal id and text under other sources and languages: every row keeps its own columns, in every round."""
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, text, "en", "s1", {"k": "a"}), (1, text, "de", "s2", None), (1, text, None, "s3", {"k": "b"}), (1, text, "en", "s1", {"k": "a"}), (None, text, "fr", None, None), (2, None, "en", "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra map<string,string>")
+    out = mixing.mixed_documents(docs).collect()
+    assert {(r.doc_id, r.lang, r.source, str(r.extra)) for r in out} == {(r[0], r[2], r[3], str(r[4])) for r in rows[:5]}
+    words = {}
+    for r in out:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    targets, pieces, slots = mixing.mix(docs)
+    for t in targets.collect():
+        assert abs(words.get(t.source, 0) - t.target) <= 2
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(k, " ".join(f"x{k}" for k in range(100)), s) for k, s in enumerate("abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.target, r.taken) for r in mixing.taken_words(*mixing.mix(docs)).collect()}
+    assert got == {0: (187.5, 188), 1: (75.0, 75), 2: (37.5, 38)}

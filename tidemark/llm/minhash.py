@@ -17,8 +17,8 @@ hashes, the values of a path by 16 bits (equal by chance once in 65,536, which a
 
 Defined cases: a document with fewer than ``width`` words is one shingle, the whole sequence; a
 document without words (null and empty texts) has no set and links with nothing; a null id takes no
-part (component null, kept true); rows that share an id but not a set are told apart by set; repeated
-rows each get their own result row; texts are read whole, and a task that tests holds the sets of one
+part (component null, kept true); rows that share an id but not a text are told apart by a hash of the
+text, so one id for all rows costs what an id each does; repeated rows each get their own result row; texts are read whole, and a task that tests holds the sets of one
 region; extra columns, whatever their names, are ignored; an empty table is empty.
 """
 
@@ -96,14 +96,13 @@ def _node(data: bytes) -> int:
 def _features(width: int):
     def run(batches):
         for batch in batches:
-            ids, counts, sets, signatures = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts, sets, signatures = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
-                ids.append(doc)
                 counts.append(len(s))
                 sets.append(_node(s.tobytes()) if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.int64()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(sets, pa.int64()), pa.array(signatures, pa.binary())], ["id", "row", "n_shingles", "node", "signature"])
 
     return run
 
@@ -203,13 +202,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = WIDTH, l
 
     Links documents whose sets have 100 * intersection >= percent * union.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = stored(rows.mapInArrow(_features(width), "id long, n_shingles long, node long, signature binary"), "features")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    features = stored(rows.mapInArrow(_features(width), "id long, row long, n_shingles long, node long, signature binary"), "features")
     sets = features.where("node is not null and id is not null")
-    classes = stored(sets.groupBy("node").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("weight")), "classes")
+    classes = stored(sets.groupBy("node").agg(F.min(F.struct("id", "row")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("weight")).select("node", "signature", "weight", F.col("least.id").alias("rep"), F.col("least.row").alias("row")), "classes")
     regions = forest_regions(classes)
-    wanted = classes.join(regions.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"))
-    texts = rows.join(wanted, "id").select("node", "text")
+    wanted = classes.join(regions.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"), "row")
+    # a text is fetched by its id and hash: many texts under one id meet no set but their own
+    texts = rows.join(wanted, ["id", "row"]).select("node", "text")
     payload = stored(texts.mapInArrow(_full_sets(width), "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "sets")
     labels = components_by_regions(regions, payload, ROUNDS, jaccard_linker(percent), limit)
     named = classes.select("node", "rep")

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by packed blocks.
 
 Method: each source's documents, in hash order, form one stream of words that is cut into blocks
-of ``block`` words.  Every source gets a number of slots from its target.  A keyed pseudorandom
+of ``block`` words; a source of less than ``LEAST_BLOCKS`` such blocks is cut finer, into that many or
+single words, so that whole blocks come near its target.  Every source gets a number of slots from its target.  A keyed pseudorandom
 permutation of all slots deals them to output shards, so each shard's source counts are a draw
 without replacement from the sources' totals (a multinomial draw conditioned on them): totals meet
 the targets exactly and every shard varies as chance has it.  The k-th slot of a source is mapped to
@@ -19,7 +20,8 @@ Everything is built from SQL functions.  Positions within a source are prefix su
 sources, a row each, is.
 
 Defined cases: null or empty text has size 0 and nothing of it is taken; a null source is a source,
-last in order; null ids and repeated rows stay rows of their own; very long texts are cut at block
+last in order; null ids and repeated rows stay rows of their own, and rows that differ in any column come
+back as they are, whatever they share; very long texts are cut at block
 edges like any other, with a row for each of their blocks; extra columns, whatever their names, are
 ignored by ``mix`` and kept by ``mixed_documents``; an empty table gives an empty result.
 """
@@ -33,6 +35,8 @@ from .storage import stored
 
 #: Words in a block, slots in an output shard.
 BLOCK, SHARD_SLOTS = 128, 4096
+#: Blocks that a source is cut into at least, where it has as many words.
+LEAST_BLOCKS = 1024
 #: Hash groups that a source is cut into at least, rows of a group beyond that.
 GROUPS, GROUP_ROWS = 512, 65_536
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,11 +70,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size, h): what the mix needs of each document; h orders it within its source."""
+def row_key(docs: DataFrame, text_col: str = "text") -> Column:
+    """A hash of all columns of a row, nulls and column names told apart."""
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
+    return F.xxhash64(others, F.col(text_col).isNull(), F.coalesce(text_col, F.lit("")))
+
+
+def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: Column | None = None) -> DataFrame:
+    """(id, source, size, h, row): what the mix needs of each document; h orders it within its source, ``row`` is ``key`` if given."""
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
+        F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("h"), (F.lit(0).cast("long") if key is None else key).alias("row"),
     )
 
 
@@ -102,14 +112,19 @@ def positioned(sized: DataFrame, groups: int = GROUPS) -> DataFrame:
     before = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("s_"), F.col("g").alias("g_"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     # equal rows (id, text) are numbered together, so copies of one row don't decide the order
-    inside = Window.partitionBy("source", "g").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "g").orderBy("h", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     within = grouped.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return within.join(bases, F.col("source").eqNullSafe(F.col("s_")) & (F.col("g") == F.col("g_"))).select("id", "source", "size", "h", (F.col("base") + F.col("within")).alias("start"))
+    return within.join(bases, F.col("source").eqNullSafe(F.col("s_")) & (F.col("g") == F.col("g_"))).select("id", "source", "size", "h", "row", (F.col("base") + F.col("within")).alias("start"))
+
+
+def block_words(size: Column, block: int) -> Column:
+    """Words of a block of a source of so many words."""
+    return F.greatest(F.lit(1), F.least(F.lit(block), F.call_function("div", size, F.lit(LEAST_BLOCKS)))).cast("long")
 
 
 def drawn_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """(source, block, round, out_shard, position): every slot of the mix and the block it takes."""
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    blocks = F.ceil(F.col("source_size") / block_words(F.col("source_size"), block)).cast("long")
     counted = targets.where(F.col("source_size") > 0).withColumn("blocks", blocks)
     counted = counted.withColumn("slots", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -124,19 +139,21 @@ def drawn_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD
     return k.select("source", index.alias("block"), F.floor(F.col("k") / F.col("blocks")).cast("int").alias("round"), F.floor(place / shard_slots).alias("out_shard"), (place % shard_slots).alias("position"))
 
 
-def mix(docs: DataFrame, *, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, *, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(targets, pieces, slots): source targets, the pieces of documents in each block, the slots of the mix.
 
-    pieces: id, source, size, start, h, block, from_word and to_word (of the document, end excluded);
+    pieces: id, source, size, start, h, row, block, from_word and to_word (of the document, end excluded);
     a document without words has one piece without a block.  Slots join pieces on (source, block).
     """
-    sized = stored(sized_documents(docs, id_col, text_col, source_col), "sized")
+    sized = stored(sized_documents(docs, id_col, text_col, source_col, key), "sized")
     targets = source_targets(sized, most)
     placed = positioned(sized, max(GROUPS, -(-sized.count() // GROUP_ROWS)))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    pieces = cut.withColumn("from_word", F.greatest(F.col("block") * block - F.col("start"), F.lit(0))).withColumn("to_word", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")))
-    return targets, pieces, drawn_slots(targets, block, shard_slots, seed)
+    words = targets.select(F.col("source").alias("b_source"), block_words(F.col("source_size"), block).alias("words"))
+    in_blocks = placed.join(words, F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source")
+    first, last = F.call_function("div", F.col("start"), F.col("words")), F.call_function("div", F.col("start") + F.col("size") - 1, F.col("words"))
+    cut = in_blocks.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+    pieces = cut.withColumn("from_word", F.greatest(F.col("block") * F.col("words") - F.col("start"), F.lit(0))).withColumn("to_word", F.least((F.col("block") + 1) * F.col("words") - F.col("start"), F.col("size")))
+    return targets, pieces.drop("words"), drawn_slots(targets, block, shard_slots, seed)
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -164,19 +181,20 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A document whose blocks are all taken in a round keeps its text as it is; else its text is the
     taken words, in order, with the white space behind each.  ``chars_col``, if present, is renewed.
     """
-    _, pieces, slots = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key = row_key(docs, text_col)
+    _, pieces, slots = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, key=key, **options)
     uses = slots.select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "round")
     used = pieces.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
-    keys = ["id", "h", "source", "start", "size", "round"]
+    keys = ["row", "source", "start", "size", "round"]
     taken = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"), F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    # rows that share id and text are equal in what the mix sees; each has its own start and so its own rows
+    # rows that share a key are equal in all columns; each has its own start and so its own rows
     # the document's own columns stay apart, whatever their names
-    texts = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row_h")).dropDuplicates(["row_id", "row_h"])
-    joined = taken.join(texts, F.col("h").eqNullSafe(F.col("row_h")) & F.col("id").eqNullSafe(F.col("row_id")))
-    whole = F.col("row")[text_col]
+    texts = docs.select(F.struct("*").alias("document"), key.alias("row")).dropDuplicates(["row"])
+    joined = taken.join(texts, "row")
+    whole = F.col("document")[text_col]
     words = F.regexp_extract_all(whole, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     parts = F.flatten(F.transform("spans", lambda s: F.slice(words, s["a"] + 1, s["b"] - s["a"])))
     text = F.when(F.col("words") == F.col("size"), whole).otherwise(F.array_join(parts, ""))
-    kept = joined.select("row", text.alias("text"))
-    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c) for c in docs.columns]
+    kept = joined.select("document", text.alias("text"))
+    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("document")[c].alias(c) for c in docs.columns]
     return kept.select(*columns)
