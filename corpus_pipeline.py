@@ -1,8 +1,10 @@
 """The corpus pipeline: quality rules, toxicity, MinHash near-dedup, mixing, BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents the stage before it kept; the
-first four return the columns of ``documents``.  Verdicts come back by a key of id and text, so
-rows that share an id are judged each by their own text, and null ids are no exception.
+first four return the columns of ``documents``.  Verdicts come back by a key of all columns, so rows that
+share an id or a text are judged each by their own, and null ids are no exception.  An empty table
+passes every stage as an empty table; a score at a bound of the quality band is inside, a severity of
+0.4 is outside.
 
 * quality: documents that fail the base rules or leave their language's perplexity band go.
 * toxicity: documents of expected severity 0.4 and more go; the model is fitted on the labels.
@@ -35,7 +37,7 @@ def _key_of(docs: DataFrame) -> str:
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull(), "lang"))
+    return docs.withColumn(key, mixing.row_key(docs))
 
 
 def _without(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
