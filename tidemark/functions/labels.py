@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import contains_any
 
 # Report name rules in order.
-EARNINGS = "실적공시"
+EARNINGS = "earnings"
 EARNINGS_NAMES = ["연결재무제표기준영업(잠정)실적", "영업(잠정)실적", "연결재무제표기준영업실적", "매출액또는손익구조30%", "잠정실적", "실적공시", "분기실적", "연간실적"]
 FINANCIAL_REPORTS = ["사업보고서", "분기보고서", "반기보고서"]
 CATEGORIES = [

@@ -23,9 +23,8 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"py": F.when(F.col("q") == 1, F.col("y") - 1).otherwise(F.col("y")), "pq": F.when(F.col("q") == 1, 4).otherwise(F.col("q") - 1)})
 
 
-def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages: an earnings report, a correction, a contract or chatter, by order key."""
-    rows = order_parts(spark, sf_dir)
+def message_texts() -> list[Column]:
+    """An earnings report, a correction, a contract and chatter of an order (``order_parts``)."""
     text = lambda c: F.col(c).cast("string")
     code = F.lpad(text("k"), 6, "0")
     month = F.lpad((F.col("q") * 3).cast("string"), 2, "0")
@@ -34,11 +33,17 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.concat(F.lit("매출액: "), text("rev"), F.lit("억 (예상치: "), (F.col("rev") + 5).cast("string"), F.lit("억)\n영업이익: "), text("op"), F.lit("억\n순이익 : 누적 7억\n"))
     recent = F.concat(text("py"), F.lit("."), text("pq"), F.lit("Q "), text("rev"), F.lit("억 / "), text("op"), F.lit("억 / "), text("net"), F.lit("억\n"))
     link = F.concat(F.lit("https://dart.fss.or.kr/x?rcpNo="), F.lpad(text("id"), 14, "0"), F.lit("\n"))
-    out = (
-        F.when(F.col("kind") == 0, F.concat(head, report, F.lit("잠정실적: Y\n"), values, recent, link)).when(F.col("kind") == 1, F.concat(head, F.lit("정정공시\n"), report, F.lit("잠정실적: N\n"), values, recent, link))
-        .when(F.col("kind") == 2, F.concat(F.lit("[주요공시]\n종목코드: A"), code, F.lit("\n단일판매·공급계약 체결 공시\n"))).otherwise(F.concat(F.lit("오늘 시장 이야기 "), text("id")))
-    )
-    return rows.select("id", out.alias("text"), F.date_format("d", "yyyy-MM-dd").alias("date"))
+    return [
+        F.concat(head, report, F.lit("잠정실적: Y\n"), values, recent, link), F.concat(head, F.lit("정정공시\n"), report, F.lit("잠정실적: N\n"), values, recent, link),
+        F.concat(F.lit("[주요공시]\n종목코드: A"), code, F.lit("\n단일판매·공급계약 체결 공시\n")), F.concat(F.lit("오늘 시장 이야기 "), text("id")),
+    ]
+
+
+def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by order key, a text of each kind in turn."""
+    earnings, correction, contract, chatter = message_texts()
+    out = F.when(F.col("kind") == 0, earnings).when(F.col("kind") == 1, correction).when(F.col("kind") == 2, contract).otherwise(chatter)
+    return order_parts(spark, sf_dir).select("id", out.alias("text"), F.date_format("d", "yyyy-MM-dd").alias("date"))
 
 
 @query(f"""WITH {_ORDER} SELECT id, CASE kind WHEN 0 THEN 'earnings' WHEN 1 THEN 'correction' WHEN 2 THEN 'disclosure' ELSE 'unknown' END AS classification, CASE WHEN kind < 3 THEN code END AS stock_code, CASE kind WHEN 0 THEN 'company_name_field' WHEN 1 THEN 'company_name_field' WHEN 2 THEN 'labeled_stock_code' END AS company_code_source,
