@@ -36,6 +36,52 @@ def test_greedy_dedupe_equals_the_scan(spark):
     assert got == want
 
 
+def test_greedy_dedupe_of_chains_and_stars(spark):
+    """Chains far longer than the rounds and a task's limit, one key that most rows share, nulls, copies, and equal positions of two groups."""
+    chain = [(k, "c0", f"u{(k + 1) // 2}", f"t{k // 2}") for k in range(900)]
+    backward = [(k, "c1", f"u{(900 - k + 1) // 2}", f"t{(900 - k) // 2}") for k in range(900)]
+    star = [(k, "c2", "hot", f"t{k % 700}") for k in range(2_000)] + [(5_000 + k, "c2", None if k % 2 else "", f"t{k}") for k in range(900)]
+    rows = chain + backward + star
+    table = spark.createDataFrame(rows, "position long, company string, url string, title string")
+    found = A.greedy_deduplicated(table, "company", "url", "title", "position", rounds=3, limit=400).collect()
+    assert len(found) == len(rows)
+    for c in ("c0", "c1", "c2"):
+        want = greedy([(p, u, t) for p, g, u, t in sorted(rows, key=lambda r: r[0]) if g == c])
+        assert {r.position: r.kept_position for r in found if r.company == c} == want
+    assert A.greedy_deduplicated(table.limit(0), "company", "url", "title", "position").count() == 0
+
+
+def test_articles_of_companies_never_merge_with_each_other(spark):
+    """Positions are times and ids, so equal ones of two companies don't meet; undated articles come first."""
+    from tidemark.plans import flows
+
+    def article(i, code, url, title, at, tier="other", provider="naver"):
+        return (i, code, url, title, at, tier, provider)
+
+    rows = [article("a", "036542", "https://x/1", "t", None), article("a", "330998", "https://x/1", "t", None), article("b", "036542", "https://x/1", "u", "2024-01-01 00:00:00", "official", "gdelt"), article("b", "330998", "https://x/2", "u", "2024-01-01 00:00:00")]
+    raw = spark.createDataFrame(rows, "article_id string, stock_code string, canonical_url string, normalized_title string, at string, source_tier string, provider string")
+    full = raw.select(
+        "article_id", "stock_code", "canonical_url", "normalized_title", F.to_timestamp("at").alias("published_at"), "source_tier", "provider", F.array("provider").alias("providers"), F.array(F.lit("k")).alias("event_keywords"), F.array(F.lit("c")).alias("categories"),
+        F.concat("canonical_url", F.lit("/"), "article_id").alias("url"), F.lit("d").alias("source_domain"), F.lit("n").alias("source_name"), F.lit(False).alias("official_source"),
+    )
+    got = {(r.stock_code, r.article_id): (r.provider, r.url) for r in flows.deduplicated(full).collect()}
+    assert got == {("036542", "a"): ("both", "https://x/1/b"), ("330998", "a"): ("naver", "https://x/1/a"), ("330998", "b"): ("naver", "https://x/2/b")}
+
+
+def test_budget_gate_equals_a_scan_in_any_split(spark):
+    rnd = random.Random(3)
+    rows = [(k, "hot" if k % 5 else f"p{k % 3}", rnd.randint(0, 6), rnd.randint(0, 8), k // 97) for k in range(3_000)]
+    table = spark.createDataFrame(rows, "k int, who string, budget int, actual int, day int").repartition(7)
+    for limit, daily_limit in ((900, 30), (60, 10**9), (10**9, 10**9), (0, 5)):
+        got = {r.k: r.allowed for r in messages.budget_gate(table, "who", "k", "budget", "actual", limit, "day", daily_limit).collect()}
+        used, today, want = {}, {}, {}
+        for k, who, budget, actual, day in rows:
+            want[k] = used.get(who, 0) + budget <= limit and today.get((who, day), 0) + budget <= daily_limit
+            if want[k]:
+                used[who], today[who, day] = used.get(who, 0) + actual, today.get((who, day), 0) + actual
+        assert got == want
+
+
 def test_greedy_query_equals_the_scan(spark, sf_dir):
     docs = sorted((r.source, r.doc_id, f"{r.lang}-{r.n_chars}", r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     want = {}
@@ -70,6 +116,17 @@ def test_components(spark):
     assert {r.node: r.component for r in graph.least_labels(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
+def test_components_of_a_long_sorted_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    own = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name="table": rounds.append(name) or own(df, name))
+    chain = spark.range(100_000).selectExpr("id as src", "id + 1 as dst")
+    labels = graph.least_labels(chain)
+    assert labels.where("component <> 0").count() == 0 and labels.count() == 100_001
+    assert rounds.count("parents") < 25
+    assert graph.least_labels(chain.limit(0)).count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from .graph import least_labels, stored
 
 
 def reject_reason(*, title: Column, normalized: Column, url: Column, aliases: Column, excluded: Column, ambiguous: Column, context: Column) -> Column:
@@ -41,42 +42,76 @@ def first_match_deduplicated(articles: DataFrame, group: str, url: str, title: s
     return ranked.where("url_rank = 1 and title_rank = 1").drop("url_rank", "title_rank")
 
 
-def greedy_deduplicated(articles: DataFrame, group: str, url: str, title: str, position: str) -> DataFrame:
+def greedy_deduplicated(articles: DataFrame, group: str, url: str, title: str, position: str, *, rounds: int = 6, limit: int = 200_000) -> DataFrame:
     """Exact greedy two-key de-duplication by scan order: adds ``kept_position``, the row that each row merges into.
 
-    A merged row registers no keys of its own, so the result depends on the order.  Rows that share
-    no key with any other row are their own result; only the others, grouped by linked keys, need the
-    scan, so a group is as large as a set of articles that share URLs and titles.
+    A row merges into the kept row that has registered its URL before it, else into the one of its title; else it is kept and
+    registers its keys.  A merged row registers none, so the result depends on the order.  A row is kept exactly if no earlier
+    kept row of its group holds one of its keys, which rounds of joins decide: the first undecided row of all its keys is kept,
+    rows that meet a key of a kept one are done.  Rounds settle whatever many rows share; what is left after ``rounds`` of them
+    are long chains, and of each linked set of those the first ``limit`` rows are scanned in a task, set by set, until none is
+    left.  ``position`` is of any type with an order and needs to tell rows of one group apart only; null and empty keys are none.
     """
-    from .graph import least_labels
-
-    rows = articles.select(group, position, F.col(url).alias("u"), F.col(title).alias("t"))
-    keys = rows.select(group, position, F.explode(F.array(F.concat(F.lit("u"), F.col("u")), F.concat(F.lit("t"), F.col("t")))).alias("key")).where("length(key) > 1")
-    first = keys.groupBy(group, "key").agg(F.min(position).alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(first, [group, "key"]).where(F.col(position) != F.col("first")).select(F.col(position).alias("src"), F.col("first").alias("dst"))
-    labels = least_labels(edges)
-    linked = rows.join(labels.withColumnRenamed("node", position), position)
+    key = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = articles.select(F.col(group).alias("g"), key(url).alias("u"), key(title).alias("t"), F.col(position).alias("p"))
+    # of rows with equal keys the first one takes part
+    left = stored(rows.where("u <> '' or t <> ''").groupBy("g", "u", "t").agg(F.min("p").alias("p")))
+    kept = None
+    done = 0
+    while not left.isEmpty():
+        if done < rounds:
+            least = lambda c: left.where(F.col(c) != "").groupBy("g", c).agg(F.min("p").alias(f"first_{c}"))  # noqa: B023, E731
+            met = left.join(least("u"), ["g", "u"], "left").join(least("t"), ["g", "t"], "left")
+            won = stored(met.where("(first_u is null or p = first_u) and (first_t is null or p = first_t)").select("g", "u", "t", "p"))
+        else:
+            left = left if "component" in left.columns else stored(_linked(left))
+            placed = F.row_number().over(Window.partitionBy("component").orderBy("p"))
+            heads = stored(left.withColumn("place", placed).where(F.col("place") <= limit))
+            won = stored(_scanned(heads).join(heads, ["g", "u", "t"]).select("g", "u", "t", "p"))
+            left = left.join(heads.select("g", "u", "t"), ["g", "u", "t"], "left_anti")
+        for c in ("u", "t"):
+            left = left.join(won.where(F.col(c) != "").select("g", c), ["g", c], "left_anti")
+        left = stored(left)
+        kept = won if kept is None else kept.unionByName(won)
+        done += 1
+    own = F.col(position)
+    if kept is None:
+        return articles.withColumn("kept_position", own)
+    out = articles
+    for c, column in (("u", url), ("t", title)):
+        holders = kept.where(F.col(c) != "").select(F.col("g").alias(f"g_{c}"), F.col(c).alias(f"key_{c}"), F.col("p").alias(f"by_{c}"))
+        out = out.join(holders, (F.col(group) == F.col(f"g_{c}")) & (F.col(column) == F.col(f"key_{c}")), "left").drop(f"g_{c}", f"key_{c}")
+    merged = F.when(F.col("by_u") <= own, F.col("by_u")).when(F.col("by_t") <= own, F.col("by_t")).otherwise(own)
+    return out.withColumn("kept_position", merged).drop("by_u", "by_t")
+
+
+def _linked(left: DataFrame) -> DataFrame:
+    """Adds ``component``: the first row (g, p) of those that keys link with a row."""
+    node = F.struct("g", "p")
+    keys = left.select("g", node.alias("node"), "p", F.explode(F.array(F.concat(F.lit("u"), "u"), F.concat(F.lit("t"), "t"))).alias("key")).where("length(key) > 1")
+    first = keys.groupBy("g", "key").agg(F.min("p").alias("first"))
+    edges = keys.join(first, ["g", "key"]).where("p <> first").select(F.col("node").alias("src"), F.struct("g", F.col("first").alias("p")).alias("dst"))
+    return left.withColumn("node", node).join(least_labels(edges), "node").drop("node")
+
+
+def _scanned(heads: DataFrame) -> DataFrame:
+    """(g, u, t) of the rows that a scan of each component keeps."""
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        by_url: dict = {}
-        by_title: dict = {}
+        pdf = pdf.sort_values("place")
+        urls: set = set()
+        titles: set = set()
         kept = []
-        for at, u, t in zip(pdf[position], pdf["u"], pdf["t"], strict=True):
-            found = by_url.get(u) if u else None
-            if found is None and t:
-                found = by_title.get(t)
-            if found is None:
-                found = at
-                if u:
-                    by_url[u] = at
-                if t:
-                    by_title[t] = at
-            kept.append(found)
-        return pd.DataFrame({position: pdf[position], "kept_position": kept})
-
-    scanned = linked.groupBy("component").applyInPandas(scan, f"{position} long, kept_position long")
-    return articles.join(scanned, position, "left").withColumn("kept_position", F.coalesce("kept_position", position))
+        for u, t in zip(pdf["u"], pdf["t"], strict=True):
+            new = not (u and u in urls) and not (t and t in titles)
+            kept.append(new)
+            if new:
+                urls.add(u)
+                titles.add(t)
+        return pdf.loc[kept, ["g", "u", "t"]]
+
+    schema = f"g {heads.schema['g'].dataType.simpleString()}, u string, t string"
+    return heads.select("g", "u", "t", "place", "component").groupBy("component").applyInPandas(lambda pdf: scan(pdf), schema)
 
 
 @F.pandas_udf(DoubleType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,27 +73,111 @@ def budget_gate(requests: DataFrame, provider: str, order: str, budget: str, act
     """Sequential gate: a request runs if the calls made so far plus its budget stay in the limit of the run, and with
     ``daily`` (a day column) in that of the day; adds ``allowed``.
 
-    What counts is what earlier requests really used, so rows are scanned in order.  Partitions hold whole providers in
-    order and stream through; only the running totals are held, however many requests a provider has.
+    What counts is what earlier requests really used, so each decision hangs on all before it.  It is a scan all the same that
+    splits: rows are dealt to ranges of (provider, order), and a stretch of one provider and day does nothing but turn what is
+    free at its start into what it uses.  That function is written down for every start at once (``uses_by_start``), the
+    functions of a provider's stretches are applied one after the other, and every stretch then decides its rows from its own
+    start.  A provider with most rows is as many tasks as it has ranges.
     """
-    keys = [provider, budget, actual] + ([daily] if daily else [])
-
-    def scan(batches):
-        last, used, day, today = None, 0, None, 0
+    day = F.col(daily).cast("string") if daily else F.lit("")
+    columns = requests.columns
+    keyed = requests.select("*", day.alias("gate_day")).repartitionByRange(provider, order).sortWithinPartitions(provider, order)
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    at = {c: keyed.columns.index(c) for c in (provider, "gate_day", budget, actual)}
+
+    def numbered(batches):
+        """Adds the number of the stretch within the partition."""
+        last, n = None, -1
+        for batch in batches:
+            numbers = []
+            for key in zip(batch.column(at[provider]).to_pylist(), batch.column(at["gate_day"]).to_pylist(), strict=True):
+                if n < 0 or key != last:
+                    last, n = key, n + 1
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, "gate_stretch"])
+
+    rows = cut(keyed.mapInArrow(numbered, f"{out_schema}, gate_stretch int").withColumn("gate_range", F.spark_partition_id()))
+    kind = rows.schema[provider].dataType.simpleString()
+    free = min(limit, daily_limit)
+
+    def summed(batches):
+        """One row a stretch: what it uses from each start."""
+        held, who_type = None, None
+        for batch in batches:
+            who_type = batch.schema.field(at[provider]).type
+            for who, when, want, real, stretch, part in zip(*(batch.column(k).to_pylist() for k in (at[provider], at["gate_day"], at[budget], at[actual], -2, -1)), strict=True):
+                if held is not None and held[0][2:] != (part, stretch):
+                    yield _stretch(held, provider, who_type)
+                    held = None
+                if held is None:
+                    held = ((who, when, part, stretch), [0], [0])
+                uses_by_start(held[1], held[2], want, real, free)
+        if held is not None:
+            yield _stretch(held, provider, who_type)
+
+    stretches = rows.mapInArrow(summed, f"`{provider}` {kind}, gate_day string, gate_range int, gate_stretch int, lows array<long>, uses array<long>")
+
+    def chained(pdf):
+        """Start of each stretch of a provider: what is free in the run and the day."""
+        used, day_now, today, starts = 0, None, 0, []
+        for when, lows, uses in zip(pdf["gate_day"], pdf["lows"], pdf["uses"], strict=True):
+            if when != day_now:
+                day_now, today = when, 0
+            start = min(limit - used, daily_limit - today)
+            starts.append(start)
+            used_here = int(uses[bisect_right(lows, start) - 1]) if start >= 0 else 0
+            used, today = used + used_here, today + used_here
+        return pdf[["gate_range", "gate_stretch"]].assign(start=starts)
+
+    ordered = lambda pdf: chained(pdf.sort_values(["gate_range", "gate_stretch"]))
+    starts = stretches.groupBy(provider).applyInPandas(ordered, "gate_range int, gate_stretch int, start long")
+
+    def decided(batches):
+        last, free_now = None, 0
         for batch in batches:
             allowed = []
-            for who, want, real, *when in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
-                if who != last or last is None:
-                    last, used, day, today = who, 0, None, 0
-                if when and when[0] != day:
-                    day, today = when[0], 0
-                ok = used + want <= limit and today + want <= daily_limit
-                allowed.append(ok)
-                used, today = used + (real if ok else 0), today + (real if ok else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", allowed boolean"
-    return requests.repartition(provider).sortWithinPartitions(provider, order).mapInArrow(scan, schema)
+            for want, real, stretch, part, start in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in (budget, actual, "gate_stretch", "gate_range", "start")), strict=True):
+                if (part, stretch) != last:
+                    last, free_now = (part, stretch), start
+                allowed.append(want <= free_now)
+                free_now -= real if allowed[-1] else 0
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(allowed, pa.bool_())], [*columns, "allowed"])
+
+    met = rows.join(starts, ["gate_range", "gate_stretch"]).repartition("gate_range", "gate_stretch").sortWithinPartitions("gate_range", "gate_stretch", order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", allowed boolean"
+    return met.mapInArrow(decided, schema)
+
+
+def uses_by_start(lows: list[int], uses: list[int], want: int, real: int, free: int) -> None:
+    """One more request at the end of a stretch: with lows[k] up to below lows[k + 1] free at the start, uses[k] are used.
+
+    Starts with room for the request use ``real`` more, so an interval may fall in two; equal neighbours become one.
+    """
+    if not real:
+        return
+    new_lows: list[int] = []
+    new_uses: list[int] = []
+
+    def add(low: int, use: int) -> None:
+        if not new_uses or new_uses[-1] != use:
+            new_lows.append(low)
+            new_uses.append(use)
+
+    for k, (low, use) in enumerate(zip(lows, uses, strict=True)):
+        end = lows[k + 1] if k + 1 < len(lows) else free + 1
+        room = want + use  # least start that lets the request through
+        if room > low:
+            add(low, use)
+        if room < end:
+            add(max(low, room), use + real)
+    lows[:], uses[:] = new_lows, new_uses
+
+
+def _stretch(held: tuple, provider: str, who_type: pa.DataType) -> pa.RecordBatch:
+    key, lows, uses = held
+    kinds = (who_type, pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((*key, lows, uses), kinds, strict=True)], [provider, "gate_day", "gate_range", "gate_stretch", "lows", "uses"])
 
 
 def budget_bound(requests: DataFrame, provider: str, order: list[Column], budget: str, limit: int) -> DataFrame:

@@ -64,9 +64,14 @@ def two_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.first_match_deduplicated(docs, "source", "u", "t", [F.col("doc_id")]).select("doc_id", "source")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(text) AS t, lang || '-' || n_chars AS u, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS ts, CAST([] AS BIGINT[]) AS ps, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS kept FROM d
+ UNION ALL SELECT source, k, CASE WHEN found IS NULL THEN list_append(us, u) ELSE us END, CASE WHEN found IS NULL THEN list_append(ts, t) ELSE ts END, CASE WHEN found IS NULL THEN list_append(ps, doc_id) ELSE ps END, doc_id, coalesce(found, doc_id)
+ FROM (SELECT d.*, r.us, r.ts, r.ps, CASE WHEN list_contains(r.us, d.u) THEN r.ps[list_position(r.us, d.u)] WHEN list_contains(r.ts, d.t) THEN r.ps[list_position(r.ts, d.t)] END AS found FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1))
+SELECT doc_id, source, kept AS kept_position FROM r WHERE k > 0""")
 def two_key_dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact scan: merged rows register no keys (order dependent, tested against brute force)."""
+    """The exact scan: merged rows register no keys (order dependent)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("t"), F.concat("lang", F.lit("-"), F.col("n_chars").cast("string")).alias("u"))
     return A.greedy_deduplicated(docs, "source", "u", "t", "doc_id").select("doc_id", "source", "kept_position")
 

@@ -50,11 +50,8 @@ def normalized_articles(raw: DataFrame, companies: DataFrame, provider: str, col
 
 def deduplicated(articles: DataFrame) -> DataFrame:
     """Greedy two-key merge in time order: arrays united, provider 'both', columns of a better source taken over."""
-    from pyspark.sql import Window
-
-    # one position per article, in time order; ranked per company, so no total sort
-    placed = articles.withColumn("place", F.row_number().over(Window.partitionBy("stock_code").orderBy(F.col("published_at").asc_nulls_first(), "article_id")))
-    placed = placed.withColumn("position", F.pmod(F.xxhash64("stock_code"), F.lit(1 << 30)) * (1 << 32) + F.col("place"))
+    # the order itself is the position (undated ones first), so companies are neither ranked nor mixed up
+    placed = articles.dropDuplicates(["stock_code", "published_at", "article_id"]).withColumn("position", F.struct("published_at", "article_id"))
     merged = A.greedy_deduplicated(placed, "stock_code", "canonical_url", "normalized_title", "position")
     better = F.struct(F.when(F.col("position") == F.col("kept_position"), F.when(F.col("source_tier") == "other", 1).otherwise(0)).when(F.col("source_tier").isin("official", "tier1"), 0).otherwise(2).alias("k"), F.col("position").alias("p"))
     pick = lambda c: F.min_by(c, better).alias(c)

@@ -120,12 +120,27 @@ def priority_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated.select("c_custkey", "c_nationkey", F.floor((F.col("k") - 1) / 25).alias("batch"), "running", "allowed")
 
 
-@query()
-def budget_gate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequential gate on actual use, a scan per provider (tested against brute force)."""
+_GATE = """WITH RECURSIVE f AS (SELECT c_custkey, c_nationkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END AS budget, CAST(c_custkey % 3 AS INTEGER) AS actual, CAST(c_custkey // 100 AS INTEGER) AS day, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+r AS (SELECT DISTINCT c_nationkey, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS c_custkey, NULL::INTEGER AS budget, NULL::INTEGER AS actual, NULL::INTEGER AS day, 0 AS used, 0 AS today, NULL::BOOLEAN AS allowed FROM f
+ UNION ALL SELECT c_nationkey, k, c_custkey, budget, actual, day, used + CASE WHEN ok THEN actual ELSE 0 END, before + CASE WHEN ok THEN actual ELSE 0 END, ok
+ FROM (SELECT f.*, r.used, CASE WHEN f.day = r.day THEN r.today ELSE 0 END AS before, r.used + f.budget <= 50 AND CASE WHEN f.day = r.day THEN r.today ELSE 0 END + f.budget <= {daily} AS ok FROM r JOIN f ON f.c_nationkey = r.c_nationkey AND f.k = r.k + 1))"""
+
+
+def _gate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "AUTOMOBILE", 1).otherwise(2)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (tier + 1).alias("budget"), (F.col("c_custkey") % 3).cast("int").alias("actual"))
-    return M.budget_gate(rows, "c_nationkey", "c_custkey", "budget", "actual", 50)
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (tier + 1).alias("budget"), (F.col("c_custkey") % 3).cast("int").alias("actual"), F.floor(F.col("c_custkey") / 100).cast("int").alias("day"))
+
+
+@query(_GATE.format(daily=10**9) + " SELECT c_custkey, c_nationkey, budget, actual, allowed FROM r WHERE k > 0")
+def budget_gate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequential gate on actual use, as stretches whose uses are known for every start."""
+    return M.budget_gate(_gate_requests(spark, sf_dir).drop("day"), "c_nationkey", "c_custkey", "budget", "actual", 50)
+
+
+@query(_GATE.format(daily=5) + " SELECT c_custkey, c_nationkey, budget, actual, day, allowed FROM r WHERE k > 0")
+def budget_gate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with a limit of the run and one of the day."""
+    return M.budget_gate(_gate_requests(spark, sf_dir), "c_nationkey", "c_custkey", "budget", "actual", 50, "day", 5)
 
 
 _P = "p_type"
