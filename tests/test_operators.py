@@ -184,3 +184,66 @@ def test_routing_matrix(spark):
         1: ("005930", "assigned", None), 2: ("999999", "quarantine", "code_not_in_portfolio"), 3: (None, "quarantine", "ambiguous_explicit_codes"), 4: ("005930", "assigned", None), 5: (None, "quarantine", "ambiguous_alias_match"),
         6: ("111111", "quarantine", "target_requires_explicit_code"), 7: (None, "dropped", None), 8: ("000660", "assigned", None),
     }
+
+
+def clusters_by_hand(rows, same):
+    """rows: (id, company, seconds or None, title, items) in order; cluster of each by union-find over all pairs."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[1] == b[1] and (a[2] is None or b[2] is None or abs(a[2] - b[2]) <= 259_200) and same(a, b):
+                parent[max(find(a[0]), find(b[0]))] = min(find(a[0]), find(b[0]))
+    return {r[0]: find(r[0]) for r in rows}
+
+
+def same_title(a, b):
+    if not a[3] or not b[3]:
+        return False
+    x, y = set(a[4]), set(b[4])
+    jaccard = len(x & y) / len(x | y) if x | y else 0
+    return SequenceMatcher(None, a[3], b[3]).ratio() >= 0.72 or jaccard >= 0.5 or (len(x & y) >= 3 and jaccard >= 0.25)
+
+
+def same_event(a, b):
+    return SequenceMatcher(None, a[3], b[3]).ratio() >= 0.82 or len(set(a[4]) & set(b[4])) >= 2
+
+
+def test_clusters_equal_all_pairs(spark):
+    from tidemark.operators import similar
+
+    rnd = random.Random(11)
+    words = ["chip", "plant", "hbm", "invest", "삼성", "전자", "공급", "계약", "a1", "results", "profit"]
+    rows = []
+    for k in range(220):
+        title = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6)))
+        if k % 4 == 0 and rows:
+            base = rnd.choice(rows)[3]
+            title = base[: max(0, len(base) - rnd.randint(0, 3))] + rnd.choice(["", "s", "계"])
+        rows.append((k, rnd.choice("xy"), None if k % 17 == 0 else rnd.randint(0, 60) * 43_200, title, sorted(set(title.split()))))
+    rows.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    table = spark.createDataFrame([(*r[:2], None if r[2] is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r[2]), *r[3:]) for r in rows], "k int, g string, t timestamp, title string, items array<string>")
+    for edges, same in ((similar.title_edges, same_title), (similar.event_edges, same_event)):
+        labels = {r.node: r.component for r in graph.least_labels(edges(table, "g", "k", "t", "title", "items")).collect()}
+        assert {r[0]: labels.get(r[0], r[0]) for r in rows} == clusters_by_hand(rows, same)
+    assert similar.event_edges(table.limit(0), "g", "k", "t", "title", "items").count() == 0
+
+
+def test_cluster_queries_equal_all_pairs(spark, sf_dir):
+    import hashlib
+
+    from tidemark.plans.articles import _titles
+
+    found = [(r.page_id, r.company, None if r.published is None else (r.published - dt.datetime(2024, 1, 1)).total_seconds(), r.norm, r.tokens, r.keywords) for r in _titles(spark, sf_dir).collect()]
+    found.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    for name, same, item in (("title_clusters", same_title, 4), ("event_clusters", same_event, 5)):
+        rows = [(*r[:4], r[item]) for r in found]
+        group = clusters_by_hand(rows, same)
+        anchor = {g: min(r[3] for r in rows if group[r[0]] == g) for g in set(group.values())}
+        want = {r[0]: hashlib.sha256(f"{r[1]}|{anchor[group[r[0]]]}".encode()).hexdigest()[:16] for r in rows}
+        assert {r.page_id: r.cluster_id for r in QUERIES[name](spark, sf_dir).collect()} == want

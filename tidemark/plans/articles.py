@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import articles as A
-from ..operators.graph import least_labels
+from ..operators import similar
+from ..operators.graph import least_labels, stored
 from .base import query, table
 
 _TERMS = lambda col, terms: "(" + " OR ".join(f"contains({col}, '{t}')" for t in terms) + ")"
@@ -139,6 +140,35 @@ def similarity_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.withColumn("ratio", A.sequence_ratio("a_norm", "b_norm")).where("ratio >= 0.82").select(F.col("a_page_id").alias("a"), F.col("b_page_id").alias("b"), "ratio")
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, company, published (none for every 50th page), norm, tokens, keywords; written once."""
+    rows = articles(spark, sf_dir)
+    published = F.when(F.col("page_id") % 50 != 7, F.col("published"))
+    return stored(rows.select("page_id", "company", published.alias("published"), "norm", T.title_tokens(F.col("norm")).alias("tokens"), T.event_signals(F.col("norm")).alias("keywords")), "titles")
+
+
+def _clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(page_id, cluster_id, articles): the least title of a cluster names it."""
+    labels = least_labels(edges).withColumnRenamed("node", "page_id")
+    each = rows.join(labels, "page_id", "left").withColumn("component", F.coalesce("component", "page_id"))
+    named = each.groupBy("component").agg(F.min("norm").alias("anchor"), F.min("company").alias("owner"), F.count("*").alias("articles"))
+    return each.join(named, "component").select("page_id", similar.cluster_id(F.col("owner"), F.col("anchor")).alias("cluster_id"), "articles")
+
+
+@query()
+def title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event clusters by titles in full: ratio 0.72, Jaccard 0.5, or three tokens and 0.25, within 72 hours or undated (tested against all pairs)."""
+    rows = _titles(spark, sf_dir)
+    return _clusters(rows, similar.title_edges(rows, "company", "page_id", "published", "norm", "tokens"))
+
+
+@query()
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event clusters by two common keywords or ratio 0.82, within 72 hours or undated (tested against all pairs)."""
+    rows = _titles(spark, sf_dir)
+    return _clusters(rows, similar.event_edges(rows, "company", "page_id", "published", "norm", "keywords"))
+
+
 # the companies of the language paths: aliases are frequent title words
 _COMPANIES = [("en", ["The", "Of"], ["Other"], False), ("de", ["Der", "Die", "Und"], ["Der Die"], True), ("fr", ["De", "La", "Les"], [], False), ("es", ["De", "Que"], ["De la"], True)]
 

@@ -11,8 +11,9 @@ from ..operators import articles as A
 from ..operators import messages as M
 from ..operators import parser as P
 from ..operators import rank, series
-from ..operators.graph import cut, least_labels
+from ..operators.graph import cut, least_labels, stored
 from ..operators.merge import upserted
+from ..operators.similar import event_edges
 
 # Retention of public events (days, cap) by level.
 RETENTION = {"material": (90, 100), "contextual": (30, 30), "low": (14, 10)}
@@ -66,18 +67,13 @@ def deduplicated(articles: DataFrame) -> DataFrame:
 
 def same_event_edges(articles: DataFrame) -> DataFrame:
     """(src, dst) article ids of one company within 72 hours with two common keywords or a ratio of 0.82."""
-    pairs = A.pairs_within(articles.select("stock_code", "article_id", "published_at", "normalized_title", "event_keywords"), "stock_code", "article_id", "published_at", 259_200, ["normalized_title", "event_keywords"])
-    common = F.size(F.array_intersect("a_event_keywords", "b_event_keywords")) >= 2
-    la, lb = F.length("a_normalized_title"), F.length("b_normalized_title")
-    by_keyword = pairs.where(common).select("a_article_id", "b_article_id")
-    close = pairs.where(~common & (2 * F.least(la, lb) >= 0.82 * (la + lb)))
-    by_ratio = close.where(A.sequence_ratio("a_normalized_title", "b_normalized_title") >= 0.82).select("a_article_id", "b_article_id")
-    return by_keyword.unionByName(by_ratio).select(F.col("a_article_id").alias("src"), F.col("b_article_id").alias("dst"))
+    rows = stored(articles.select("stock_code", "article_id", "published_at", "normalized_title", "event_keywords"), "titles")  # read for both kinds of pairs
+    return event_edges(rows, "stock_code", "article_id", "published_at", "normalized_title", "event_keywords")
 
 
 def news_events(articles: DataFrame, companies: DataFrame, now: Column) -> DataFrame:
     """Public events: clusters of articles with their representative, aggregates, importance and article list."""
-    edges = same_event_edges(articles)
+    edges = stored(same_event_edges(articles), "event-edges")
     labelled = articles if edges.isEmpty() else articles.join(least_labels(edges).withColumnRenamed("node", "article_id"), "article_id", "left")
     clustered = labelled.withColumn("cluster", F.coalesce("component", "article_id") if "component" in labelled.columns else F.col("article_id"))
     tier = F.when(F.col("source_tier") == "official", 4).when(F.col("source_tier") == "tier1", 3).otherwise(1)
