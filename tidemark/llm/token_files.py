@@ -26,6 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ from .storage import long_rows
 from .words import load_tokenizer, rows_of, segments, specials_pattern
 
 #: Characters encoded together, text bytes of a shard, chunks that an encoder keeps.
-BLOCK_CHARS, SHARD_BYTES, CACHED = 1_500_000, 256 << 20, 600_000
+BLOCK_CHARS, SHARD_BYTES, CACHED = 3_000_000, 256 << 20, 600_000
 _LEAST = -(1 << 63)
 _PUNCTUATION = string.punctuation
 
@@ -82,14 +83,14 @@ class ByteIds:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str], lead: str) -> list[bytes]:
-        """Words of letters only; behind a space many go in one call, as each one's first token tells its start."""
+    def _encode_words(self, words: list[str], lead: str, tokenizer: Tokenizer) -> list[bytes]:
+        """Words without spaces; behind a space many go in one call, as each one's first token tells its start."""
         if not lead:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.letters.encode_batch_fast(words, add_special_tokens=False)]
+            return [np.array(e.ids, self.kind).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         out: list[bytes] = []
         size = self.kind.itemsize
         for at in range(0, len(words), 256):
-            (found,) = self.letters.encode_batch_fast([[lead + w for w in words[at : at + 256]]], is_pretokenized=True, add_special_tokens=False)
+            (found,) = tokenizer.encode_batch_fast([[lead + w for w in words[at : at + 256]]], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
             cuts = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(ids) * size]
             flat = ids.tobytes()
@@ -98,65 +99,78 @@ class ByteIds:
 
     def _learn(self, known: _Known, chunks: set[str], lead: str) -> None:
         """A word of letters and the punctuation behind it are never one pre-token, so both are encoded by themselves."""
-        words, marked = set(), []
         missing = known.missing(chunks)
         now = known.now
-        for c in missing:
-            if c.isalpha():
-                words.add(c)
-                continue
-            bare = c.rstrip(_PUNCTUATION)
-            if bare.isalpha():
-                words.add(bare)
-                marked.append((c, bare, c[len(bare) :]))
-            elif not c or c[0].isspace() or c[-1].isspace():
-                now[c] = None  # the cut is not safe here
-            else:
-                words.add(c)
-        new = [w for w in words if w not in now]
-        plain = [w for w in new if w.isalpha()]
-        now.update(zip(plain, self._encode_letters(plain, lead), strict=True))
-        other = [w for w in new if w not in now]
-        now.update(zip(other, self._encode([lead + w for w in other]), strict=True))
-        unseen = list({m for _, _, m in marked} - self.marks.keys())
+        rest = [c for c in missing if not c.isalpha()]
+        words = {c for c in missing if c.isalpha()}
+        bare = [c.rstrip(_PUNCTUATION) for c in rest]
+        marked = [(c, w) for c, w in zip(rest, bare, strict=True) if w.isalpha()]
+        words.update([w for _, w in marked])
+        plain = list(words.difference(now))
+        now.update(zip(plain, self._encode_words(plain, lead, self.letters), strict=True))
+        other = [c for c, w in zip(rest, bare, strict=True) if not w.isalpha()]
+        unsafe = [c for c in other if not c or c[0].isspace() or c[-1].isspace()]
+        now.update(dict.fromkeys(unsafe))  # the cut is not safe at these
+        safe = [c for c in other if c not in now]
+        now.update(zip(safe, self._encode_words(safe, lead, self.tokenizer), strict=True))
+        unseen = list({c[len(w) :] for c, w in marked} - self.marks.keys())
         self.marks.update(zip(unseen, self._encode(unseen), strict=True))
-        for c, word, mark in marked:
-            now[c] = now[word] + self.marks[mark]
+        marks = self.marks
+        now.update([(c, now[w] + marks[c[len(w) :]]) for c, w in marked])
         if len(self.marks) > 20_000:
             self.marks = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        plans, heads, tails = [], set(), set()
+        """Chunks are found, told apart and put together again by Arrow; Python looks at each distinct one once."""
+        plans: list[list] = []  # of each text its specials (as texts) and pieces (as numbers)
+        pieces: list[str] = []
         for text in texts:
             plan: list = []
             parts = [text or ""] if self.specials is None or not text or "<" not in text else self.specials.split(text)
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append((part, None, None))
+                    plan.append(part)
                 elif part:
                     for piece in segments(part):
-                        cut = piece.split(" ")
-                        first = cut.pop(0)
-                        heads.add(first)
-                        tails.update(cut)
-                        plan.append((piece, first, cut))
+                        plan.append(len(pieces))
+                        pieces.append(piece)
             plans.append(plan)
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
-        head, tail = self.heads.now, self.tails.now.__getitem__
+        found = self._pieces(pieces) if pieces else []
+        return [b"".join(found[x] if isinstance(x, int) else self._encode([x])[0] for x in plan) for plan in plans]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
+        chunks = cut.flatten().dictionary_encode()
+        starts = cut.offsets.to_numpy().astype(np.int64)  # of the pieces among the chunks
+        starts = starts - starts[0]
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = chunks.indices.to_numpy(zero_copy_only=False).copy()
+        heads = [distinct[k] for k in index[starts[:-1]]]
+        index[starts[:-1]] = len(distinct)  # heads are looked up by themselves, and bring nothing here
+        tails = np.flatnonzero(np.bincount(index)[:-1])
+        wanted = [distinct[k] for k in tails]
+        self._learn(self.heads, set(heads), "")
+        self._learn(self.tails, set(wanted), " ")
+        head = self.heads.now
+        ids = list(map(self.tails.now.__getitem__, wanted))
+        unsafe = np.zeros(len(distinct) + 1, bool)
+        lengths = np.zeros(len(distinct) + 1, np.int64)
+        if None in ids:
+            unsafe[tails[[k for k, b in enumerate(ids) if b is None]]] = True
+            ids = [b or b"" for b in ids]
+        lengths[tails] = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), self.kind)))
+        flat = held.take(pa.array(index)).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(lengths[index])][starts]
+        whole = np.add.reduceat(unsafe[index], starts[:-1])
         out = []
-        for plan in plans:
-            ids: list[bytes] = []
-            for piece, first, cut in plan:
-                try:
-                    if cut is None or (first and head[first] is None):
-                        ids += self._encode([piece])
-                    else:
-                        rest = b"".join(map(tail, cut))
-                        ids += [head[first], rest] if first else [rest]
-                except TypeError:  # None among the chunks
-                    ids += self._encode([piece])
-            out.append(b"".join(ids))
+        for k, piece in enumerate(pieces):
+            first = heads[k]
+            if whole[k] or (first and head[first] is None):
+                out += self._encode([piece])
+            else:
+                rest = flat[ends[k] : ends[k + 1]].tobytes()
+                out.append(head[first] + rest if first else rest)
         return out
 
 
