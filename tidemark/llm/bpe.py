@@ -19,17 +19,20 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import long_rows
-from .words import segments, specials_pattern
+from .words import Known, segments, specials_pattern
 
+_BLANKS = regex.compile(r"\s+")
 NONE = 1 << 62
 _LOW = (1 << 32) - 1
 
@@ -146,7 +149,7 @@ class WordEndBpe:
     #: Places up to which words share an array of trees; longer ones get a tree each.
     SHARED = 64
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -162,8 +165,9 @@ class WordEndBpe:
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
         self.specials = specials_pattern(path)
         pre = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.shown: dict[int, bytes] = {}
         self.split = regex.compile(pre["pattern"]["Regex"])
-        self.cached, self.chunks, self.words = cached, {}, {}
+        self.chunks, self.words = Known(cached), Known(cached)
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word (not empty), as the merges give them."""
@@ -195,66 +199,80 @@ class WordEndBpe:
         return out
 
     def _words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
+        """The words of a chunk: most are letters, with marks behind them or not, and need no pattern."""
+        low = chunk.lower()
+        if low.isalpha():
+            if chunk.isascii() or ("Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)):
+                return [low]
+        elif chunk.isascii() and (word := low.rstrip(string.punctuation)).isalpha():
+            return [word, low[len(word) :]]
         text = unicodedata.normalize("NFC", chunk)
-        text = regex.sub(r"\s+", " ", text)
+        text = _BLANKS.sub(" ", text)
         text = text.replace("Σ", "σ").lower()  # lower case goes by character: no final sigma
         return self.split.findall(text)
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks that the cache lacks, their words together."""
-        if len(self.chunks) > self.cached:
-            self.chunks = {}
-        if len(self.words) > self.cached:
-            self.words = {}
-        new = [c for c in chunks if c not in self.chunks]
-        split = [self._words(c) for c in new]
-        unseen = list({w for ws in split for w in ws} - self.words.keys())
+        """Encode chunks that the cache lacks, their words together.  A chunk is kept as its ids and what they show, a space
+        behind each token."""
+        new = self.chunks.missing(chunks)
+        split = list(map(self._words, new))
+        unseen = self.words.missing({w for ws in split for w in ws})
+        known = self.words.now
         if unseen:
-            tokens = self.tokens
-            for word, ids in zip(unseen, self.encode_words(unseen), strict=True):
-                self.words[word] = (ids.tobytes(), " ".join([tokens[i] for i in ids.tolist()]))
-        known = self.words
+            show = {i: t.encode() + b" " for i, t in self.tokens.items()} if not self.shown else self.shown
+            self.shown = show
+            ids = self.encode_words(unseen)
+            flat = list(map(show.__getitem__, np.concatenate(ids).tolist()))
+            ends = np.cumsum(list(map(len, ids))).tolist()
+            known.update(zip(unseen, [(i.tobytes(), b"".join(flat[a:b])) for i, a, b in zip(ids, [0, *ends[:-1]], ends, strict=True)], strict=True))
+        here = self.chunks.now
         for chunk, ws in zip(new, split, strict=True):
             if len(ws) == 1:
-                self.chunks[chunk] = known[ws[0]]
+                here[chunk] = known[ws[0]]
             else:
                 got = [known[w] for w in ws]
-                self.chunks[chunk] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+                here[chunk] = (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+
+    def _pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids and shown tokens of pieces: chunks are found, told apart and put together again by Arrow."""
+        cut = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
+        chunks = cut.flatten().dictionary_encode()
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(distinct))
+        found = list(map(self.chunks.now.__getitem__, distinct))
+        index = chunks.indices
+        parts = []
+        for k in (0, 1):
+            each = [f[k] for f in found]
+            lengths = np.fromiter(map(len, each), np.int64, len(each))
+            held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)]), pa.array(np.frombuffer(b"".join(each), np.uint8)))
+            ends = np.r_[0, np.cumsum(lengths[index.to_numpy(zero_copy_only=False)])][starts].tolist()
+            flat = held.take(index).flatten().to_numpy().tobytes()
+            parts.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        return list(zip(*parts, strict=True))
 
     def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         plans: list[list] = []
-        chunks: set[str] = set()
+        pieces: list[str] = []
         for text in texts:
             plan: list = []
             parts = [text or ""] if self.specials is None or not text or "<" not in text else self.specials.split(text)
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append(part)
+                    plan.append((self.special[part].to_bytes(4, "little"), part.encode() + b" "))
                 elif part:
                     for piece in segments(part):
-                        cut = piece.split(" ")
-                        chunks.update(cut)
-                        plan.append(cut)
+                        plan.append(len(pieces))
+                        pieces.append(piece)
             plans.append(plan)
-        self._learn(chunks)
-        known = self.chunks
+        found = self._pieces(pieces) if pieces else []
         out = []
         for plan in plans:
-            ids: list[bytes] = []
-            shown: list[str] = []
-            for step in plan:
-                if isinstance(step, str):
-                    ids.append(self.special[step].to_bytes(4, "little"))
-                    shown.append(step)
-                else:
-                    for b, s in map(known.__getitem__, step):
-                        if b:
-                            ids.append(b)
-                            shown.append(s)
-            out.append((b"".join(ids), " ".join(shown)))
+            done = [found[x] if isinstance(x, int) else x for x in plan]
+            out.append((b"".join([d[0] for d in done]), b"".join([d[1] for d in done])[:-1].decode()))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -35,31 +35,14 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from .storage import long_rows
-from .words import load_tokenizer, rows_of, segments, specials_pattern
+from .words import Known, load_tokenizer, rows_of, segments, specials_pattern
 
 #: Characters encoded together, text bytes of a shard, chunks that an encoder keeps.
-BLOCK_CHARS, SHARD_BYTES, CACHED = 3_000_000, 256 << 20, 600_000
+BLOCK_CHARS, SHARD_BYTES, CACHED = 3_000_000, 256 << 20, 800_000
 _LEAST = -(1 << 63)
 _PUNCTUATION = string.punctuation
 
 
-class _Known:
-    """Bounded cache of two generations: what is in use moves on, the rest goes when the newer one is full."""
-
-    def __init__(self, limit: int):
-        self.limit, self.now, self.old = limit, {}, {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted`` that must be derived; all others are in ``now`` afterwards."""
-        if len(self.now) > self.limit:
-            self.old, self.now = self.now, {}
-        lacking = wanted.difference(self.now)
-        again = self.old.keys() & lacking
-        for key in again:
-            self.now[key] = self.old[key]
-        return list(lacking - again)
-
-
 def id_kind(tokenizer: Tokenizer) -> np.dtype:
     """The unsigned integers that hold a vocabulary's ids."""
     return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -72,7 +55,7 @@ class ByteIds:
         self.tokenizer = load_tokenizer(path)
         self.kind = id_kind(self.tokenizer)
         self.specials = specials_pattern(path)
-        self.heads, self.tails = _Known(cached), _Known(cached)
+        self.heads, self.tails = Known(cached), Known(cached)
         self.marks: dict[str, bytes] = {}
         # letters alone are one pre-token: they need the byte characters but not the split pattern
         self.letters = load_tokenizer(path)
@@ -97,7 +80,7 @@ class ByteIds:
             out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    def _learn(self, known: _Known, chunks: set[str], lead: str) -> None:
+    def _learn(self, known: Known, chunks: set[str], lead: str) -> None:
         """A word of letters and the punctuation behind it are never one pre-token, so both are encoded by themselves."""
         missing = known.missing(chunks)
         now = known.now
@@ -147,18 +130,16 @@ class ByteIds:
         index = chunks.indices.to_numpy(zero_copy_only=False).copy()
         heads = [distinct[k] for k in index[starts[:-1]]]
         index[starts[:-1]] = len(distinct)  # heads are looked up by themselves, and bring nothing here
-        tails = np.flatnonzero(np.bincount(index)[:-1])
-        wanted = [distinct[k] for k in tails]
         self._learn(self.heads, set(heads), "")
-        self._learn(self.tails, set(wanted), " ")
+        self._learn(self.tails, set(distinct), " ")
         head = self.heads.now
-        ids = list(map(self.tails.now.__getitem__, wanted))
+        ids = list(map(self.tails.now.__getitem__, distinct))
         unsafe = np.zeros(len(distinct) + 1, bool)
         lengths = np.zeros(len(distinct) + 1, np.int64)
         if None in ids:
-            unsafe[tails[[k for k, b in enumerate(ids) if b is None]]] = True
+            unsafe[[k for k, b in enumerate(ids) if b is None]] = True
             ids = [b or b"" for b in ids]
-        lengths[tails] = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        lengths[:-1] = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), self.kind)))
         flat = held.take(pa.array(index)).flatten().to_numpy()
         ends = np.r_[0, np.cumsum(lengths[index])][starts]
