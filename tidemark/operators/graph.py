@@ -33,12 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed at the end of the driver."""
+    path = f"{_shared(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: a scan of its own, which brings no constraints of the
     plan before into the next one, as a checkpoint does (they double with every join of a loop)."""
-    path = f"{_shared(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -177,22 +177,35 @@ def forecast_target(parsed: DataFrame) -> Column:
 
 
 def candidates(parsed: DataFrame) -> DataFrame:
-    """Version candidates in won, with the amounts as written (``_raw``): one a recent row, one for the report's own quarter."""
+    """Version candidates in won, with the amounts as written (``_raw``): one a recent row, one for the report's own quarter (``own``)."""
     target = parsed.withColumn("forecast_quarter", forecast_target(parsed)).withColumn("current_quarter", report_quarter(F.col("report_period")))
     raws = lambda at, suffix, behind, when: [F.when(when, F.col(at(m, suffix))["raw"]).alias(f"{m}{behind}_raw") for m in METRICS]
     keep = ["id", "stock_code", "provisional", (F.col("classification") == "correction").alias("corrected"), "disclosure_datetime", "report_name", "dart_url", "dart_receipt_number"]
     mine = F.col("row.fiscal_quarter") == F.col("forecast_quarter")
     rows = target.withColumn("row", F.explode("recent_earnings")).select(
         *keep, F.col("row.fiscal_quarter").alias("fiscal_quarter"), *[F.col(f"row.{m}.value_won").alias(m) for m in METRICS], *[F.when(mine, _won(f"{m}_consensus")).alias(f"{m}_consensus") for m in METRICS],
-        *raws(lambda m, _: f"row.{m}", "", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", mine), (F.col("row.fiscal_quarter") == F.col("current_quarter")).alias("is_current"),
+        *raws(lambda m, _: f"row.{m}", "", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", mine), F.coalesce(F.col("row.fiscal_quarter") == F.col("current_quarter"), F.lit(False)).alias("is_current"), F.lit(False).alias("own"),
     )
     current = target.where("current_quarter is not null and has_earnings_data").select(
         *keep, F.col("current_quarter").alias("fiscal_quarter"), *[_won(f"{m}_actual").alias(m) for m in METRICS], *[_won(f"{m}_consensus").alias(f"{m}_consensus") for m in METRICS],
-        *raws("{}{}".format, "_actual", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", F.lit(True)), F.lit(True).alias("is_current"),
+        *raws("{}{}".format, "_actual", "", F.lit(True)), *raws("{}{}".format, "_consensus", "_consensus", F.lit(True)), F.lit(True).alias("is_current"), F.lit(True).alias("own"),
     )
     return rows.unionByName(current).withColumn("forecasts", sum((F.col(f"{m}_consensus").isNotNull().cast("int") for m in METRICS), F.lit(0)))
 
 
+def cumulative_suspected(text: Column) -> Column:
+    """Whether a text speaks of sums over several quarters, links left out."""
+    plain = F.regexp_replace(text, r"https?://\S+", " ")
+    return F.contains(plain, F.lit("누적")) & ~F.contains(plain, F.lit("누적 아님"))
+
+
+def unit_uncertain(text: Column) -> Column:
+    """Whether a line has a quarter and three numbers more, and no unit."""
+    lines = F.split(F.regexp_replace(text, r"https?://\S+", " "), codes.LINE_END)
+    numbers = lambda line: F.regexp_count(line, F.lit(r"[-+()]?\d[\d,.]*"))
+    return F.exists(lines, lambda line: F.rlike(line, F.lit(QUARTER)) & (numbers(line) >= 4) & ~F.rlike(line, F.lit("조|억|백만|천")))
+
+
 def accounting_basis(text: Column) -> Column:
     both, one, other = F.contains(text, F.lit("연결")), F.contains(text, F.lit("별도")) | F.contains(text, F.lit("개별")), F.lit("unspecified")
     return F.when(both & one, "mixed").when(both, "consolidated").when(one, "separate").otherwise(other)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import articles, audits, dashboard, messages, parsing, portfolio, relational, reports, series, streams
+from . import articles, audits, dashboard, earnings, messages, parsing, portfolio, published, relational, reports, series, streams, versions
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "articles", "audits", "dashboard", "messages", "parsing", "portfolio", "relational", "reports", "series", "streams"]
+__all__ = ["ORACLES", "QUERIES", "articles", "audits", "dashboard", "earnings", "messages", "parsing", "portfolio", "published", "relational", "reports", "series", "streams", "versions"]

@@ -131,12 +131,58 @@ def run_upsert(spark: SparkSession, path: str, key: Sequence[str], order: str, v
     return held.select(*key, order, *values) if held is not None else spark.read.parquet(path).select(*key, order, *values).where("false")
 
 
+def distinct_sink(target: str, key: Sequence[str]):
+    """foreachBatch sink: keys that no earlier batch has brought, by batch, so a batch that runs again writes the same folder.
+
+    What was seen is the table itself, so the stream holds no state, however many keys there are.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(list(key))
+        held = read_batches(batch.sparkSession, target, before=batch_id)
+        if held is not None:
+            seen = held.select(*[F.col(k).alias(f"seen_{k}") for k in key])
+            same = F.lit(True)
+            for k in key:
+                same = same & F.col(k).eqNullSafe(F.col(f"seen_{k}"))
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id:09d}")
+
+    return write
+
+
+def read_batches(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batch folders, or of those before a batch; null where there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in store.listStatus(path)] if store.exists(path) else []
+    wanted = [f.toString() for f in folders if before is None or int(f.getName().rpartition("=")[2]) < before]
+    return spark.read.parquet(*wanted) if wanted else None
+
+
 def run_distinct(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     target = shared_path(spark, "distinct")
-    rows = source(spark, path).selectExpr(*columns).dropDuplicates()
-    query = rows.writeStream.format("parquet").option("path", f"{target}/table").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    rows = source(spark, path).selectExpr(*columns)
+    query = rows.writeStream.foreachBatch(distinct_sink(f"{target}/table", rows.columns)).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{target}/table")
+    found = read_batches(spark, f"{target}/table")
+    return found if found is not None else spark.createDataFrame([], rows.schema)
+
+
+def run_fresh(spark: SparkSession, fetches: Iterator[DataFrame], key: Sequence[str], time: str, *, overlap: str = "3 hours") -> DataFrame:
+    """Fetches of overlapping windows, one run of the stream for each, on one checkpoint: every key once.
+
+    State is kept for the overlap and leaves with the watermark; what comes later than that is dropped, seen before or not.
+    """
+    target = shared_path(spark, "fresh")
+    schema = None
+    for number, fetch in enumerate(fetches):
+        fetch.write.parquet(f"{target}/fetches/fetch={number:06d}")
+        schema = fetch.schema
+        rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{target}/fetches/fetch=*")
+        query = fresh_rows(rows, key, time, overlap=overlap).writeStream.format("parquet").option("path", f"{target}/table").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{target}/table")
 
 
 def run_daily(spark: SparkSession, path: str, time: str = "ts", kind: str = "event_type") -> DataFrame:
@@ -147,7 +193,8 @@ def run_daily(spark: SparkSession, path: str, time: str = "ts", kind: str = "eve
     flat = counts.select((F.col("w.start") + F.make_dt_interval(F.lit(0), F.lit(9))).cast("date").alias("usage_day"), kind, "calls")
     query = flat.writeStream.outputMode("update").foreachBatch(upsert_sink(f"{target}/table", ["usage_day", kind], "calls")).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return read_upserted(spark, f"{target}/table").select("usage_day", kind, "calls")
+    held = read_upserted(spark, f"{target}/table")
+    return held.select("usage_day", kind, "calls") if held is not None else spark.createDataFrame([], flat.schema)
 
 
 def poll_states(outcomes: DataFrame, key: Sequence[str]) -> DataFrame:
