@@ -142,3 +142,67 @@ def test_poll_state_stream(spark, tmp_path):
     query.stop()
     got = {r.code: (r.last_successful_run, r.consecutive_failures, r.last_error) for r in spark.table("polls").collect()}
     assert got == {"a": ("2026-01-01T00:00:00", 2, "429"), "b": ("2026-01-02T00:00:00", 0, None)}
+
+
+def test_flows_on_empty_tables(spark, tmp_path):
+    """Every flow and stream gives its columns and no rows where there is nothing to read."""
+    from tidemark.plans import earnings, news
+    from tidemark.sources import versions
+    from tidemark.streaming import streams
+
+    companies = spark.createDataFrame([], "stock_code string, company_name string, terms array<string>, aliases array<string>, requires_code boolean")
+    out = flows.message_flow(spark.createDataFrame([], "id long, date string, text string"), companies)
+    assert [out[k].count() for k in ("quarters", "disclosures", "quarantine", "companies", "totals")] == [0, 0, 0, 0, 1]
+    done = earnings.earnings_run(spark.createDataFrame([], "path string, folder_code string, text string, encoding string, digest string"), companies)
+    assert [done[k].count() for k in ("files", "companies", "quarters", "published", "totals")] == [0, 0, 0, 0, 1]
+    raw = spark.createDataFrame([], "provider string, stock_code string, title string, description string, url string, published_at string, language string")
+    run = news.news_run(raw, companies, F.lit("2026-01-01").cast("timestamp"), "2026-01-01")
+    assert [run[k].count() for k in ("rejected", "repeated", "events", "index")] == [0, 0, 0, 0]
+    path = str(tmp_path / "events")
+    spark.createDataFrame([], "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(path)
+    assert streams.run_daily(spark, path).count() == 0 and streams.run_distinct(spark, path, ["user_id"]).count() == 0 and streams.run_upsert(spark, path, ["user_id"], "event_id", ["value"]).count() == 0
+    old = spark.createDataFrame([], "code long, v string")
+    assert versions.change_set(old, old, ["code"], ["v"]).count() == 0
+
+
+def test_version_reads_and_changes(spark, tmp_path):
+    from tidemark.sources import versions
+
+    path = str(tmp_path / "v")
+    rows = lambda *r: spark.createDataFrame(list(r), "code long, v string, w int")
+    versions.write_version(rows((1, "a", 1), (2, None, 2)), path, 1, "2024-01-01 00:00:00")
+    versions.write_version(rows((2, "b", 2), (3, "c", None)), path, 2, "2024-02-01 00:00:00")
+    versions.write_version(rows((2, None, 5), (3, "c", None)), path, 2, "2024-02-01 00:00:00")  # written again
+    assert versions.at_version(spark, path, 9).count() == 0 and versions.at_time(spark, path, "2023-01-01 00:00:00").count() == 0
+    changes = versions.change_set(versions.at_version(spark, path, 1), versions.at_time(spark, path, "2024-03-01 00:00:00"), ["code"], ["v", "w"])
+    assert sorted(tuple(r) for r in changes.collect()) == [(1, "removed", None, None, None), (2, "changed", "w", "2", "5"), (3, "added", None, None, None)]
+    facts = spark.createDataFrame([(2, "2023-12-01 00:00:00"), (2, "2024-01-01 00:00:00"), (2, "2025-01-01 00:00:00"), (None, "2025-01-01 00:00:00")], "code long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = versions.as_of(facts, versions.all_versions(spark, path), "code", "at", "committed_at", ["w"]).collect()
+    assert sorted((str(r.at)[:4], r.w) for r in got if r.code) == [("2023", None), ("2024", 2), ("2025", 5)]
+    kept, removed = versions.without_assignments(rows((1, "a", 1), (1, "b", 1), (2, "a", 1)), rows((1, "a", 0), (3, "a", 0)), "code", "v")
+    assert sorted((r.code, r.v) for r in kept.collect()) == [(1, "b"), (2, "a")] and sorted(tuple(r) for r in removed.collect()) == [(1, 1), (3, 0)]
+
+
+def test_names_stand_by_themselves_in_any_script(spark):
+    """Against the pattern of each term, over texts of all scripts, particles, punctuation and case."""
+    import re
+
+    from tidemark.functions import codes
+    from tidemark.operators.names import name_hits
+
+    terms = ["東京電力", "Яндекс", "삼성전자", "AT&T", "A", "테스 코", "é", "삼성(주)", "K-Pop!", "電", "가", "a b c", "C++"]
+    texts = [
+        "新東京電力株", "X東京電力", "東京電力x", "東京電力 株", "яндекс", "Яндекса", "«ЯНДЕКС»", "яндекс1", "삼성전자는", "삼성전자은 삼성전자", "삼성전자주", "at&t!", "at&ta", "테스 코의 말", "테스  코", "É", "xé", "é", "삼성(주)는", "삼성(주)가나", "삼성(주)", "k-pop!!", "k-pop!x", "電力", "가는", "가 는", "나가",
+        "a b c", "a b cd", "za b c", "", " ", "c++", "c++x", "xc++", "a\nb c", "A의", "가의", "가의나",
+    ]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id int, line string")
+    index = spark.createDataFrame([(t,) for t in [*terms, ""]], "term string")
+    got = {(r.id, r.term) for r in name_hits(lines, index).collect()}
+
+    def pattern(term):
+        edge = "[^가-힣A-Za-z0-9]"
+        behind = rf"(?=$|{edge}|(?:{'|'.join(codes.PARTICLES)})(?=$|{edge}))" if re.search("[가-힣]", term) else "(?![가-힣A-Za-z0-9])"
+        return re.compile(rf"(?<![가-힣A-Za-z0-9]){re.escape(term)}{behind}", re.IGNORECASE)
+
+    assert got == {(k, t) for k, text in enumerate(texts) for t in terms if pattern(t).search(text)}
+    assert name_hits(lines, index.limit(0)).count() == 0

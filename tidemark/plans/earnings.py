@@ -149,7 +149,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(head, report, F.lit("잠정실적: Y\n"), values, recent)
     body = (
         F.when(kind == 0, whole).when(kind == 1, F.concat(head, F.lit("정정공시\n"), report, F.lit("잠정실적: N\n"), values, recent)).when(kind == 2, F.concat(head, F.lit("2015.1Q 1억 1억 1억"))).when(kind == 3, " \n ")
-        .when(kind == 4, F.concat(F.lit("종목코드: A"), F.lpad(F.when((F.col("k") + 1) % 11 == 0, F.col("k") + 2).otherwise(F.col("k") + 1).cast("string"), 6, "0"), F.lit("\n공시 "), text("id"))).when(kind == 5, F.concat(F.lit("오늘 이야기 "), text("id"))).otherwise(F.concat(whole, F.lit("누적 매출 소식\n")))
+        .when(kind == 4, F.concat(F.lit("종목코드: A"), F.when(F.col("k") == 1, "000002").otherwise("000001"), F.lit("\n공시 "), text("id"))).when(kind == 5, F.concat(F.lit("오늘 이야기 "), text("id"))).otherwise(F.concat(whole, F.lit("누적 매출 소식\n")))
     )
     path = F.concat(code, F.lit("/"), F.lpad(text("id"), 10, "0"), F.lit(".txt"))
     return order_parts(spark, sf_dir).select(path.alias("path"), code.alias("folder_code"), body.alias("text"), F.when(kind == 3, "empty").when(kind == 5, "cp949").otherwise("utf-8-sig").alias("encoding"), F.sha2(body, 256).alias("digest"))
@@ -170,7 +170,7 @@ def earnings_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("folder_code", "fiscal_quarter", *P.METRICS, "conflict", "is_current", "revenue_raw", "revenue_eok", "revenue_qoq")
 
 
-@query(f"WITH {_RUN} SELECT path, folder_code, match, parse_status, CASE WHEN NOT is_first THEN 'duplicate_file_hash' WHEN s = 3 THEN 'unreadable_or_empty' WHEN s = 4 AND known THEN 'company_mismatch:' || lpad(CAST(CASE WHEN (k + 1) % 11 = 0 THEN k + 2 ELSE k + 1 END AS VARCHAR), 6, '0') ELSE '' END AS warnings FROM r")
+@query(f"WITH {_RUN} SELECT path, folder_code, match, parse_status, CASE WHEN NOT is_first THEN 'duplicate_file_hash' WHEN s = 3 THEN 'unreadable_or_empty' WHEN s = 4 AND known THEN 'company_mismatch:' || CASE k WHEN 1 THEN '000002' ELSE '000001' END ELSE '' END AS warnings FROM r")
 def earnings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each file."""
     rows = run_tables(spark, sf_dir)["files"]
