@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import struct
@@ -139,3 +140,22 @@ def test_counts_are_kept_in_generations(spark, sf_dir, monkeypatch):
 def pa_rows(docs):
     rows = docs.select("doc_id", "text").toArrow().combine_chunks()
     return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), rows.column(0).combine_chunks(), rows.column(1).combine_chunks()], ["row_key", "id", "text"])
+
+
+def test_frequencies_of_a_block_are_those_of_its_texts():
+    """Special strings, heads, white space at cuts, empty texts and repeats: as counting the splits of each text."""
+    split = words.PreTokens(BYTE)
+    texts = ["the the cat's  cat <|endoftext|> the", None, "", "  a", "a  b", " x\n\ny it's", "<|endoftext|>", "\n", "a\n b", "the the", "日本 語 é é ü1 1é", "tab\t x  y"]
+    named, codes, places, freqs = split.frequencies(texts)
+    got = [collections.Counter() for _ in texts]
+    for code, place, n in zip(codes.tolist(), places.tolist(), freqs.tolist(), strict=True):
+        got[place][named[code].as_py()] += n
+    assert got == [collections.Counter(split(t)) if t else collections.Counter() for t in texts]
+    assert len(set(named.to_pylist())) == len(named)
+    assert [len(x) for x in split.frequencies([])] == [0, 0, 0, 0] and [len(x) for x in split.frequencies([None, ""])] == [0, 0, 0, 0]
+
+
+def test_pieces_of_many_pre_tokens_in_a_call():
+    library = words.load_tokenizer(BYTE)
+    some = [" the", " cat's", "the", " ", "  ", " 12", " !!", " é", "<|endoftext|>", "\n", " x" * 1, " " + "z" * 300]
+    assert dict(token_counts.PieceCounts(BYTE)(some)) == {w: len(library.encode(w, add_special_tokens=False).ids) for w in some}

@@ -25,7 +25,6 @@ extra columns, whatever their names, are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import struct
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from .storage import long_rows
 from .words import PreTokens, load_tokenizer, rows_of
 
 #: Characters and documents of a block, buckets for each shuffle partition, documents that make a pre-token hot.
-BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 1_000_000, 60_000, 8, 64
+BLOCK_CHARS, BLOCK_DOCS, SPREAD, HOT = 2_000_000, 60_000, 8, 64
 #: Pre-tokens whose counts a task keeps in each of two generations.
 KNOWN = 200_000
 
@@ -70,35 +69,25 @@ def _unpack(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
     at += 2 * pairs + pairs * (4 if wide else 1)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     text = pa.StringArray.from_buffers(words, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at:]))
-    return text.to_pylist(), spans, pos, freq
+    return text.to_numpy(zero_copy_only=False).tolist(), spans, pos, freq
 
 
 def _block(block: int, ids: list, texts: list, split: PreTokens, buckets: int):
     """Packed postings of one block, by bucket, and the record that lists its documents (bucket -1 - n)."""
-    words: list[str] = []
-    freqs: list[int] = []
-    spans = []
-    for text in texts:
-        found = Counter(split(text)) if text else {}
-        words.extend(found.keys())
-        freqs.extend(found.values())
-        spans.append(len(found))
     out_bucket, out_data = [], []
-    if words:
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        codes = coded.indices.to_numpy()
+    words, codes, places, freqs = split.frequencies(texts)
+    if len(words):
         documents = np.bincount(codes)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
         hashes = np.where(documents >= HOT, hashes + np.uint64(block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), hashes)
         bucket = (hashes >> np.uint64(16)) % np.uint64(buckets)
         by_bucket = np.argsort(bucket, kind="stable")
         place = np.empty(len(by_bucket), np.int64)
         place[by_bucket] = np.arange(len(by_bucket))
         order = np.argsort(place[codes], kind="stable")
-        pos = np.repeat(np.arange(len(texts)), spans)[order]
-        freq = np.array(freqs)[order]
+        pos, freq = places[order], freqs[order]
         ends = np.concatenate([[0], np.cumsum(documents[by_bucket])])
-        sorted_words = coded.dictionary.take(pa.array(by_bucket))
+        sorted_words = words.take(pa.array(by_bucket))
         used, first = np.unique(bucket[by_bucket], return_index=True)
         for b, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(by_bucket)], strict=True):
             out_bucket.append(b)
@@ -132,14 +121,37 @@ def _postings(path: str, buckets: int):
     return run
 
 
+class PieceCounts:
+    """Numbers of pieces of pre-tokens, as the library gives them.
+
+    Pre-tokens that begin with a space go many in a call: each one's first token, and no other, begins with a space.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == chr(288)]] = True  # the character that shows a space
+
+    def __call__(self, words: list[str]) -> list[tuple[str, int]]:
+        spaced = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        out = []
+        for at in range(0, len(spaced), 256):
+            part = spaced[at : at + 256]
+            (found,) = self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ends = np.r_[np.flatnonzero(self.opens[found.ids]), len(found.ids)]
+            out += zip(part, np.diff(ends).tolist(), strict=True)
+        other = list(set(words).difference(spaced))
+        return out + list(zip(other, map(len, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+
+
 def _sum_pieces(path: str):
     """Counts each distinct pre-token of the partition once and sums by document; rows come by block."""
 
     def run(batches):
         if _STATE.get("tokenizer_path") != path:
             _STATE.clear()
-            _STATE.update(tokenizer_path=path, tokenizer=load_tokenizer(path))
-        tokenizer = _STATE["tokenizer"]
+            _STATE.update(tokenizer_path=path, counts=PieceCounts(path))
+        counts = _STATE["counts"]
         pieces: dict[str, int] = {}
         older: dict[str, int] = {}
         block, sums = None, np.zeros(0, np.int64)
@@ -163,7 +175,7 @@ def _sum_pieces(path: str):
                 pieces.update((w, older[w]) for w in new if w in older)
                 new = [w for w in new if w not in pieces]
             if new:
-                pieces.update(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                pieces.update(counts(new))
             each = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), spans)
             part = np.bincount(pos, each * freq).astype(np.int64)
             if len(part) > len(sums):

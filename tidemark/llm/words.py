@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -101,7 +103,7 @@ class PreTokens:
         self.specials = specials_pattern(tokenizer_file)
         find = self.pattern.findall
         self.head = Chunks(lambda c: tuple(find(c)), 20_000)
-        self.tail = Chunks(lambda c: tuple(find(" " + c)), 60_000)
+        self.tail = Chunks(lambda c: (" " + c,) if c.isalpha() else tuple(find(" " + c)), 200_000)  # letters alone are one
 
     def __call__(self, text: str) -> list[str]:
         out: list[str] = []
@@ -127,3 +129,69 @@ class PreTokens:
         else:
             for group in found:
                 out += group
+
+    def frequencies(self, texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of some texts, and (code, text, frequency) of each that a text has, by code and text.
+
+        Arrow finds the chunks and tells them apart; Python looks at each distinct one once.
+        """
+        pieces: list[str] = []
+        owners: list[int] = []
+        loose: list[str] = []  # pre-tokens that come by themselves: specials, heads, those of pieces that can't be cut
+        loose_of: list[int] = []
+
+        def put(text: int, found: Iterable[str]) -> None:
+            before = len(loose)
+            loose.extend(found)
+            loose_of.extend([text] * (len(loose) - before))
+
+        for k, text in enumerate(texts):
+            parts = [text or ""] if self.specials is None or not text or "<" not in text else self.specials.split(text)
+            for j, part in enumerate(parts):
+                if j % 2:
+                    put(k, (part,))
+                elif part:
+                    for piece in segments(part):
+                        pieces.append(piece)
+                        owners.append(k)
+        flat: list[str] = []
+        codes = of_text = times = np.empty(0, np.int64)
+        if pieces:
+            cut = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
+            chunks = cut.flatten().dictionary_encode()
+            starts = cut.offsets.to_numpy().astype(np.int64)
+            starts = starts - starts[0]
+            distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+            index = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            first = index[starts[:-1]]
+            found = list(map(self.tail.__getitem__, distinct))
+            bad = np.array([f is None for f in found])
+            in_piece = np.repeat(np.arange(len(pieces)), np.diff(starts))
+            counted = np.ones(len(index), bool)
+            counted[starts[:-1]] = False
+            whole = np.bincount(in_piece, bad[index] & counted, len(pieces)) > 0
+            for k, chunk in enumerate(first.tolist()):
+                head = self.head[distinct[chunk]] if distinct[chunk] else ()
+                if head is None or whole[k]:
+                    whole[k] = True
+                    put(owners[k], self.pattern.findall(pieces[k]))
+                else:
+                    put(owners[k], head)
+            counted &= ~whole[in_piece]
+            width = len(distinct)
+            pairs, often = np.unique(np.array(owners)[in_piece[counted]] * width + index[counted], return_counts=True)
+            sizes = np.array([len(f) if f else 0 for f in found])
+            flat = [p for f in found if f for p in f]
+            begins = np.cumsum(sizes) - sizes
+            chunk = pairs % width
+            reach = sizes[chunk]
+            codes = np.repeat(begins[chunk], reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+            of_text, times = np.repeat(pairs // width, reach), np.repeat(often, reach)
+        coded = pa.array(flat + loose, pa.string()).dictionary_encode()
+        named = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = np.concatenate([named[codes], named[len(flat) :]]) * len(texts) + np.concatenate([of_text, np.array(loose_of, np.int64)])
+        pairs, place = np.unique(key, return_inverse=True)
+        freq = np.bincount(place, np.concatenate([times, np.ones(len(loose), np.int64)]), len(pairs)).astype(np.int64)
+        # pre-tokens of chunks that only pieces without a cut hold are in no text
+        used, code = np.unique(pairs // max(1, len(texts)), return_inverse=True)
+        return coded.dictionary.take(pa.array(used)), code, pairs % max(1, len(texts)), freq
