@@ -206,3 +206,26 @@ def test_names_stand_by_themselves_in_any_script(spark):
 
     assert got == {(k, t) for k, text in enumerate(texts) for t in terms if pattern(t).search(text)}
     assert name_hits(lines, index.limit(0)).count() == 0
+
+
+def test_legacy_clusters_on_known_rows(spark):
+    """Official source, four keywords, three media, fresh: 100; far titles and far times apart; reasons and ids as published."""
+    import hashlib
+
+    from tidemark.plans import legacy
+
+    companies = spark.createDataFrame([("000660", "SK하이닉스", ["SK하이닉스"], ["SK hynix"], ["skhynix.com"], ["reuters.com"], ["HBM", "DRAM", "투자", "공급"], ["추천"])], "stock_code string, company_name string, aliases array<string>, english_aliases array<string>, official_sources array<string>, major_source_domains array<string>, important_keywords array<string>, excluded_keywords array<string>")
+    items = [
+        ("SK하이닉스 HBM DRAM 투자 공급 확대", "https://news.skhynix.com/a?utm_source=x", "20260717T020000Z", None), ("SK하이닉스 HBM DRAM 투자 공급 확대 발표", "https://www.reuters.com/b", "20260717T010000Z", "English"), ("SK하이닉스 HBM DRAM 투자 공급 확대!", "https://c.example/c", "20260716T010000Z", "Korean"),
+        ("SK하이닉스 HBM DRAM 투자 공급 확대", "https://d.example/d", "20260601T000000Z", ""), ("SK hynix quarterly profit", "https://e.example/e", "bad", None),
+    ]
+    raw = spark.createDataFrame([("000660", *r) for r in items], "stock_code string, title string, url string, seendate string, language string")
+    articles = legacy.legacy_articles(raw, companies, "2026-07-18")
+    assert articles.columns == ["title", "url", "source_domain", "published_at", "language", "matched_alias", "company_name", "stock_code", "source_type", "collected_at"]
+    found = {r.representative_url: r for r in legacy.public_clusters(articles, companies, F.lit("2026-07-17 10:00:00").cast("timestamp")).collect()}
+    assert set(found) == {"https://news.skhynix.com/a", "https://d.example/d", "https://e.example/e"}
+    best = found["https://news.skhynix.com/a"]
+    assert (best.importance_score, best.importance_level, best.source_count, best.published_at, best.language) == (100, "critical", 3, "2026-07-17T02:00:00Z", "Unknown")
+    assert best.scoring_reasons == ["공식 기업·기관 출처 +40", "회사명이 제목에 정확히 등장 +15", "핵심 키워드 4개 +20", "서로 다른 3개 이상 매체 보도 +15", "최근 24시간 기사 +10"]
+    assert best.cluster_id == hashlib.sha256("000660|sk하이닉스 hbm dram 투자 공급 확대".encode()).hexdigest()[:16]
+    assert found["https://e.example/e"].published_at is None and found["https://e.example/e"].importance_score == 15
