@@ -229,3 +229,25 @@ def test_legacy_clusters_on_known_rows(spark):
     assert best.scoring_reasons == ["공식 기업·기관 출처 +40", "회사명이 제목에 정확히 등장 +15", "핵심 키워드 4개 +20", "서로 다른 3개 이상 매체 보도 +15", "최근 24시간 기사 +10"]
     assert best.cluster_id == hashlib.sha256("000660|sk하이닉스 hbm dram 투자 공급 확대".encode()).hexdigest()[:16]
     assert found["https://e.example/e"].published_at is None and found["https://e.example/e"].importance_score == 15
+
+
+def test_roots_settings_and_private_samples(spark, tmp_path):
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    assert files.input_root(spark, new, old) == new
+    (tmp_path / "old/notes").mkdir(parents=True)
+    assert files.input_root(spark, new, old) == new
+    (tmp_path / "old/0008Z0").mkdir()
+    assert files.input_root(spark, new, old) == old
+    (tmp_path / "new").mkdir()
+    assert files.input_root(spark, new, old) == new
+    (tmp_path / "c.json").write_text('{"retention":\n {"low": 5}, "x": null}')
+    assert files.read_config(spark, str(tmp_path / "c.json"), {"retention": {"low": 14, "material": 90}, "x": 1, "y": 2}) == {"retention": {"low": 5, "material": 90}, "x": None, "y": 2}
+    path = str(tmp_path / "private")
+    rows = lambda *r: spark.createDataFrame(list(r), "stock_code string, id long, text string")
+    sinks.write_private_samples(rows(("005930", 1, "a\nb\n"), ("005930", 2, None), ("0008Z0", 3, "c")), path)
+    sinks.write_private_samples(rows(("005930", 2, "again")), path)
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        assert sorted((r.stock_code, r.id, r.text) for r in sinks.read_private_samples(spark, path).collect()) == [("0008Z0", "3", "c"), ("005930", "1", "a\nb\n"), ("005930", "2", "again")]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from itertools import islice
@@ -28,6 +29,25 @@ def read_json(spark: SparkSession, paths: str | Sequence[str], schema: StructTyp
     return spark.createDataFrame([], schema)
 
 
+def input_root(spark: SparkSession, preferred: str, legacy: str) -> str:
+    """The folder to read text files from: the preferred one if it is there, else the older one if it holds folders named by codes."""
+    if exists(spark, preferred) or not exists(spark, legacy):
+        return preferred
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(legacy)
+    held = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return legacy if any(s.isDirectory() and re.fullmatch("[0-9A-Z]{6}", s.getPath().getName()) for s in held) else preferred
+
+
+def read_config(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
+    """Settings of a JSON file over defaults, section by section; the file is one small document, read on the driver."""
+    given = json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+    def over(base: dict, top: dict) -> dict:
+        return {k: over(base[k], top[k]) if isinstance(base.get(k), dict) and isinstance(top.get(k), dict) else top.get(k, base.get(k)) for k in base.keys() | top.keys()}
+
+    return over(defaults or {}, given)
+
+
 def read_envelopes(spark: SparkSession, folder: str, field: str, schema: str) -> DataFrame:
     """Rows of an array inside one envelope file per company, with the code taken from the file name."""
     rows = spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)

@@ -74,3 +74,16 @@ def write_report(df: DataFrame, path: str) -> None:
 def json_bytes(spark: SparkSession, path: str) -> DataFrame:
     """Bytes of the JSON files below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def write_private_samples(messages: DataFrame, path: str, key: str = "stock_code", message: str = "id", text: str = "text") -> None:
+    """Raw texts below a private folder, one folder for each company and message; messages that come again replace theirs."""
+    rows = messages.select(F.coalesce(F.col(text), F.lit("")).alias("value"), F.col(key), F.col(message))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\u0000").partitionBy(key, message).text(path)
+
+
+def read_private_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The texts of ``write_private_samples`` with the folders' columns as strings."""
+    with_kinds = spark.read.text(path, wholetext=True)
+    columns = [F.col(c).cast("string").alias(c) for c in with_kinds.columns if c != "value"]
+    return with_kinds.select(F.regexp_replace("value", "\u0000$", "").alias("text"), *columns)
