@@ -38,6 +38,8 @@ ROUNDS = [[*range(0, 4)], [*range(4, 16)], [*range(16, TABLES)]]
 _ODD = np.random.default_rng(41).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Blocks of the link count hold so many times ``limit``: each vector goes once to every block of its component.
 STRIP = 4
+#: Vectors hashed together.
+ROWS = 1_000
 _PLANES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -59,7 +61,8 @@ def bucket_keys(vectors: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    for batch in batches:
+    # the cells of a vector take 48 KB and more, so a whole batch is never hashed at once
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         vectors = batch.column(1).to_pylist()
         nodes: list = [None] * len(vectors)
         data: list = [None] * len(vectors)
