@@ -51,7 +51,7 @@ def main() -> None:
             run = time.perf_counter() - began
             best = run if best is None else min(best, run)
         took[name] = round(best, 3)
-    companies = {str(n): by_companies(spark, n) for n in (100, 200)}  # the published run: 5.888 and 15.615 s
+    companies = {str(n): min(by_companies(spark, n) for _ in range(2)) for n in (100, 200)}  # the published run: 5.888 and 15.615 s
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "companies": companies, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 

@@ -1,13 +1,14 @@
-"""Names in texts: an index of terms by their first words, met in one pass over the words of each text.
+"""Names in texts: an index of terms by their words, met in one pass over the words of each text.
 
 A text is a row of tokens: runs of Hangul, Latin letters and digits, and every other character by itself, in any script.
 A term stands in a text where its tokens do, with two freedoms at its edges: before and behind it no letter or digit of
 those scripts may follow on, and a term with Hangul may have a particle behind it.  Because runs are whole, the edges are
 tested on the tokens beside, without a pattern for each term.
 
-Terms are keyed by their first token, or their first two where they have more; every place of a text looks up the keys
-that begin there.  The lookup is an equi-join, so an index of any size is partitioned by key; a place carries no more
-tokens than the longest term has, so lines of any length stay small rows.
+Terms are keyed by their tokens, by the first ``PREFIX`` where they have more (names that share a beginning must not all meet
+wherever it stands); every place of a text looks up the keys of the lengths that terms have.  The lookup is an equi-join, so an
+index of any size is partitioned by key; a place carries no more tokens than the longest term has, so lines of any length
+stay small rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..functions import codes
 _WORD = "[가-힣a-z0-9]"
 _TOKEN = f"{_WORD}+|[^가-힣a-z0-9]"
 _SEPARATOR = "\x01"
+#: Tokens of a key at most.
+PREFIX = 6
 
 
 def tokens(text: Column) -> Column:
@@ -31,16 +34,12 @@ def _is_word(token: Column) -> Column:
     return F.rlike(token, F.lit(f"^{_WORD}"))
 
 
-def _key(first: Column, second: Column) -> Column:
-    return F.concat(first, F.lit(_SEPARATOR), second)
-
-
 def term_index(terms: DataFrame) -> DataFrame:
     """Adds to terms (term, ...) their tokens, key and what their edges need; terms without a character are left out."""
     cut_up = terms.where("term <> ''").withColumn("t", tokens(F.col("term")))
     first, last = F.get("t", F.lit(0)), F.element_at("t", -1)
     return cut_up.withColumns({
-        "key": F.when(F.size("t") == 1, first).otherwise(_key(first, F.get("t", F.lit(1)))), "opens": _is_word(first), "closes": _is_word(last), "hangul": F.rlike("term", F.lit("[가-힣]")),
+        "key": F.array_join(F.slice("t", F.lit(1), F.lit(PREFIX)), _SEPARATOR), "keyed": F.least(F.size("t"), F.lit(PREFIX)), "opens": _is_word(first), "closes": _is_word(last), "hangul": F.rlike("term", F.lit("[가-힣]")),
     })
 
 
@@ -60,10 +59,15 @@ def name_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Distinct (columns of ``lines`` but ``line``, columns of ``terms``): the terms that stand in the lines."""
     columns = [c for c in lines.columns if c != "line"]
     index = term_index(terms)
-    longest = index.agg(F.max(F.size("t"))).first()[0] or 0  # one number
-    places = _places(lines, columns, longest)
-    first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
-    keys = F.array(first, _without_particle(first), _key(first, second), _key(first, _without_particle(second)))
+    longest, lengths = index.agg(F.max(F.size("t")), F.sort_array(F.collect_set("keyed"))).first()  # PREFIX numbers at most
+    places = _places(lines, columns, longest or 0)
+
+    def keys_of(n: int) -> list[Column]:
+        head, last = F.slice("w", F.lit(1), F.lit(n - 1)), F.get("w", F.lit(n - 1))
+        joined = lambda end: F.when(end.isNotNull(), F.array_join(F.concat(head, F.array(end)), _SEPARATOR))
+        return [joined(last), joined(_without_particle(last))]
+
+    keys = F.array(*[k for n in lengths for k in keys_of(n)]) if lengths else F.array().cast("array<string>")
     looked_up = places.withColumn("key", F.explode(F.filter(keys, lambda k: k.isNotNull())))
     n = F.size("t")
     last, own, behind = F.get("w", n - 1), F.element_at("t", -1), F.get("w", n)
@@ -71,5 +75,5 @@ def name_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     ends = F.when(F.col("closes"), (last == own) | with_particle).otherwise((last == own) & (behind.isNull() | ~_is_word(behind) | (F.col("hangul") & behind.isin(codes.PARTICLES))))
     starts = F.col("opens") | F.col("before").isNull() | ~_is_word(F.col("before"))
     same = F.slice("w", F.lit(1), n - 1) == F.slice("t", F.lit(1), n - 1)
-    met = looked_up.join(index, "key").where(same & ends & starts)
+    met = looked_up.join(index.drop("keyed"), "key").where(same & ends & starts)
     return met.select(*columns, *terms.columns).distinct()
