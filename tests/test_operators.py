@@ -247,3 +247,26 @@ def test_cluster_queries_equal_all_pairs(spark, sf_dir):
         anchor = {g: min(r[3] for r in rows if group[r[0]] == g) for g in set(group.values())}
         want = {r[0]: hashlib.sha256(f"{r[1]}|{anchor[group[r[0]]]}".encode()).hexdigest()[:16] for r in rows}
         assert {r.page_id: r.cluster_id for r in QUERIES[name](spark, sf_dir).collect()} == want
+
+
+def test_alike_edges_are_few_and_the_same_in_any_blocks(spark):
+    """Copies and rows without a time give as many edges as rows (all pairs before), and small blocks link what large ones do."""
+    from tidemark.operators import similar
+
+    copies = spark.range(600).selectExpr("id AS k", "'x' AS g", "IF(id % 3 = 0, NULL, timestamp'2024-01-01' + make_dt_interval(0, int(id % 40))) AS t", "concat('the plant opens ', id % 20) AS title", "array('plant', 'opens') AS items")
+    for edges in (similar.title_edges(copies, "g", "k", "t", "title", "items"), similar.event_edges(copies, "g", "k", "t", "title", "items", block=8)):
+        edges = graph.stored(edges, "few")
+        assert edges.count() < 3 * 600
+        assert graph.least_labels(edges).select("component").distinct().count() == 1
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcd ") for _ in range(150))
+    rows = []
+    for k in range(90):
+        at = rnd.randint(0, 150)
+        title = None if k % 15 == 0 else long[:at] + long[at + rnd.randint(0, 80) :] if k % 2 else "".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 9)))
+        rows.append((k, "xy"[k % 2], None if k % 11 == 0 else rnd.randint(0, 40) * 43_200, title, sorted(set(rnd.choices("pqrstuvw", k=rnd.randint(0, 2))))))
+    rows.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    table = spark.createDataFrame([(*r[:2], None if r[2] is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r[2]), *r[3:]) for r in rows], "k int, g string, t timestamp, title string, items array<string>")
+    same = lambda a, b: len(set(a[4]) & set(b[4])) >= 2 or (a[3] is not None and b[3] is not None and SequenceMatcher(None, a[3], b[3]).ratio() >= 0.82)
+    labels = {r.node: r.component for r in graph.least_labels(similar.event_edges(table, "g", "k", "t", "title", "items", block=3)).collect()}
+    assert {r[0]: labels.get(r[0], r[0]) for r in rows} == clusters_by_hand(rows, same)

@@ -1,105 +1,203 @@
-"""Pairs of articles of one company and time that are alike, found by joining on their rarer items.
+"""Pairs of articles of one company and time that are alike, for clusters.
 
-An article's items are what its similarity counts: words of its title, event keywords, or the characters of its title with
-their occurrences (the second "a" is another item than the first).  Two articles that are alike have so many items in common
-that, with items put in order from rare to frequent, they share one among their first few: those few are the keys of an
-equi-join, and what meets is tested exactly.
+Articles of one title, items (words of the title, event keywords) and band of time are alike and near, so they are one node.
+Nodes that may be near share a cell (company and band); a cell is dealt out in blocks, and a task compares two blocks.  Before
+the sequence ratio of two titles is computed, their longest common subsequence bounds it, 64 characters at a time in words of
+64 bits.  Of the edges of two blocks as many come back as keep linked what they link: clusters need no more.
 
-Rows without a time are near all of their company; they meet them by the same keys, so they form no pairs of all rows either.
+Rows without a time are near all of their company: their cell holds them and each dated title once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .articles import sequence_ratio
+from .graph import stored
 
 SPAN = 259_200
-
-
-def characters(title: Column) -> Column:
-    """Characters of a title; the empty title has one item of its own."""
-    return F.when(title == "", F.array(F.lit(""))).otherwise(F.filter(F.split(title, ""), lambda c: c != ""))
-
-
-def rare_items(rows: DataFrame, key: str, items: Column, kept: Column) -> DataFrame:
-    """(key, item): of each row's items the first ones from rare to frequent; ``kept`` says how many of ``n`` items.
-
-    An item that a row has several times is as many items, by occurrence.
+BLOCK = 1_000
+
+#: Characters of a title that the bound looks at; the others count as common.
+_BOUNDED = 512
+#: Items that are counted in one product.
+_ITEMS = 4_096
+
+
+def common_characters(titles: list[str]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a title's place and those of others: no less than the length of the longest common subsequence with each."""
+    short = [t[:_BOUNDED] for t in titles]
+    width = max(map(len, short), default=0)
+    text = np.array(short, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(short), -1)
+    values, codes = np.unique(text, return_inverse=True)
+    lengths = np.array([len(t) for t in short], dtype=np.int64)
+    codes = np.where(np.arange(text.shape[1]) < lengths[:, None], codes.reshape(text.shape), len(values)).T.copy()  # the last code is in no title
+    beyond = np.array([len(t) for t in titles], dtype=np.int64) - lengths
+
+    def bound(k: int, others: np.ndarray) -> np.ndarray:
+        total = beyond[k] + beyond[others]
+        columns = codes[: lengths[others].max(initial=0), others]
+        for start in range(0, int(lengths[k]), 64):
+            part = codes[start : min(start + 64, int(lengths[k])), k]
+            places = np.zeros(len(values) + 1, dtype=np.uint64)
+            for at, code in enumerate(part):
+                places[code] |= np.uint64(1 << at)
+            row = np.full(len(others), 2**64 - 1, dtype=np.uint64)
+            for mask in places[columns]:
+                hit = row & mask
+                row = (row + hit) | (row - hit)
+            total = total + np.bitwise_count(~row & np.uint64((1 << len(part)) - 1))
+        return total
+
+    return bound
+
+
+def common_items(first: list, second: list) -> np.ndarray:
+    """Numbers of common items of each of ``first`` with each of ``second``."""
+    shared = sorted({i for items in first for i in items} & {i for items in second for i in items})
+    place = {item: k for k, item in enumerate(shared)}
+    common = np.zeros((len(first), len(second)), dtype=np.float32)
+    for start in range(0, len(shared), _ITEMS):
+        marked = []
+        for side in (first, second):
+            marks = np.zeros((len(side), min(_ITEMS, len(shared) - start)), dtype=np.float32)
+            for k, items in enumerate(side):
+                at = [place[i] - start for i in items if i in place and start <= place[i] < start + _ITEMS]
+                marks[k, at] = 1
+            marked.append(marks)
+        common += marked[0] @ marked[1].T
+    return common
+
+
+def linked(cell: pd.DataFrame, ratio: float, seconds: int, by_items: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Places of nodes that are alike, as a forest: of two blocks (``role``), or of the first one with itself as well (``own``)."""
+    cell = cell.reset_index(drop=True)
+    n = len(cell)
+    x, y = np.flatnonzero(cell["role"] == 0), np.flatnonzero(cell["role"] == 1)
+    others = np.concatenate([x, y]) if bool(cell["own"].iloc[0]) else y
+    if not len(x) or not len(others):
+        return []
+    titled = cell["title"].notna().to_numpy()
+    titles = cell["title"].fillna("").tolist()
+    items = [list(i) for i in cell["items"]]
+    size = np.array([len(i) for i in items])
+    length = np.array([len(t) for t in titles])
+    lo, hi = cell["lo"].to_numpy(dtype=float), cell["hi"].to_numpy(dtype=float)
+    near = (lo[others] - hi[x][:, None] <= seconds) & (lo[x][:, None] - hi[others] <= seconds) & (x[:, None] != others)
+    common = common_items([items[k] for k in x], [items[k] for k in others])
+    alike = near & by_items(common, size[x][:, None] + size[others] - common)
+    label = np.arange(n)
+    edges = []
+
+    def join(a: int, b: int) -> None:
+        label[label == label[b]] = label[a]
+        edges.append((a, b))
+
+    for row, a in enumerate(x):
+        found = others[alike[row]]
+        for b in found[label[found] != label[a]]:
+            if label[a] != label[b]:
+                join(a, b)
+    first, last = list(zip(cell["first_time"], cell["first_key"], strict=True)), list(zip(cell["last_time"], cell["last_key"], strict=True))
+    bound = common_characters(titles)
+    for row, a in enumerate(x):
+        both = length[a] + length[others]
+        left = near[row] & titled[a] & titled[others] & (label[others] != label[a]) & (2 * np.minimum(length[a], length[others]) >= ratio * both - 1e-9)
+        if len(others) > len(y):
+            left[: row + 1] = False  # pairs of one block come once
+        left = others[left]
+        if not len(left):
+            continue
+        for b in left[2 * bound(a, left) >= ratio * (length[a] + length[left]) - 1e-9]:
+            if label[a] == label[b]:
+                continue
+            if (first[a] < last[b] and SequenceMatcher(None, titles[a], titles[b]).ratio() >= ratio) or (first[b] < last[a] and SequenceMatcher(None, titles[b], titles[a]).ratio() >= ratio):
+                join(a, b)
+    return edges
+
+
+def _cells(nodes: DataFrame, cell: list[str], block: int) -> DataFrame:
+    """Nodes with ``side`` 0 or 1 by the pairs of blocks in which they are compared: side 0 with itself and with side 1."""
+    sizes = nodes.groupBy(*cell).agg(*[F.greatest(F.ceil(F.count_if(F.col("side") == s) / block), F.lit(1)).cast("int").alias(f"n{s}") for s in (0, 1)])
+    dealt = nodes.join(sizes, cell)
+    spread = F.xxhash64("title", "items", "first_key")
+    place = F.pmod(spread, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    to = lambda kind, i, j, role: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    p = F.col("place")
+    within = F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda k: F.when(k > p, to(0, p, k, 0)).when(k < p, to(0, k, p, 1)))
+    across = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda k: to(1, p, k, 0))
+    pairs = F.when(F.col("side") == 0, F.concat(F.filter(within, lambda s: s.isNotNull()), across)).otherwise(F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda k: to(1, k, p, 1)))
+    out = dealt.withColumn("place", place).select("*", F.explode(pairs).alias("to")).select(*cell, "to.*", *NODE)
+    return out.withColumn("own", (F.col("kind") == 1) & (F.col("j") == 0))
+
+
+#: Columns of a node: its title and items, seconds of its first and last row (without bounds for rows without a time), and these rows in order.
+NODE = ["title", "items", "lo", "hi", "first_time", "first_key", "last_time", "last_key"]
+
+
+def _compared(nodes: DataFrame, cell: list[str], ratio: float, seconds: int, by_items: Callable, block: int) -> DataFrame:
+    """(src, dst): first keys of nodes that are alike."""
+    kind = nodes.schema["first_key"].dataType.simpleString()
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("role", kind="stable").reset_index(drop=True)
+        edges = linked(pdf, ratio, seconds, by_items)
+        keys = pdf["first_key"]
+        return pd.DataFrame({"src": keys.iloc[[a for a, _ in edges]].to_numpy(), "dst": keys.iloc[[b for _, b in edges]].to_numpy()})
+
+    return _cells(nodes, cell, block).groupBy(*cell, "kind", "i", "j").applyInPandas(lambda pdf: compare(pdf), f"src {kind}, dst {kind}")
+
+
+def alike_edges(rows: DataFrame, group: str, key: str, time: str, title: str, items: str, *, ratio: float, by_items: Callable[[np.ndarray, np.ndarray], np.ndarray], seconds: int = SPAN, block: int = BLOCK) -> DataFrame:
+    """(src, dst) that link what pairs of one group link which are at most ``seconds`` apart and alike: by the ratio of their titles
+    (the earlier first, rows without a time before all, then by key) or by the numbers of common and of united items.
+
+    ``items`` are distinct; equal titles have a ratio of 1.
     """
-    counted = rows.select(key, F.explode(items).alias("item")).groupBy(key, "item").agg(F.count("*").alias("times"))
-    single = counted.select(key, "item", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth")).select(key, F.struct("item", "nth").alias("item"))
-    frequency = single.groupBy("item").agg(F.count("*").alias("f"))
-    listed = single.join(frequency, "item").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("s")).withColumn("n", F.size("s"))
-    first = F.slice("s", F.lit(1), kept.cast("int"))
-    return listed.where(kept >= 1).select(key, F.explode(F.transform(first, lambda x: x["item"])).alias("item"))
-
-
-def meeting_pairs(rows: DataFrame, keyed: DataFrame, group: str, key: str, time: str, seconds: int = SPAN) -> DataFrame:
-    """Distinct (a, b): keys of rows of one group that share an item of ``keyed`` and stand at most ``seconds`` apart, a before b
-    (by time, rows without one first, then by key)."""
     at = F.unix_timestamp(F.col(time).cast("timestamp"))
-    items = rows.select(group, key, at.alias("at"), F.col(time).alias("time")).join(keyed, key)
-    side = lambda name, df, *more: df.select(group, "item", F.col(key).alias(name), F.col("at").alias(f"{name}_at"), F.col("time").alias(f"{name}_time"), *more)
-    dated = items.where("at is not null").withColumn("band", F.floor(F.col("at") / seconds))
-    a, b = side("a", dated, "band"), side("b", dated.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))), "band")
-    order = (F.col("a_time") < F.col("b_time")) | ((F.col("a_time") == F.col("b_time")) & (F.col("a") < F.col("b")))
-    near = a.join(b, [group, "band", "item"]).where(order & (F.col("b_at") - F.col("a_at") <= seconds)).select("a", "b")
-    undated = side("a", items.where("at is null")).join(side("b", items), [group, "item"]).where(F.col("b_at").isNotNull() | (F.col("a") < F.col("b"))).select("a", "b")
-    return near.unionByName(undated).distinct()
-
-
-def ratio_keys(rows: DataFrame, key: str, title: str, least: float) -> DataFrame:
-    """Items by which titles with a sequence ratio of ``least`` and more meet.
-
-    The ratio is 2 m / (la + lb) with m matched characters, and m is at most what the two have in common by counts; so a pair
-    has at least least / (2 - least) of either one's characters in common, and shares one of the rarest others and one more.
-    """
-    n = F.col("n")
-    return rare_items(rows, key, characters(F.col(title)), n - F.ceil(n * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1)
-
-
-def compared(pairs: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with the rows' columns as a_<column> and b_<column>."""
-    side = lambda name: rows.select(F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b")
-
-
-def by_ratio(pairs: DataFrame, title: str, least: float) -> DataFrame:
-    """Of compared pairs those whose titles have the ratio; lengths and common characters are looked at before."""
-    first, second = F.col(f"a_{title}"), F.col(f"b_{title}")
-    close = pairs.where(2 * F.least(F.length(first), F.length(second)) >= least * (F.length(first) + F.length(second)))
-    return close.where(sequence_ratio(first, second) >= least)
-
-
-def title_edges(rows: DataFrame, group: str, key: str, time: str, title: str, tokens: str, *, ratio: float = 0.72) -> DataFrame:
+    alone = F.when(F.col(title).isNull(), F.col(key)).alias("alone")  # rows without a title are alike by their items only
+    what = F.struct(F.col(title).alias("title"), F.array_sort(F.coalesce(F.col(items), F.array().cast("array<string>"))).alias("items"), alone)
+    own = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(group).alias("g"), what.alias("what"), F.struct(F.floor(at / seconds).alias("band")).alias("b"), F.col(key).alias("key"), at.alias("at"), F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-(2**63)).cast("long")).alias("t")
+    )  # nulls in a struct are equal
+    row = F.struct("t", "key")
+    grouped = own.groupBy("g", "what", "b").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    open_ends = [F.coalesce(F.col("lo").cast("double"), F.lit(float("-inf"))).alias("lo"), F.coalesce(F.col("hi").cast("double"), F.lit(float("inf"))).alias("hi")]
+    ends = [F.col(f"{end}.{part}").alias(f"{end}_{name}") for end in ("first", "last") for part, name in (("t", "time"), ("key", "key"))]
+    nodes = stored(grouped.select("g", "what", "what.title", "what.items", "b", "b.band", *ends, *open_ends), "nodes")
+    copies = own.join(nodes.select("g", "what", "b", F.col("first_key").alias("dst")), ["g", "what", "b"]).where("key <> dst").select(F.col("key").alias("src"), "dst")
+
+    dated, undated = nodes.where("band is not null"), nodes.where("band is null").withColumn("side", F.lit(0))
+    sides = F.explode(F.array(F.struct(F.col("band").alias("cell"), F.lit(0).alias("side")), F.struct((F.col("band") - 1).alias("cell"), F.lit(1).alias("side"))))
+    in_bands = _compared(dated.withColumn("s", sides).select("g", "s.cell", "s.side", *NODE), ["g", "cell"], ratio, seconds, by_items, block)
+
+    # a dated title stands once in the cell without a time, with all its rows behind it where it is alike with one of those
+    first, last = F.min(F.struct("first_time", "first_key")).alias("first"), F.max(F.struct("last_time", "last_key")).alias("last")
+    once = dated.groupBy("g", "what").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), first, last).select("g", "what", "what.title", "what.items", "lo", "hi", "first.*", "last.*", F.lit(1).alias("side"))
+    met = undated.select("g").distinct()
+    without = stored(_compared(undated.select("g", "side", *NODE).unionByName(once.select("g", "side", *NODE).join(met, "g", "left_semi")), ["g"], ratio, seconds, by_items, block), "undated")
+    found = without.select(F.explode(F.array("src", "dst")).alias("first_key")).distinct()
+    named = once.join(found, "first_key", "left_semi").select("g", "what", F.col("first_key").alias("src"))
+    behind = dated.select("g", "what", F.col("first_key").alias("dst")).join(named, ["g", "what"]).where("src <> dst").select("src", "dst")
+    return copies.unionByName(in_bands).unionByName(without).unionByName(behind)
+
+
+def title_edges(rows: DataFrame, group: str, key: str, time: str, title: str, tokens: str, *, ratio: float = 0.72, block: int = BLOCK) -> DataFrame:
     """(src, dst): articles of one event by their titles alone: ratio, Jaccard 0.5, or three common tokens and Jaccard 0.25.
 
-    ``tokens`` are distinct words.  Of n words the min(2, ceil(n / 2) - 1) most frequent ones are no keys: a pair with more in
-    common than either leaves out shares a key, and fewer reach neither bound.
+    ``tokens`` are distinct words.
     """
-    titled = rows.where(F.col(title) != "")
-    n = F.col("n")
-    words = rare_items(titled, key, F.col(tokens), n - F.least(F.lit(2), F.ceil(n / 2) - 1))
-    common = F.size(F.array_intersect(f"a_{tokens}", f"b_{tokens}"))
-    united = F.size(f"a_{tokens}") + F.size(f"b_{tokens}") - common
-    met = compared(meeting_pairs(titled, words, group, key, time), titled, key, [tokens])
-    alike = met.where((common > 0) & ((2 * common >= united) | ((common >= 3) & (4 * common >= united)))).select("a", "b")
-    written = by_ratio(compared(meeting_pairs(titled, ratio_keys(titled, key, title, ratio), group, key, time), titled, key, [title]), title, ratio).select("a", "b")
-    return alike.unionByName(written).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return alike_edges(rows.where(F.col(title) != ""), group, key, time, title, tokens, ratio=ratio, block=block, by_items=lambda common, united: (common > 0) & ((2 * common >= united) | ((common >= 3) & (4 * common >= united))))
 
 
-def event_edges(rows: DataFrame, group: str, key: str, time: str, title: str, keywords: str, *, ratio: float = 0.82) -> DataFrame:
-    """(src, dst): articles of one event by two common keywords (distinct ones) or the ratio of their titles.
-
-    The most frequent keyword of each is no key: a pair with two in common shares another one.
-    """
-    words = rare_items(rows, key, F.col(keywords), F.col("n") - 1)
-    met = compared(meeting_pairs(rows, words, group, key, time), rows, key, [keywords])
-    alike = met.where(F.size(F.array_intersect(f"a_{keywords}", f"b_{keywords}")) >= 2).select("a", "b")
-    written = by_ratio(compared(meeting_pairs(rows, ratio_keys(rows, key, title, ratio), group, key, time), rows, key, [title]), title, ratio).select("a", "b")
-    return alike.unionByName(written).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def event_edges(rows: DataFrame, group: str, key: str, time: str, title: str, keywords: str, *, ratio: float = 0.82, block: int = BLOCK) -> DataFrame:
+    """(src, dst): articles of one event by two common keywords (distinct ones) or the ratio of their titles."""
+    return alike_edges(rows, group, key, time, title, keywords, ratio=ratio, block=block, by_items=lambda common, united: common >= 2)
 
 
 def cluster_id(group: Column, anchor: Column) -> Column:
