@@ -251,3 +251,13 @@ def test_roots_settings_and_private_samples(spark, tmp_path):
         assert sorted((r.stock_code, r.id, r.text) for r in sinks.read_private_samples(spark, path).collect()) == [("0008Z0", "3", "c"), ("005930", "1", "a\nb\n"), ("005930", "2", "again")]
     finally:
         spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+
+
+def test_message_flow_builds_the_named_tables_only(spark, sf_dir):
+    from tidemark.plans import portfolio
+
+    whole = portfolio.run_results(spark, sf_dir)
+    for name in ("quarters", "disclosures"):
+        one = portfolio.run_results(spark, sf_dir, name)
+        assert list(one) == [name]
+        assert sorted(map(tuple, one[name].collect()), key=repr) == sorted(map(tuple, whole[name].collect()), key=repr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,27 +122,41 @@ def event_index(companies: DataFrame, events: DataFrame, k: int = 3) -> DataFram
     return companies.select("stock_code", "company_name").join(totals, "stock_code", "left").join(listed, "stock_code", "left").na.fill({"event_count": 0})
 
 
-def message_flow(messages: DataFrame, companies: DataFrame, held_quarters: DataFrame | None = None, held_disclosures: DataFrame | None = None) -> dict[str, DataFrame]:
+#: Tables of a message run.
+MESSAGE_TABLES = ("quarters", "disclosures", "quarantine", "companies", "totals")
+
+
+def message_flow(messages: DataFrame, companies: DataFrame, held_quarters: DataFrame | None = None, held_disclosures: DataFrame | None = None, tables: Sequence[str] = MESSAGE_TABLES) -> dict[str, DataFrame]:
     """Messages (id, text, date) of a run into held tables: quarters, disclosures, quarantine, companies, totals.
 
     Messages are routed to companies (stock_code, terms, requires_code), once each; the assigned ones are parsed, and the parse,
     which all tables read, is written once.  What the parser does not know, messages that state no code themselves and those that
-    state another company's go to quarantine.  ``companies`` has the counts of each company, ``totals`` one row of the run.
+    state another company's go to quarantine.  ``companies`` has the counts of each company, ``totals`` one row of the run.  Work
+    that none of the named ``tables`` reads is left out.
     """
     batch = messages.dropDuplicates(["id"])
-    routes = cut(M.routed(batch, companies))
+    routes = stored(M.routed(batch, companies), "routes")
     assigned = routes.where("status = 'assigned'").select("id", F.col("stock_code").alias("target"))
-    mine = batch.join(assigned, "id")
+    mine = stored(batch.join(assigned.select("id"), "id"), "assigned")  # the parse reads it three times
     parsed = P.parsed_messages(mine).join(assigned, "id")
     problem = F.when(F.col("classification") == "unknown", "parse_unknown").when(F.col("stock_code").isNull(), "parsed_code_missing").when(F.col("stock_code") != F.col("target"), "parsed_code_target_mismatch")
-    judged = cut(parsed.withColumn("problem", problem))
+    judged = stored(parsed.withColumn("problem", problem), "judged")
     good = judged.where("problem is null").drop("problem", "target")
-    fresh_quarters, fresh_disclosures = cut(final_quarters(good)), cut(disclosures(good))
-    quarters = fresh_quarters if held_quarters is None else merged_quarters(held_quarters, fresh_quarters)
-    listed = fresh_disclosures if held_disclosures is None else merged_disclosures(held_disclosures, fresh_disclosures)
-    per_company = message_results(companies, judged, fresh_quarters, fresh_disclosures, held_disclosures)
-    quarantine = cut(quarantined(batch, routes, judged))
-    return {"quarters": quarters, "disclosures": listed, "quarantine": quarantine, "companies": per_company, "totals": message_totals(batch, per_company, routes, quarantine)}
+    out = {}
+    counted = "companies" in tables or "totals" in tables
+    fresh_quarters = stored(final_quarters(good), "quarters") if counted or "quarters" in tables else None
+    fresh_disclosures = stored(disclosures(good), "disclosures") if counted or "disclosures" in tables else None
+    if "quarters" in tables:
+        out["quarters"] = fresh_quarters if held_quarters is None else merged_quarters(held_quarters, fresh_quarters)
+    if "disclosures" in tables:
+        out["disclosures"] = fresh_disclosures if held_disclosures is None else merged_disclosures(held_disclosures, fresh_disclosures)
+    if counted:
+        out["companies"] = message_results(companies, judged, fresh_quarters, fresh_disclosures, held_disclosures)
+    if "quarantine" in tables or "totals" in tables:
+        out["quarantine"] = stored(quarantined(batch, routes, judged), "quarantine")
+    if "totals" in tables:
+        out["totals"] = message_totals(batch, out["companies"], routes, out["quarantine"])
+    return {name: out[name] for name in tables}
 
 
 def quarantined(messages: DataFrame, routes: DataFrame, judged: DataFrame) -> DataFrame:
@@ -197,7 +213,7 @@ def message_totals(messages: DataFrame, results: DataFrame, routes: DataFrame, q
 def final_quarters(parsed: DataFrame) -> DataFrame:
     """Policy 'final wins' with history and conflicts, the last eight quarters of each company."""
     values = [*P.METRICS, *[f"{m}_consensus" for m in P.METRICS]]
-    found = cut(P.candidates(parsed))  # read three times below
+    found = stored(P.candidates(parsed), "candidates")  # read three times below
     picked = series.final_wins(found, ["stock_code", "fiscal_quarter"], "provisional", [F.col("disclosure_datetime").desc_nulls_last(), F.col("id").desc(), F.col("forecasts").desc()])
     history = series.version_history(found, ["stock_code", "fiscal_quarter"], [*values, "provisional", "corrected"], "id")
     distinct = found.groupBy("stock_code", "fiscal_quarter").agg((F.count_distinct(F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])) > 1).alias("conflict"))
