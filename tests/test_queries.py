@@ -75,3 +75,21 @@ def test_names_of_six_digit_keys_state_no_code(spark, tmp_path):
         frame, result = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLES[name])
         names = [d[0] for d in result.description]
         assert rows(map(tuple, frame.select(*names).collect())) == rows(result.fetchall()), name
+
+
+def test_lines_are_not_counted_by_owner(spark, tmp_path):
+    """Orders with two owners are found without lines being joined and grouped, which took memory with all of them."""
+    con = duckdb.connect()
+    for t in TABLES:
+        path = Path(SMALL, f"{t}.parquet")
+        Path(tmp_path, path.name).symlink_to(path) if t != "orders" else None
+    con.execute(f"copy (select * from '{SMALL}/orders.parquet' union all select * replace (o_custkey + 1 as o_custkey) from '{SMALL}/orders.parquet' where o_orderkey % 7 = 0) to '{tmp_path}/orders.parquet' (format parquet)")
+    for t in TABLES:
+        path = Path(tmp_path, f"{t}.parquet")
+        con.execute(f"create view {t} as select * from '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    frame, result = QUERIES["integrity_findings"](spark, str(tmp_path)), con.execute(ORACLES["integrity_findings"])
+    names = [d[0] for d in result.description]
+    wanted = rows(result.fetchall())
+    assert rows(map(tuple, frame.select(*names).collect())) == wanted and any("several_owners" in r for r in wanted)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_orderkey" not in plan
