@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import parser
-from tidemark.plans import flows
+from tidemark.plans import flows, news
 from tidemark.sources import files, sinks
 
 REPORT = (
@@ -261,3 +261,11 @@ def test_message_flow_builds_the_named_tables_only(spark, sf_dir):
         one = portfolio.run_results(spark, sf_dir, name)
         assert list(one) == [name]
         assert sorted(map(tuple, one[name].collect()), key=repr) == sorted(map(tuple, whole[name].collect()), key=repr)
+
+
+def test_rejects_of_a_news_run_write_no_articles(spark, sf_dir, monkeypatch):
+    """What only the index needs is left out where the rejects are asked for, and the other way round."""
+    written = []
+    monkeypatch.setattr(news, "stored", lambda df, name="table", store=news.stored: (written.append(name), store(df, name))[1])
+    assert news.news_rejects(spark, sf_dir).count() > 0
+    assert written == ["companies"]

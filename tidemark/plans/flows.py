@@ -29,14 +29,14 @@ def event_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(value, F.lit("yyyyMMdd'T'HHmmssX")), F.try_to_timestamp(value, F.lit("yyyyMMdd'T'HHmmss")), value.try_cast("timestamp"), rfc)
 
 
-def normalized_articles(raw: DataFrame, companies: DataFrame, provider: str, collected_at: str) -> DataFrame:
-    """Standard articles of raw items (stock_code, title, description, url, published_at, language)."""
+def normalized_articles(raw: DataFrame, companies: DataFrame, provider: str, collected_at: str, beside: Sequence[str] = ()) -> DataFrame:
+    """Standard articles of raw items (stock_code, title, description, url, published_at, language), with the columns of their company named in ``beside``."""
     names = F.concat(F.coalesce("aliases", F.array()), F.coalesce("english_aliases", F.array()))
-    joined = raw.join(companies, "stock_code")
-    title = T.clean_markup(F.col("title"))
-    rows = joined.withColumns({"title": title, "description": T.clean_markup(F.coalesce("description", F.lit(""))), "canonical_url": T.normalize_url(F.col("url")), "names": names})
-    domain = T.canonical_domain(F.regexp_extract("canonical_url", "^https://([^/?]+)", 1))
-    rows = rows.withColumns({"normalized_title": T.normalize_title(F.col("title")), "source_domain": domain, "matched_title": T.longest_alias(F.col("title"), F.col("names")), "combined": T.normalize_title(F.concat_ws(" ", "title", "description"))})
+    # texts are normalised before the join: a filter on both sides of one may hold no Python function
+    clean = raw.withColumns({"title": T.clean_markup(F.col("title")), "description": T.clean_markup(F.coalesce("description", F.lit(""))), "canonical_url": T.normalize_url(F.col("url"))}).drop("url")
+    clean = clean.withColumns({"normalized_title": T.normalize_title(F.col("title")), "combined": T.normalize_title(F.concat_ws(" ", "title", "description"))})
+    rows = clean.join(companies.withColumn("names", names), "stock_code")
+    rows = rows.withColumns({"source_domain": T.canonical_domain(F.regexp_extract("canonical_url", "^https://([^/?]+)", 1)), "matched_title": T.longest_alias(F.col("title"), F.col("names"))})
     tier = F.when(T.domain_in(F.col("source_domain"), F.coalesce("official_sources", F.array())), "official").when(T.domain_in(F.col("source_domain"), F.coalesce("major_source_domains", F.array())), "tier1").otherwise("other")
     hits = F.size(F.filter(F.coalesce("important_keywords", F.array()), lambda k: F.contains(F.col("combined"), F.lower(k))))
     base = F.when(F.col("matched_title").isNotNull(), 80).when(T.longest_alias(F.col("description"), F.col("names")).isNotNull(), 35).otherwise(0)
@@ -47,7 +47,7 @@ def normalized_articles(raw: DataFrame, companies: DataFrame, provider: str, col
         "title", "normalized_title", F.col("canonical_url").alias("url"), "canonical_url", "source_domain", F.col("source_domain").alias("source_name"), F.col("published_at").alias("published_at_raw"), event_time(F.col("published_at")).alias("published_at"),
         F.lit(collected_at).alias("collected_at"), language.alias("language"), F.when(domestic, "domestic").otherwise("international").alias("region"), F.coalesce("matched_title", T.longest_alias(F.col("description"), F.col("names"))).alias("matched_alias"),
         T.ruled_categories(F.col("combined")).alias("categories"), T.event_signals(F.col("normalized_title")).alias("event_keywords"), (tier == "official").alias("official_source"), tier.alias("source_tier"),
-        F.least(F.lit(100), base + F.least(F.lit(20), hits * 4)).alias("relevance_score"),
+        F.least(F.lit(100), base + F.least(F.lit(20), hits * 4)).alias("relevance_score"), *beside,
     )
 
 
@@ -57,14 +57,15 @@ def deduplicated(articles: DataFrame) -> DataFrame:
     placed = articles.dropDuplicates(["stock_code", "published_at", "article_id"]).withColumn("position", F.struct("published_at", "article_id"))
     merged = A.greedy_deduplicated(placed, "stock_code", "canonical_url", "normalized_title", "position")
     better = F.struct(F.when(F.col("position") == F.col("kept_position"), F.when(F.col("source_tier") == "other", 1).otherwise(0)).when(F.col("source_tier").isin("official", "tier1"), 0).otherwise(2).alias("k"), F.col("position").alias("p"))
-    pick = lambda c: F.min_by(c, better).alias(c)
-    own = lambda c: F.min_by(c, F.struct((F.col("position") != F.col("kept_position")).cast("int").alias("k"), F.col("position").alias("p"))).alias(c)
+    own = F.struct((F.col("position") != F.col("kept_position")).cast("int").alias("k"), F.col("position").alias("p"))
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     taken = ["url", "canonical_url", "source_domain", "source_name", "source_tier", "official_source"]
     arrays = ["providers", "event_keywords", "categories"]
     kept = [c for c in articles.columns if c not in (*taken, *arrays, "stock_code", "provider")]
-    out = merged.groupBy("stock_code", "kept_position").agg(*[own(c) for c in [*kept, "provider"]], *[pick(c) for c in taken], *[united(c) for c in arrays])
-    return out.withColumn("provider", F.when(F.size("providers") > 1, "both").otherwise(F.col("provider"))).drop("kept_position").select(articles.columns)
+    # whole rows are picked: a buffer of each column would carry its order with it
+    rows = merged.groupBy("stock_code", "kept_position").agg(F.min_by(F.struct(*kept, "provider"), own).alias("own"), F.min_by(F.struct(*taken), better).alias("taken"), *[united(c) for c in arrays])
+    out = rows.select("stock_code", "own.*", "taken.*", *arrays)
+    return out.withColumn("provider", F.when(F.size("providers") > 1, "both").otherwise(F.col("provider"))).select(articles.columns)
 
 
 def same_event_edges(articles: DataFrame) -> DataFrame:
@@ -80,16 +81,16 @@ def news_events(articles: DataFrame, companies: DataFrame, now: Column) -> DataF
     clustered = labelled.withColumn("cluster", F.coalesce("component", "article_id") if "component" in labelled.columns else F.col("article_id"))
     tier = F.when(F.col("source_tier") == "official", 4).when(F.col("source_tier") == "tier1", 3).otherwise(1)
     order = F.struct((-tier).alias("a"), F.when((F.col("region") == "domestic") & (F.col("source_tier") == "tier1"), -1).otherwise(0).alias("b"), F.when(F.col("matched_alias").isNotNull(), -1).otherwise(0).alias("c"), F.coalesce(F.col("published_at"), F.lit("9999-12-31").cast("timestamp")).alias("d"), F.col("article_id").alias("e"))
-    best = lambda c: F.min_by(c, order)
+    best = {"company_name": "company_name", "representative_title": "title", "representative_url": "url", "canonical": "canonical_url", "representative_source": "source_name", "representative_language": "language", "alias": "matched_alias", "norm": "normalized_title"}
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     shown = F.struct(F.col("published_at_raw").alias("published_at"), "title", "url", F.col("source_name").alias("source"), "source_domain", "language", "region", F.when(F.size("providers") > 1, "BOTH").otherwise(F.upper("provider")).alias("provider"))
     events = clustered.groupBy("stock_code", "cluster").agg(
-        best("company_name").alias("company_name"), best("title").alias("representative_title"), best("url").alias("representative_url"), best("canonical_url").alias("canonical"), best("source_name").alias("representative_source"), best("language").alias("representative_language"), best("matched_alias").alias("alias"), best("normalized_title").alias("norm"),
+        F.min_by(F.struct(*[F.col(c).alias(name) for name, c in best.items()]), order).alias("best"),
         F.min("published_at").alias("first_published_at"), F.max("published_at").alias("last_published_at"), F.count("*").cast("int").alias("article_count"), F.count_if(F.col("region") == "domestic").cast("int").alias("domestic_article_count"), F.count_if(F.col("region") == "international").cast("int").alias("international_article_count"),
         united("providers").alias("providers"), F.array_sort(F.collect_set("source_domain")).alias("source_domains"), united("categories").alias("categories"), united("event_keywords").alias("event_keywords"),
         F.bool_or("official_source").alias("official"), F.bool_or(F.col("source_tier") == "tier1").alias("tier1"), F.size(F.collect_set(F.when(F.col("source_tier").isin("official", "tier1"), F.col("source_domain")))).alias("trusted"),
         F.array_join(F.collect_list("normalized_title"), " ").alias("titles"), F.sort_array(F.collect_list(shown), asc=False).alias("articles"),
-    ).join(companies.select("stock_code", F.coalesce("important_keywords", F.array()).alias("keywords")), "stock_code", "left")
+    ).select("stock_code", "best.*", "*").drop("best").join(companies.select("stock_code", F.coalesce("important_keywords", F.array()).alias("keywords")), "stock_code", "left")
     hits = F.size(F.filter(F.array_distinct(F.transform("keywords", lambda k: F.lower(k))), lambda k: F.contains(F.col("titles"), k)))
     age = F.unix_timestamp(now) - F.unix_timestamp("last_published_at")
     score = A.score_event(
@@ -103,9 +104,9 @@ def news_events(articles: DataFrame, companies: DataFrame, now: Column) -> DataF
     }).drop("cluster", "canonical", "alias", "norm", "official", "tier1", "trusted", "titles", "keywords")
 
 
-def merged_events(existing: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
-    """New events over existing ones, then retention by level, age and cap."""
-    both = upserted(existing, fresh, ["stock_code", "cluster_id"])
+def merged_events(existing: DataFrame | None, fresh: DataFrame, now: Column) -> DataFrame:
+    """New events over existing ones, if there are any, then retention by level, age and cap."""
+    both = fresh if existing is None else upserted(existing, fresh, ["stock_code", "cluster_id"])
     bucket = F.lit("low")
     for level, name in LEVEL_BUCKET.items():
         bucket = F.when(F.col("importance_level") == level, name).otherwise(bucket)
