@@ -74,6 +74,32 @@ def test_earnings_flow(spark):
     assert parser.split_files(table.where("folder_code = '000660' and first_copy")).count() == 2
 
 
+def test_messages_are_parsed_within_their_rows(messages):
+    """Lines were exploded, grouped and joined again by message, so texts were shuffled with every branch of the parse."""
+    found = parser.candidates(parser.parsed_messages(messages))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.where("id = 1").count() == 3
+
+
+def test_earnings_run_of_several_messages_in_a_file(spark):
+    """Parts are read where each has earnings, else the whole; a run builds the tables that are asked for."""
+    from tidemark.plans import earnings
+
+    part = "기업명: {0}\n메시지 ID: {1}\n매출액 {1}억\n2026 Q{1} 1억 1억 1억"
+    both, half = part.format("가", 1) + "\n" + part.format("가", 2), part.format("나", 1) + "\n기업명: 나\n메시지 ID: 2\n누적 소식"
+    texts = {"1/a": both, "1/b": both, "2/a": half, "2/b": " \n", "3/a": part.format("다", 1), "2/c": part.format("가", 3)}
+    files = spark.createDataFrame([(p, p[0], t, "utf-8-sig", str(hash(t))) for p, t in texts.items()], "path string, folder_code string, text string, encoding string, digest string")
+    companies = spark.createDataFrame([("1", "가", ["가"]), ("2", "나", ["나"])], "stock_code string, company_name string, terms array<string>")
+    done = earnings.earnings_run(files, companies, ["files"])
+    assert set(done) == {"files"}
+    got = {r.path: (r.match, r.messages, r.uncertain, r.rows, r.cumulative, r.parse_status, ";".join(r.warnings)) for r in done["files"].collect()}
+    assert got == {
+        "1/a": ("folder_only_match", 2, False, 2, False, "success", ""), "1/b": ("unknown_company", 0, False, 0, False, "skipped_duplicate", "duplicate_file_hash"), "2/a": ("folder_only_match", 1, True, 1, True, "success", "message_split_uncertain"),
+        "2/b": ("unknown_company", 0, False, 0, False, "failed", "unreadable_or_empty"), "3/a": ("unknown_company", 1, False, 0, False, "failed", ""), "2/c": ("company_mismatch", 1, False, 0, False, "failed", "company_mismatch:1"),
+    }
+    quarters = earnings.earnings_run(files, companies, ["quarters"])["quarters"].collect()
+    assert sorted((r.folder_code, r.fiscal_quarter) for r in quarters) == [("1", "2026 Q1"), ("1", "2026 Q2"), ("2", "2026 Q1")]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "tree/005930").mkdir(parents=True)
     (tmp_path / "tree/005930/a.txt").write_bytes("가나".encode("cp949"))

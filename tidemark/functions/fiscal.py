@@ -18,15 +18,18 @@ def quarter_label(index: Column) -> Column:
     return F.concat(F.floor(index / 4).cast("string"), F.lit(" Q"), (F.pmod(index, F.lit(4)) + 1).cast("string"))
 
 
-def normalize_quarter(text: Column) -> Column:
-    """'2026.1Q', '2026 Q1' and '1Q26' as '2026 Q1': the first of any form; null if none."""
-    value = F.coalesce(text, F.lit(""))
-    first = F.regexp_extract(value, r"(?i)20\d{2}\s*[./ -]?\s*(?:[1-4]\s*Q|Q\s*[1-4])|[1-4]\s*Q\s*\d{2}", 0)
+def quarter_of(first: Column) -> Column:
+    """'2026 Q1' of a quarter text as it stands, null of an empty one."""
     long = F.concat(F.substring(first, 1, 4), F.lit(" Q"), F.regexp_extract(F.substring(first, 5, 20), "([1-4])", 1))
     short = F.concat(F.lit("20"), F.regexp_extract(first, r"(\d{2})$", 1), F.lit(" Q"), F.substring(first, 1, 1))
     return F.when(F.rlike(first, F.lit(r"^20\d{2}")), long).when(first != "", short)
 
 
+def normalize_quarter(text: Column) -> Column:
+    """'2026.1Q', '2026 Q1' and '1Q26' as '2026 Q1': the first of any form; null if none."""
+    return quarter_of(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)20\d{2}\s*[./ -]?\s*(?:[1-4]\s*Q|Q\s*[1-4])|[1-4]\s*Q\s*\d{2}", 0))
+
+
 def label_index(label: Column) -> Column:
     """Ordinal of '2026 Q1', -1 if it is none."""
     quarter = normalize_quarter(label)
@@ -37,20 +40,25 @@ def month_quarter(month: Column) -> Column:
     return F.floor((month - 1) / 3) + 1
 
 
+def compact_amount(raw: Column) -> Column:
+    return F.upper(F.regexp_replace(raw, r"\s+", ""))
+
+
 def parse_amount(raw: Column, negative_parentheses: bool = True) -> Column:
     """Won (bigint) of a money text; parentheses are a minus sign, or nothing in forecasts; null if unreadable."""
-    compact = F.upper(F.regexp_replace(raw, r"\s+", ""))
+    return compact_value(compact_amount(raw), negative_parentheses)
+
+
+def compact_value(compact: Column, negative_parentheses: bool = True) -> Column:
+    """Won of a money text without blanks, in capitals (``compact_amount``)."""
     wrapped = F.startswith(compact, F.lit("(")) & F.endswith(compact, F.lit(")"))
     inner = F.when(wrapped, F.substring(compact, F.lit(2), F.length(compact) - 2)).otherwise(compact)
     pattern = r"^([+-]?[\d,]+(?:\.\d+)?)(조|억|백만|천)원?$"
     number = F.replace(F.regexp_extract(inner, pattern, 1), F.lit(","), F.lit("")).try_cast("decimal(28,10)")
     if negative_parentheses:
         number = F.when(wrapped, -F.abs(number)).otherwise(number)
-    unit = F.regexp_extract(inner, pattern, 2)
-    scale = F.lit(None).cast("decimal(14,0)")
-    for name, factor in UNITS.items():
-        scale = F.when(unit == name, F.lit(factor).cast("decimal(14,0)")).otherwise(scale)
-    return (number * scale).try_cast("bigint")
+    scales = F.create_map(*[v for name, factor in UNITS.items() for v in (F.lit(name), F.lit(factor).cast("decimal(14,0)"))])
+    return (number * F.try_element_at(scales, F.regexp_extract(inner, pattern, 2))).try_cast("bigint")
 
 
 def growth_label(current: Column, previous: Column) -> Column:

@@ -76,21 +76,39 @@ def newest_about(messages: DataFrame, code: str, name: str, most: int, id_col: s
     return newest.where(is_about(F.col(text_col), F.lit(code), F.lit(name)))
 
 
+def stated(text: Column) -> dict[str, Column]:
+    """Code and name that a file states, empty where it states none."""
+    return {"stated_code": F.upper(F.regexp_extract(text, FILE_CODE, 1)), "stated_name": F.lower(F.trim(F.regexp_extract(text, FILE_NAME, 1)))}
+
+
 def match_status(files: DataFrame, companies: DataFrame) -> DataFrame:
     """(path, folder_code, match, others): how the code and the name stated in a file agree with its folder.
 
     files: path, folder_code, text; companies: stock_code, company_name, terms (all names).  Names join by equality.
     """
-    stated = files.select("path", "folder_code", F.upper(F.regexp_extract("text", FILE_CODE, 1)).alias("code"), F.lower(F.trim(F.regexp_extract("text", FILE_NAME, 1))).alias("name"))
-    known = companies.select(F.col("stock_code").alias("k_code"))
-    names = companies.select(F.col("stock_code").alias("n_code"), F.explode(F.array_distinct(F.transform(F.concat(F.array("company_name"), "terms"), lambda n: F.lower(n)))).alias("name"), F.lower("company_name").alias("own"))
-    by_name = stated.join(names.where("name <> ''"), "name").groupBy("path").agg(F.collect_set("n_code").alias("named"), F.collect_set(F.when(F.col("name") == F.col("own"), F.col("n_code"))).alias("exact"))
-    joined = stated.join(known, F.col("code") == F.col("k_code"), "left").join(companies.select(F.col("stock_code").alias("f_code")), F.col("folder_code") == F.col("f_code"), "left").join(by_name, "path", "left")
+    return matched(files.select("path", "folder_code", *[c.alias(k) for k, c in stated(F.col("text")).items()]), companies).select("path", "folder_code", "match", "others")
+
+
+def matched(files: DataFrame, companies: DataFrame) -> DataFrame:
+    """Adds match and others (``match_status``) to files (path, folder_code, stated_code, stated_name, ...), in place of these two.
+
+    Each file meets one row at most of each lookup, so files are not grouped; those that have nothing to look up are spread by
+    their path.
+    """
+    codes_ = companies.select("stock_code").distinct()
+    names = companies.select(F.col("stock_code").alias("n_code"), F.explode(F.array_distinct(F.transform(F.concat(F.array("company_name"), "terms"), lambda n: F.lower(n)))).alias("n_name"), F.lower("company_name").alias("own"))
+    by_name = names.where("n_name <> ''").groupBy("n_name").agg(F.collect_set("n_code").alias("named"), F.collect_set(F.when(F.col("n_name") == F.col("own"), F.col("n_code"))).alias("exact"))
+    looked_up = lambda value, when: F.when(when, value).otherwise(F.concat(F.lit("\x01"), "path"))
+    code, folder, name = F.col("stated_code"), F.col("folder_code"), F.col("stated_name")
+    joined = files.join(codes_.withColumnRenamed("stock_code", "f_code"), folder == F.col("f_code"), "left")
+    joined = joined.withColumn("c_key", looked_up(code, (code != "") & (code != folder))).join(codes_.withColumnRenamed("stock_code", "c_code"), F.col("c_key") == F.col("c_code"), "left")
+    joined = joined.withColumn("n_key", looked_up(name, name != "")).join(by_name, F.col("n_key") == F.col("n_name"), "left")
     none = F.array().cast("array<string>")
-    others = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("k_code"), F.coalesce("named", none)), lambda c: c.isNotNull() & (c != F.col("folder_code")))))
-    own_code, own_name = F.coalesce(F.col("k_code") == F.col("folder_code"), F.lit(False)), F.array_contains(F.coalesce("named", none), F.col("folder_code"))
+    others = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("c_code"), F.coalesce("named", none)), lambda c: c.isNotNull() & (c != F.col("folder_code")))))
+    own_code, own_name = F.coalesce(code == F.col("f_code"), F.lit(False)), F.array_contains(F.coalesce("named", none), folder)
+    all_others = joined.withColumn("others", F.when(F.col("f_code").isNull(), none).otherwise(others))
     status = (
-        F.when(F.col("f_code").isNull(), "unknown_company").when(F.size(others) > 0, "company_mismatch")
-        .when(own_code & F.array_contains(F.coalesce("exact", none), F.col("folder_code")), "exact_match").when(own_code & own_name, "alias_match").otherwise("folder_only_match")
+        F.when(F.col("f_code").isNull(), "unknown_company").when(F.size("others") > 0, "company_mismatch")
+        .when(own_code & F.array_contains(F.coalesce("exact", none), folder), "exact_match").when(own_code & own_name, "alias_match").otherwise("folder_only_match")
     )
-    return joined.select("path", "folder_code", status.alias("match"), F.when(F.col("f_code").isNull(), none).otherwise(others).alias("others"))
+    return all_others.withColumn("match", status).drop("stated_code", "stated_name", "f_code", "c_code", "c_key", "n_key", "n_name", "named", "exact")

@@ -27,7 +27,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 TEXTS = ("documents", "pages")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where they have fewer splits: what is done to each is dear."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
+    return spread(rows) if name in TEXTS else rows
