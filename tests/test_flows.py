@@ -100,6 +100,22 @@ def test_earnings_run_of_several_messages_in_a_file(spark):
     assert sorted((r.folder_code, r.fiscal_quarter) for r in quarters) == [("1", "2026 Q1"), ("1", "2026 Q2"), ("2", "2026 Q1")]
 
 
+def test_names_are_grouped_after_one_shuffle(spark):
+    """Hits were shuffled to be distinct, by company and by message; particles were cut off by a pattern for every place and length."""
+    from tidemark.operators import messages as M
+    from tidemark.operators import names
+
+    words = ["삼성은", "은", "은은", "a가", "가", "-", "삼성", "도도", "x"]
+    bare = spark.createDataFrame([(w,) for w in words], "w string").select("w", names._without_particle(F.col("w")).alias("b")).collect()
+    assert {r.w: r.b for r in bare} == {"삼성은": "삼성", "은": None, "은은": "은", "a가": "a", "가": None, "-": None, "삼성": None, "도도": "도", "x": None}
+    companies = spark.createDataFrame([("000001", ["삼성", "Alpha"], False), ("000002", ["Beta"], True)], "stock_code string, terms array<string>, requires_code boolean")
+    rows = spark.createDataFrame([(1, "삼성은 삼성과 Alpha"), (2, "Beta 삼성"), (3, "x")], "id long, text string")
+    found = M.routed(rows, companies)
+    assert {(r.id, r.stock_code, r.status, r.term) for r in found.collect()} == {(1, "000001", "assigned", None), (2, "000002", "quarantine", "Beta"), (2, "000001", "assigned", None), (3, None, "dropped", None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [id") == 1 and "Aggregate [id#" in plan
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "tree/005930").mkdir(parents=True)
     (tmp_path / "tree/005930/a.txt").write_bytes("가나".encode("cp949"))

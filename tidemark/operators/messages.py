@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from .graph import cut
-from .names import name_hits
+from .names import name_places
 
 
 def searched_lines(text: Column) -> Column:
@@ -31,7 +31,8 @@ def routed(messages: DataFrame, companies: DataFrame, *, id_col: str = "id", tex
     stated = codes.codes_by_level(F.col(text_col))
     found = cut(messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), stated["codes"].alias("codes")).select("id", "codes", F.when(F.size("codes") == 0, searched_lines(F.col("text"))).alias("lines")))
     terms = companies.select("stock_code", "requires_code", F.explode("terms").alias("term")).distinct()
-    hits = name_hits(found.where("lines is not null").select("id", F.inline("lines")), terms)
+    # spread by message once: both groupings need no other shuffle, and a term that stands in several places counts once in them
+    hits = name_places(found.where("lines is not null").select("id", F.inline("lines")), terms).repartition("id")
     met = hits.groupBy("id", "in_field", "stock_code").agg(F.bool_or("requires_code").alias("requires_code"), F.min("term").alias("term"))
     one = F.struct("stock_code", "requires_code", "term")
     per_message = met.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("in_field"), one))).alias("by_field"), F.array_sort(F.collect_set(F.when(~F.col("in_field"), one))).alias("by_line"))

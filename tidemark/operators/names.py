@@ -44,19 +44,27 @@ def term_index(terms: DataFrame) -> DataFrame:
 
 
 def _places(lines: DataFrame, columns: list[str], longest: int) -> DataFrame:
-    """One row a token of a line: the token before it and the next ``longest`` + 1 tokens from it on."""
+    """One row a token of a line: the token before it, the next ``longest`` + 1 tokens from it on, and these
+    without a particle at their ends (null where there is none)."""
     cut_up = lines.select(*columns, tokens(F.col("line")).alias("w")).where("size(w) > 0")
-    place = lambda i: F.struct(F.get("w", i - 2).alias("before"), F.slice("w", i, longest + 1).alias("w"))
-    return cut_up.select(*columns, F.inline(F.transform(F.sequence(F.lit(1), F.size("w")), place)))
+    bare = cut_up.withColumn("bare", F.transform("w", _without_particle))
+    place = lambda i: F.struct(F.get("w", i - 2).alias("before"), F.slice("w", i, longest + 1).alias("w"), F.slice("bare", i, longest).alias("bare"))
+    return bare.select(*columns, F.inline(F.transform(F.sequence(F.lit(1), F.size("w")), place)))
 
 
 def _without_particle(token: Column) -> Column:
     """The word before a particle at the token's end; null where there is none."""
-    return F.nullif(F.regexp_extract(token, rf"^({_WORD}+?)(?:{'|'.join(codes.PARTICLES)})$", 1), F.lit(""))
+    # particles are single characters, and a token of several characters is a word
+    return F.when((F.length(token) > 1) & F.right(token, F.lit(1)).isin(codes.PARTICLES), F.substr(token, F.lit(1), F.length(token) - 1))
 
 
 def name_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Distinct (columns of ``lines`` but ``line``, columns of ``terms``): the terms that stand in the lines."""
+    return name_places(lines, terms).distinct()
+
+
+def name_places(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """``name_hits`` with a row for each place: for those who group them anyway."""
     columns = [c for c in lines.columns if c != "line"]
     index = term_index(terms)
     longest, lengths = index.agg(F.max(F.size("t")), F.sort_array(F.collect_set("keyed"))).first()  # PREFIX numbers at most
@@ -65,7 +73,7 @@ def name_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     def keys_of(n: int) -> list[Column]:
         head, last = F.slice("w", F.lit(1), F.lit(n - 1)), F.get("w", F.lit(n - 1))
         joined = lambda end: F.when(end.isNotNull(), F.array_join(F.concat(head, F.array(end)), _SEPARATOR))
-        return [joined(last), joined(_without_particle(last))]
+        return [joined(last), joined(F.get("bare", F.lit(n - 1)))]
 
     keys = F.array(*[k for n in lengths for k in keys_of(n)]) if lengths else F.array().cast("array<string>")
     looked_up = places.withColumn("key", F.explode(F.filter(keys, lambda k: k.isNotNull())))
@@ -76,4 +84,4 @@ def name_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     starts = F.col("opens") | F.col("before").isNull() | ~_is_word(F.col("before"))
     same = F.slice("w", F.lit(1), n - 1) == F.slice("t", F.lit(1), n - 1)
     met = looked_up.join(index.drop("keyed"), "key").where(same & ends & starts)
-    return met.select(*columns, *terms.columns).distinct()
+    return met.select(*columns, *terms.columns)
