@@ -116,6 +116,56 @@ def test_names_are_grouped_after_one_shuffle(spark):
     assert plan.count("RepartitionByExpression [id") == 1 and "Aggregate [id#" in plan
 
 
+def test_earnings_run_parses_what_its_tables_need(spark, monkeypatch):
+    """Names, codes, links and reports of all messages were parsed and written for totals and published quarters that hold none of them."""
+    from tidemark.plans import earnings
+
+    written, stored = {}, earnings.stored
+    monkeypatch.setattr(earnings, "stored", lambda df, name="table": (written.setdefault(name, set(df.columns)), stored(df, name))[1])
+    text = "기업명: 가 (000001)\n보고서명: 분기보고서 (2026.06)\n공시시각: 2026.07.17 10:30\nhttps://dart.fss.or.kr/x?rcpNo=20260717000001\n매출액: 3억\n2026.1Q 2억 / 1억 / 1억"
+    files = spark.createDataFrame([("1/a", "1", text, "utf-8-sig", "a")], "path string, folder_code string, text string, encoding string, digest string")
+    companies = spark.createDataFrame([("1", "가 (000001)", ["가"])], "stock_code string, company_name string, terms array<string>")
+    unneeded = {"company_name", "stock_code", "market_cap_text", "report_name", "dart_url", "dart_receipt_number", "standard"}
+    totals = earnings.earnings_run(files, companies, ["totals"])["totals"].first()
+    assert (totals.parsed_files, totals.quarter_records, totals.partial_1_to_4q) == (1, 2, 1) and not written["pieces"] & unneeded
+    written.clear()
+    rows = earnings.earnings_run(files, companies, ["published"], ["fiscal_quarter", "revenue", "revenue_qoq"])["published"].collect()
+    assert sorted((r.folder_code, r.fiscal_quarter, r.revenue, r.revenue_qoq) for r in rows) == [("1", "2026 Q1", 2 * 10**8, None), ("1", "2026 Q2", 3 * 10**8, 50.0)]
+    assert not (written["pieces"] | written["selected"]) & unneeded
+    whole = earnings.earnings_run(files, companies, ["published"])["published"].where("revenue_qoq = 50").first()
+    assert (whole.report_name, whole.dart_receipt_number, whole.standard) == ("분기보고서 (2026.06)", "20260717000001", None)
+
+
+def test_earnings_files_are_dealt_over_all_cores(spark, tmp_path):
+    """A table of one row group has many splits, of which one holds all rows: one task parsed them all."""
+    from tidemark.plans import earnings
+
+    orders = spark.range(4000).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "rand(1) * 1e5 AS o_totalprice", "timestamp_ntz '1995-01-01 00:00:00' AS o_orderdate", "uuid() AS filler")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("16384", "1"), strict=True):
+            spark.conf.set(k, v)
+        tasks = [r["count"] for r in earnings.order_files(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == 4000 and max(tasks) < 4000 / spark.sparkContext.defaultParallelism
+
+
+def test_edges_of_cheap_tests_before_patterns(spark):
+    """Rare line ends, links and blanks are treated as the patterns alone treat them."""
+    unit = {"2026 Q1 1 2 3": True, "2026 Q1 1억 2 3": False, "억\u20282026 q1 1 2 3": True, "2026 Q1 1\u00852 3 4": False, "https://x.y/2026Q1?1,2,3,4 5 6 7": False, "억\r\n1Q26 1 2 3": True, "2026 1 2 3": False, None: None}
+    texts = [" \t가\x0b나 \n\x0c", "가 \u2028", " \x1f가\x1f ", " \n "]
+    rows = spark.createDataFrame([(t,) for t in unit], "text string").select("text", parser.unit_uncertain(F.col("text")).alias("u"), parser.cumulative_suspected(F.col("text")).alias("c")).collect()
+    assert {r.text: r.u for r in rows} == unit and {r.c for r in rows} == {False, None}
+    files = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    assert {r.path: r.text for r in parser.file_pieces(files).collect()} == {0: "가\x0b나", 1: "가\u2028", 2: "\x1f가\x1f", 3: ""}
+    times = ["2026.07.17 15:30", "2026.07.17 15:30:05", "2026년 7월 17일", "2026.13.01", "내일"]
+    got = spark.createDataFrame([(t,) for t in times], "t string").select(parser.disclosure_datetime(F.col("t")).cast("string").alias("d")).collect()
+    assert [r.d for r in got] == ["2026-07-17 15:30:00", "2026-07-17 15:30:05", "2026-07-17 00:00:00", None, None]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "tree/005930").mkdir(parents=True)
     (tmp_path / "tree/005930/a.txt").write_bytes("가나".encode("cp949"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ def _distinct(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda c: F.upper(c)))
 
 
+def holds(text: Column, *words: str) -> Column:
+    """Whether a text has one of some words: cheap to ask before a pattern that needs one of them."""
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
 def codes_by_level(text: Column) -> Column:
     """Struct (source, codes) of the first level with a code: labelled, company line, URL query, standalone."""
     value = F.coalesce(text, F.lit(""))
@@ -64,7 +72,7 @@ def term_pattern(term: Column) -> Column:
 
 def message_kind(text: Column) -> Column:
     """correction, earnings (two markers, or trend or provisional), disclosure or unknown."""
-    value = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    value = F.coalesce(text, F.lit(""))  # line ends are blanks to these patterns, however they are written
     markers = sum((F.rlike(value, F.lit(p)).cast("int") for p in EARNINGS_MARKERS), F.lit(0))
     return (
         F.when(F.rlike(value, F.lit(CORRECTION)), "correction")

@@ -50,11 +50,11 @@ def parse_amount(raw: Column, negative_parentheses: bool = True) -> Column:
 
 
 def compact_value(compact: Column, negative_parentheses: bool = True) -> Column:
-    """Won of a money text without blanks, in capitals (``compact_amount``)."""
+    """Won of a money text without blanks (``compact_amount``)."""
     wrapped = F.startswith(compact, F.lit("(")) & F.endswith(compact, F.lit(")"))
     inner = F.when(wrapped, F.substring(compact, F.lit(2), F.length(compact) - 2)).otherwise(compact)
     pattern = r"^([+-]?[\d,]+(?:\.\d+)?)(조|억|백만|천)원?$"
-    number = F.replace(F.regexp_extract(inner, pattern, 1), F.lit(","), F.lit("")).try_cast("decimal(28,10)")
+    number = F.nullif(F.replace(F.regexp_extract(inner, pattern, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("decimal(28,10)")
     if negative_parentheses:
         number = F.when(wrapped, -F.abs(number)).otherwise(number)
     scales = F.create_map(*[v for name, factor in UNITS.items() for v in (F.lit(name), F.lit(factor).cast("decimal(14,0)"))])

@@ -33,6 +33,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores by their key, whatever their splits: a Parquet file's splits are empty but where a row group begins."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name in TEXTS else rows
