@@ -270,3 +270,14 @@ def test_alike_edges_are_few_and_the_same_in_any_blocks(spark):
     same = lambda a, b: len(set(a[4]) & set(b[4])) >= 2 or (a[3] is not None and b[3] is not None and SequenceMatcher(None, a[3], b[3]).ratio() >= 0.82)
     labels = {r.node: r.component for r in graph.least_labels(similar.event_edges(table, "g", "k", "t", "title", "items", block=3)).collect()}
     assert {r[0]: labels.get(r[0], r[0]) for r in rows} == clusters_by_hand(rows, same)
+
+
+def test_cells_without_pairs_are_not_dealt(spark):
+    """Companies with an article in most bands at most: no cell of one node is handed to a task (each was, as side 0 and as side 1)."""
+    from tidemark.operators import similar
+
+    one = spark.range(300).selectExpr("id AS first_key", "id AS g", "id % 7 AS cell", "0 AS side", "concat('title ', id) AS title", "array('a') AS items", "0D AS lo", "0D AS hi", "0L AS first_time", "0L AS last_time", "id AS last_key")
+    near = one.where("g < 3").selectExpr("first_key + 300 AS first_key", "g", "cell", "1 AS side", "title", "items", "lo", "hi", "first_time", "last_time", "last_key")
+    later = one.selectExpr("first_key", "g", "cell - 1 AS cell", "1 AS side", "title", "items", "lo", "hi", "first_time", "last_time", "last_key")
+    dealt = similar._cells(one.unionByName(near).unionByName(later), ["g", "cell"], 1_000).select("g", "first_key", "role").collect()
+    assert sorted(map(tuple, dealt)) == [(k, key, role) for k in range(3) for key, role in ((k, 0), (k + 300, 1))]

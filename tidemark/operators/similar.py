@@ -122,8 +122,12 @@ def linked(cell: pd.DataFrame, ratio: float, seconds: int, by_items: Callable[[n
 
 
 def _cells(nodes: DataFrame, cell: list[str], block: int) -> DataFrame:
-    """Nodes with ``side`` 0 or 1 by the pairs of blocks in which they are compared: side 0 with itself and with side 1."""
-    sizes = nodes.groupBy(*cell).agg(*[F.greatest(F.ceil(F.count_if(F.col("side") == s) / block), F.lit(1)).cast("int").alias(f"n{s}") for s in (0, 1)])
+    """Nodes with ``side`` 0 or 1 by the pairs of blocks in which they are compared: side 0 with itself and with side 1.
+
+    Cells that hold no pair, which are most where companies have few articles, are left out before anything is dealt.
+    """
+    counted = nodes.groupBy(*cell).agg(*[F.count_if(F.col("side") == s).alias(f"c{s}") for s in (0, 1)]).where("c0 > 0 and c0 + c1 > 1")
+    sizes = counted.select(*cell, *[F.greatest(F.ceil(F.col(f"c{s}") / block), F.lit(1)).cast("int").alias(f"n{s}") for s in (0, 1)])
     dealt = nodes.join(sizes, cell)
     spread = F.xxhash64("title", "items", "first_key")
     place = F.pmod(spread, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
