@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -158,9 +158,16 @@ def event_signals(normalized: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def clean_markup(value: Column) -> Column:
-    """Entities resolved, tags to spaces, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(unescaped(F.coalesce(value, F.lit(""))), "<[^>]+>", " "), r"\s+", " "))
+def closed_entities(value: Column, entities: dict[str, str]) -> Column:
+    """The named entities resolved one after the other, those only that end in a semicolon: others, and what is cut off, are text."""
+    for name, character in entities.items():
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(character))
+    return value
+
+
+def clean_markup(value: Column, resolved: Callable[[Column], Column] = unescaped) -> Column:
+    """Entities resolved (all that HTML knows, as the source does), tags to spaces, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(resolved(F.coalesce(value, F.lit(""))), "<[^>]+>", " "), r"\s+", " "))
 
 
 def redacted(text: Column) -> Column:
