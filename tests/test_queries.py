@@ -113,3 +113,12 @@ CUT_OFF = [("https://a.example.com/en/x", f"<title>The plant opens {end}</title>
 def test_entities_that_are_cut_off_are_text(spark, tmp_path):
     """Pages with an entity without its semicolon, which was resolved all the same."""
     equal_on_pages(spark, tmp_path, CUT_OFF, "html_clean")
+
+
+#: Titles with excluded terms as they are, in other cases, and with white space inside.
+SPREAD = [(f"https://a.example.{end}/{lang}/x", f"<title>{title}</title>") for end in ("org", "com") for lang, title in (("en", "Up to therean"), ("en", "The o ther plant"), ("en", "OTHER plants"), ("en", "another the"), ("de", "der  die Bank"), ("de", "Der die Bank"), ("es", "dela casa"), ("es", "de la casa que"))]
+
+
+def test_spread_terms_are_not_excluded(spark, tmp_path):
+    """"to therean" was rejected for the term Other."""
+    equal_on_pages(spark, tmp_path, SPREAD, "reject_counts")

@@ -13,13 +13,14 @@ from ..functions import text as T
 from .graph import least_labels, stored
 
 
-def reject_reason(*, title: Column, normalized: Column, url: Column, aliases: Column, excluded: Column, ambiguous: Column, context: Column) -> Column:
+def reject_reason(*, title: Column, normalized: Column, url: Column, aliases: Column, excluded: Column, ambiguous: Column, context: Column, spread: bool = True) -> Column:
     """First reason of the relevance ladder that holds, null for relevant articles.
 
-    ``excluded``: longer terms of other companies, taken out of the title one after the other, in any case and with any white
-    space between their characters, before aliases are looked for; ``context``: whether an ambiguous company has its code, a keyword or an official source.
+    ``excluded``: longer terms of other companies, taken out of the title one after the other, in any case and, where they may be
+    ``spread``, with any white space between their characters, before aliases are looked for; ``context``: whether an ambiguous company has its code, a keyword or an official source.
     """
-    spaced = lambda e: F.array_join(F.transform(F.filter(F.split(e, ""), lambda c: c != ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), r"\s*")
+    quoted = lambda e: F.concat(F.lit(r"\Q"), e, F.lit(r"\E"))
+    spaced = lambda e: F.array_join(F.transform(F.filter(F.split(e, ""), lambda c: c != ""), quoted), r"\s*") if spread else quoted(e)
     stripped = F.aggregate(F.filter(excluded, lambda e: e != ""), title, lambda text, e: F.regexp_replace(text, F.concat(F.lit("(?iu)"), spaced(e)), F.lit(" ")))
     alias = T.longest_alias(stripped, aliases)
     others = sum((F.contains(normalized, F.lit(m)).cast("int") for m in T.OTHER_COMPANY_MARKERS), F.lit(0))
