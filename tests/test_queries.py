@@ -122,3 +122,7 @@ SPREAD = [(f"https://a.example.{end}/{lang}/x", f"<title>{title}</title>") for e
 def test_spread_terms_are_not_excluded(spark, tmp_path):
     """"to therean" was rejected for the term Other."""
     equal_on_pages(spark, tmp_path, SPREAD, "reject_counts")
+
+
+def test_spread_terms_are_kept_in_the_ladder(spark, tmp_path):
+    equal_on_pages(spark, tmp_path, SPREAD, "relevance_ladder")
