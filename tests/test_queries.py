@@ -126,3 +126,17 @@ def test_spread_terms_are_not_excluded(spark, tmp_path):
 
 def test_spread_terms_are_kept_in_the_ladder(spark, tmp_path):
     equal_on_pages(spark, tmp_path, SPREAD, "relevance_ladder")
+
+
+def test_a_cut_off_entity_is_a_cluster_word(spark, tmp_path):
+    """Two titles share "amp" and no more, so it links them."""
+    cut_off = ("https://a.example.com/en/x", "<title>R&amp</title>")
+    equal_on_pages(spark, tmp_path, [*CUT_OFF, cut_off, cut_off, ("https://a.example.com/en/x", "<title>S &amp</title>")], "similarity_clusters")
+
+
+def test_titles_without_words_are_alike(spark, tmp_path):
+    """Titles of stop words alone, or of nothing, within 72 hours: pages are an hour apart."""
+    title = lambda k: "The And" if k % 2 else ""
+    wordless = {0, 1, 30, 101, 174, 250, 322, 323, 395, 396, 420}
+    pages = [("https://a.example.com/" + ("de" if k in (30, 420) else "en") + "/x", f"<title>{title(k) if k in wordless else f'page{k}'}</title>") for k in range(430)]
+    equal_on_pages(spark, tmp_path, pages, "similarity_clusters")

@@ -106,9 +106,9 @@ def normalize_url(value: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.lit("https://"), canonical_domain(host), path, F.when(encoded == "", F.lit("")).otherwise(F.concat(F.lit("?"), encoded))))
 
 
-def normalize_title(value: Column) -> Column:
+def normalize_title(value: Column, resolved: Callable[[Column], Column] = unescaped_nfkc) -> Column:
     """Entities and NFKC resolved, lower case, without a closing publisher, only 0-9 a-z and Hangul."""
-    text = F.trim(F.lower(unescaped_nfkc(F.coalesce(value, F.lit("")))))
+    text = F.trim(F.lower(resolved(F.coalesce(value, F.lit("")))))
     text = F.regexp_replace(text, r"\s+[|\-–—]\s+[^|\-–—]{2,40}$", "")
     return F.trim(F.regexp_replace(text, "[^0-9a-z가-힣]+", " "))
 
