@@ -140,3 +140,7 @@ def test_titles_without_words_are_alike(spark, tmp_path):
     wordless = {0, 1, 30, 101, 174, 250, 322, 323, 395, 396, 420}
     pages = [("https://a.example.com/" + ("de" if k in (30, 420) else "en") + "/x", f"<title>{title(k) if k in wordless else f'page{k}'}</title>") for k in range(430)]
     equal_on_pages(spark, tmp_path, pages, "similarity_clusters")
+
+
+def test_a_cut_off_entity_is_a_token(spark, tmp_path):
+    equal_on_pages(spark, tmp_path, CUT_OFF, "title_tokens_jaccard")
