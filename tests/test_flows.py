@@ -361,3 +361,42 @@ def test_rejects_of_a_news_run_write_no_articles(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(news, "stored", lambda df, name="table", store=news.stored: (written.append(name), store(df, name))[1])
     assert news.news_rejects(spark, sf_dir).count() > 0
     assert written == ["companies"]
+
+
+def test_counts_of_a_message_run_pick_no_versions(spark, sf_dir, monkeypatch):
+    """Counts of companies alone are those of a whole run, without versions, histories, labels or texts (all were made and written)."""
+    from tidemark.plans import portfolio
+
+    whole = sorted(map(tuple, portfolio.run_results(spark, sf_dir)["companies"].collect()))
+    kept = []
+    monkeypatch.setattr(flows, "final_quarters", None)
+    monkeypatch.setattr(flows, "stored", lambda df, name="table", write=flows.stored: kept.append((name, df)) or write(df, name))
+    assert sorted(map(tuple, portfolio.run_results(spark, sf_dir, "companies")["companies"].collect())) == whole
+    assert [name for name, _ in kept] == ["routes", "judged"]
+    assert "regexp_replace(url" not in kept[1][1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflicts_are_those_of_final_quarters(spark):
+    """A value beside none is a conflict, equal values and none beside none are not."""
+    amount = lambda v: None if v is None else (str(v), v)
+    won = "struct<raw:string,value_won:bigint>"
+    cases = {1: [(5, None), (5, None)], 2: [(5, None), (None, None)], 3: [(None, None), (None, None)], 4: [(5, 7), (5, 8)], 5: [(5, 7)], 6: [(0, None), (-5, None), (0, None)]}
+    rows = [(10 * quarter + k, f"c{code}", f"{2010 + quarter}.03", amount(a), amount(b)) for code in (1, 2) for quarter, values in [*cases.items(), *[(q, [(1, 1)]) for q in range(7, 7 + 3 * code)]] for k, (a, b) in enumerate(values)]
+    parsed = spark.createDataFrame(rows, f"id long, stock_code string, report_period string, revenue_actual {won}, revenue_consensus {won}")
+    nothing = {f"{m}_{k}": F.lit(None).cast(won) for m in ("operating_profit", "net_income") for k in ("actual", "consensus")}
+    recent = F.lit(None).cast(f"array<struct<pos:int,fiscal_quarter:string,revenue:{won},operating_profit:{won},net_income:{won}>>")
+    text = {c: F.lit(None).cast("string") for c in ("report_name", "dart_url", "dart_receipt_number", "disclosure_datetime")}
+    parsed = parsed.withColumns({**nothing, **text, "provisional": F.lit(False), "classification": F.lit("earnings"), "has_earnings_data": F.lit(True), "recent_earnings": recent})
+    want = sorted((r.stock_code, r.fiscal_quarter, r.conflict) for r in flows.final_quarters(parsed).collect())
+    assert sorted(map(tuple, flows.quarter_conflicts(parsed).select("stock_code", "fiscal_quarter", "conflict").collect())) == want
+    assert {w[2] for w in want} == {True, False} and len(want) == 16
+
+
+def test_blanks_are_not_looked_up_as_names(spark):
+    """Only places of a length that names begin with are looked up; blanks of all texts met in one task."""
+    from tidemark.operators import names
+
+    lines = spark.createDataFrame([(1, "ab  cd, abc 가나는 x abcd e-fg"), (2, " , . ")], "id int, line string")
+    assert sorted(r.w[0] for r in names._places(lines, ["id"], 2, 2, 2).collect()) == ["ab", "abc", "cd", "fg", "가나는"]
+    terms = spark.createDataFrame([("cd",), ("가나",), ("cd, abc",), ("e-fg",), ("b",)], "term string")
+    assert sorted(map(tuple, names.name_hits(lines, terms).collect())) == [(1, "cd"), (1, "cd, abc"), (1, "e-fg"), (1, "가나")]

@@ -35,20 +35,25 @@ def holds(text: Column, *words: str) -> Column:
 def codes_by_level(text: Column) -> Column:
     """Struct (source, codes) of the first level with a code: labelled, company line, URL query, standalone."""
     value = F.coalesce(text, F.lit(""))
-    labelled = _distinct(F.regexp_extract_all(value, F.lit(LABELED_CODE), F.lit(1)))
+    every = lambda where, pattern, *words: _distinct(F.regexp_extract_all(F.when(holds(value, *words), where).otherwise("") if words else where, F.lit(pattern), F.lit(1)))
     fields = F.array_join(F.regexp_extract_all(value, F.lit(COMPANY_FIELD), F.lit(1)), "\n")
-    company = _distinct(F.regexp_extract_all(fields, F.lit(CODE), F.lit(1)))
     urls = F.array_join(F.regexp_extract_all(value, F.lit(URL_PATTERN), F.lit(0)), "\n")
-    in_urls = _distinct(F.regexp_extract_all(urls, F.lit(URL_CODE), F.lit(1)))
-    alone = _distinct(F.regexp_extract_all(F.regexp_replace(value, URL_PATTERN, " "), F.lit(CODE), F.lit(1)))
-    levels = F.array(*[F.struct(F.lit(name).alias("source"), found.alias("codes")) for name, found in (("labeled_stock_code", labelled), ("company_name_field", company), ("url_query_code", in_urls), ("standalone_code", alone))])
+    outside = F.when(holds(value, "://"), F.regexp_replace(value, URL_PATTERN, " ")).otherwise(value)
+    found = {
+        "labeled_stock_code": every(value, LABELED_CODE, "종목"), "company_name_field": every(fields, CODE, "기업명", "회사명", "종목명"),
+        "url_query_code": every(urls, URL_CODE, "://"), "standalone_code": every(outside, CODE),
+    }
     none = F.struct(F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("codes"))
-    return F.coalesce(F.get(F.filter(levels, lambda s: F.size(s["codes"]) > 0), F.lit(0)), none)
+    # a level is looked at only where those before it have no code, and patterns where a word they need is there
+    level = lambda name, codes: F.get(F.transform(F.array(codes), lambda c: F.when(F.size(c) > 0, F.struct(F.lit(name).alias("source"), c.alias("codes")))), F.lit(0))
+    return F.coalesce(*[level(*f) for f in found.items()], none)
 
 
 def searchable_text(text: Column) -> Column:
     """Without URLs and mail addresses, runs of blanks as one."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), URL_PATTERN, " "), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")
+    value = F.coalesce(text, F.lit(""))
+    linkless = F.when(holds(value, "://"), F.regexp_replace(value, URL_PATTERN, " ")).otherwise(value)
+    bare = F.when(holds(value, "@"), F.regexp_replace(linkless, r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", " ")).otherwise(linkless)
     return F.regexp_replace(bare, r"[ \t]+", " ")
 
 
@@ -73,10 +78,11 @@ def term_pattern(term: Column) -> Column:
 def message_kind(text: Column) -> Column:
     """correction, earnings (two markers, or trend or provisional), disclosure or unknown."""
     value = F.coalesce(text, F.lit(""))  # line ends are blanks to these patterns, however they are written
-    markers = sum((F.rlike(value, F.lit(p)).cast("int") for p in EARNINGS_MARKERS), F.lit(0))
+    marked = [holds(value, p[:2].rstrip("\\")) & F.rlike(value, F.lit(p)) for p in EARNINGS_MARKERS]  # each begins with a word
+    markers = sum((m.cast("int") for m in marked), F.lit(0))
     return (
-        F.when(F.rlike(value, F.lit(CORRECTION)), "correction")
-        .when((markers >= 2) | F.rlike(value, F.lit("|".join(EARNINGS_MARKERS[3:]))), "earnings")
-        .when(F.rlike(value, F.lit(DISCLOSURE)), "disclosure")
+        F.when(holds(value, CORRECTION[:2]) & F.rlike(value, F.lit(CORRECTION)), "correction")
+        .when((markers >= 2) | marked[3] | marked[4], "earnings")
+        .when(holds(value, *DISCLOSURE[4:].split("|")[:3]) | F.rlike(value, F.lit(DISCLOSURE)), "disclosure")
         .otherwise("unknown")
     )

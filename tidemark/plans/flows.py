@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +125,10 @@ def event_index(companies: DataFrame, events: DataFrame, k: int = 3) -> DataFram
     return companies.select("stock_code", "company_name").join(totals, "stock_code", "left").join(listed, "stock_code", "left").na.fill({"event_count": 0})
 
 
-#: Tables of a message run.
+#: Tables of a message run; columns of the parse that every table reads, and those that counts read besides.
 MESSAGE_TABLES = ("quarters", "disclosures", "quarantine", "companies", "totals")
+_JUDGED = ["id", "target", "stock_code", "problem"]
+_COUNTED = ["report_name", "disclosure_datetime", "dart_receipt_number", "report_period", "recent_earnings", "has_earnings_data", *[f"{m}_{k}" for m in P.METRICS for k in ("actual", "consensus")]]
 
 
 def message_flow(messages: DataFrame, companies: DataFrame, held_quarters: DataFrame | None = None, held_disclosures: DataFrame | None = None, tables: Sequence[str] = MESSAGE_TABLES) -> dict[str, DataFrame]:
@@ -138,15 +142,25 @@ def message_flow(messages: DataFrame, companies: DataFrame, held_quarters: DataF
     batch = messages.dropDuplicates(["id"])
     routes = stored(M.routed(batch, companies), "routes")
     assigned = routes.where("status = 'assigned'").select("id", F.col("stock_code").alias("target"))
-    mine = stored(batch.join(assigned.select("id"), "id"), "assigned")  # the parse reads it three times
-    parsed = P.parsed_messages(mine).join(assigned, "id")
+    parsed = P.parsed_messages(batch.join(assigned, "id"), beside=["target"])
     problem = F.when(F.col("classification") == "unknown", "parse_unknown").when(F.col("stock_code").isNull(), "parsed_code_missing").when(F.col("stock_code") != F.col("target"), "parsed_code_target_mismatch")
-    judged = stored(parsed.withColumn("problem", problem), "judged")
+    judged = parsed.withColumn("problem", problem)
+    counted = "companies" in tables or "totals" in tables
+    if not {"quarters", "disclosures"} & set(tables):
+        read = [*_JUDGED, *(_COUNTED if counted else [])]
+        judged = judged.withColumns({c: F.lit(None).cast(judged.schema[c].dataType) for c in judged.columns if c not in read})
+    judged = stored(judged, "judged")
     good = judged.where("problem is null").drop("problem", "target")
     out = {}
-    counted = "companies" in tables or "totals" in tables
-    fresh_quarters = stored(final_quarters(good), "quarters") if counted or "quarters" in tables else None
-    fresh_disclosures = stored(disclosures(good), "disclosures") if counted or "disclosures" in tables else None
+    # counts need no more of a quarter than whether its values differ, and of a disclosure no more than its identity
+    if "quarters" in tables:
+        fresh_quarters = stored(final_quarters(good), "quarters")
+    elif counted:
+        fresh_quarters = quarter_conflicts(good)
+    if "disclosures" in tables:
+        fresh_disclosures = stored(disclosures(good), "disclosures")
+    elif counted:
+        fresh_disclosures = disclosures(good).select("stock_code", "identity")
     if "quarters" in tables:
         out["quarters"] = fresh_quarters if held_quarters is None else merged_quarters(held_quarters, fresh_quarters)
     if "disclosures" in tables:
@@ -211,6 +225,15 @@ def message_totals(messages: DataFrame, results: DataFrame, routes: DataFrame, q
     return sums.crossJoin(processed).crossJoin(matched).crossJoin(held_back)  # a row each
 
 
+def quarter_conflicts(parsed: DataFrame) -> DataFrame:
+    """(stock_code, fiscal_quarter, conflict) of ``final_quarters``: quarters by company, none of their versions picked, in one aggregate."""
+    found = P.candidates(parsed, origin=["stock_code"]).where("stock_code is not null and fiscal_quarter is not null")
+    values = [*P.METRICS, *[f"{m}_consensus" for m in P.METRICS]]
+    differs = [F.coalesce(F.min(v) != F.max(v), F.lit(False)) | ((F.count(v) > 0) & (F.count(v) < F.count("*"))) for v in values]
+    held = found.groupBy("stock_code", "fiscal_quarter").agg(reduce(or_, differs).alias("conflict"))
+    return rank.top_k(held, ["stock_code"], [F.col("fiscal_quarter").desc()], 8).drop("rank")
+
+
 def final_quarters(parsed: DataFrame) -> DataFrame:
     """Policy 'final wins' with history and conflicts, the last eight quarters of each company."""
     values = [*P.METRICS, *[f"{m}_consensus" for m in P.METRICS]]
